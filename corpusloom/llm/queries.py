@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_simhash": simhash.op2_simhash,
         "op3_mixing": mixing.op3_mixing,
     }
 
