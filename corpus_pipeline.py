@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-from corpusloom.llm.mixing import mix
-from corpusloom.llm.sharding import shard
+from pyspark.sql import functions as F
 
+from corpusloom.llm import decontaminate, langid, mixing, sharding, simhash
 
-def mixing(spark, docs, sf_dir):
-    """Each document as often as the mix takes it."""
-    from pyspark.sql import functions as F
 
-    rows = mix(docs)
-    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+def language(spark, docs, sf_dir):
+    """Documents for which a language is found; null texts and those without any letter go."""
+    found = langid.predict(docs, langid.fit(docs), columns=("_lang", "_score"))
+    return found.where(F.col("_lang") != langid.UND).select(*docs.columns)
 
 
-def sharding(spark, docs, sf_dir):
-    """Every document with the shard that it belongs to."""
-    return shard(docs)
+def near_dedup(spark, docs, sf_dir):
+    """One document of each class of near duplicates."""
+    return simhash.keep_one(docs)
 
 
-STAGES = [("mixing", mixing), ("sharding", sharding)]
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-#: Language ID and near-duplicate stages can't be expressed in SQL.
+
+def mix(spark, docs, sf_dir):
+    """Each document as often as the mix to target weights takes it."""
+    rows = mixing.mix(docs).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+
+
+def shards(spark, docs, sf_dir):
+    """Every document with its shard."""
+    return sharding.shard(docs).drop("_bytes")
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("sharding", shards)]
+
+#: Language identification and SimHash can't be expressed in DuckDB's SQL.
 ORACLE_SQL = None
 
 

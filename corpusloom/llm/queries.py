@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash
+from . import decontaminate, langid, mixing, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_simhash": simhash.op2_simhash,
         "op3_mixing": mixing.op3_mixing,
+        "op7_language_id": langid.op7_language_id,
+        "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 
@@ -17,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": sharding.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
+        "op10_decontamination": decontaminate.OP10_SQL,
     }
