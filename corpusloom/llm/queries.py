@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, sharding, simhash
+from . import decontaminate, exactdedup, langid, mixing, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_simhash": simhash.op2_simhash,
         "op3_mixing": mixing.op3_mixing,
+        "op4_exact_dedup": exactdedup.op4_exact_dedup,
+        "op5_warc_revisits": warc.op5_warc_revisits,
         "op7_language_id": langid.op7_language_id,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
@@ -19,5 +21,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": sharding.OP1_SQL,
         "op3_mixing": mixing.OP3_SQL,
+        "op4_exact_dedup": exactdedup.OP4_SQL,
+        "op5_warc_revisits": warc.OP5_SQL,
         "op10_decontamination": decontaminate.OP10_SQL,
     }
