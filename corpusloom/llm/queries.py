@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, langid, mixing, sharding, simhash, warc
+from . import decontaminate, exactdedup, langid, mixing, sharding, simhash, suffixarray, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_exact_dedup": exactdedup.op4_exact_dedup,
         "op5_warc_revisits": warc.op5_warc_revisits,
+        "op6_suffix_array": suffixarray.op6_suffix_array,
         "op7_language_id": langid.op7_language_id,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
