@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, langid, mixing, sharding, simhash, suffixarray, warc
+from . import decontaminate, exactdedup, fmindex, langid, mixing, sharding, simhash, suffixarray, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_warc_revisits": warc.op5_warc_revisits,
         "op6_suffix_array": suffixarray.op6_suffix_array,
         "op7_language_id": langid.op7_language_id,
+        "op8_fm_index": fmindex.op8_fm_index,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
 
@@ -24,5 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.OP3_SQL,
         "op4_exact_dedup": exactdedup.OP4_SQL,
         "op5_warc_revisits": warc.OP5_SQL,
+        "op6_suffix_array": suffixarray.OP6_SQL,
+        "op8_fm_index": fmindex.OP8_SQL,
         "op10_decontamination": decontaminate.OP10_SQL,
     }

@@ -117,3 +117,17 @@ def _cut(batches):
 def op6_suffix_array(spark, sf_dir: str) -> DataFrame:
     docs = with_uid(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return removed(docs).select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same by ranking all windows of hexadecimal text, for small tables.
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h, strlen(COALESCE(text, ''))::BIGINT AS n FROM documents),
+t AS (SELECT doc_id, h, n, unnest(range(n)) AS i FROM d),
+x AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN i + {SPAN} <= n THEN md5(substr(h, 2 * i + 1, {2 * SPAN})) END AS s FROM t),
+r AS (SELECT doc_id, i, b, s IS NOT NULL AND ROW_NUMBER() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM x),
+m AS (SELECT doc_id, i, b, COUNT(*) FILTER (again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {SPAN - 1} PRECEDING AND CURRENT ROW) > 0 AS gone FROM r),
+e AS (SELECT *, gone AND NOT COALESCE(LAG(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM m),
+k AS (SELECT doc_id, COUNT(*) FILTER (gone) AS n_removed, COUNT(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, COALESCE(k.n_removed, 0)::BIGINT AS n_removed, COALESCE(k.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(COALESCE(k.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
