@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, fmindex, langid, mixing, sharding, simhash, suffixarray, warc
+from . import decontaminate, exactdedup, fmindex, langid, mixing, sharding, simhash, suffixarray, warc, wrapper
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_suffix_array": suffixarray.op6_suffix_array,
         "op7_language_id": langid.op7_language_id,
         "op8_fm_index": fmindex.op8_fm_index,
+        "op9_main_text": wrapper.op9_main_text,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
 
