@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize, small
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without files that are allocated ahead, some 4 MB for each partition.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of files in a micro-batch at most.
 TRIGGER_BYTES = 64 << 30
 
@@ -61,14 +65,15 @@ def run_stream(spark: SparkSession, path: str, folder: str, key: str, text: str,
     def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changed/batch={number}")
 
-    setting, was = "spark.sql.streaming.stateStore.providerClass", None
-    was = spark.conf.get(setting, None)
-    spark.conf.set(setting, STATE_STORE)
+    was = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(setting) if was is None else spark.conf.set(setting, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def groups(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
