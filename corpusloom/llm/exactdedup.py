@@ -98,8 +98,9 @@ def dedup(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text
     hits = rows.join(small(several, n, 160), "digest")
     mine = F.col("rank") == F.col("first")
     holders = hits.where(mine).select("digest", F.col("body").alias("held"))
-    differing = hits.where(~mine).join(holders, "digest").where("body <> held").select("digest").distinct()
-    collided = materialize(differing, "collided")
+    # written as it is: an aggregation by digest on top would keep AQE from splitting a group with many rows
+    differing = hits.where(~mine).join(holders, "digest").where("body <> held").select("digest")
+    collided = materialize(differing, "collided").distinct()
     if not collided.isEmpty():
         again = rows.join(collided, "digest", "left_semi")
         split = again.groupBy("digest", "body").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
