@@ -51,37 +51,50 @@ def read_index(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def scores(questions: DataFrame, chunks: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(q, chunk_id, score) of the chunks that share a token with the question; q, question come in."""
+    """(q, chunk_id, score) of the chunks that share a token with the question; q, question come in.
+
+    Without an index, postings are made of the questions' terms only, and carry their chunk's length along, so
+    that nothing is joined by chunk.
+    """
     asked = questions.select("q", F.explode(tokens(F.col("question"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
     if index is None:
-        posted, lengths, terms = postings(chunks, asked.select("term").distinct()), doc_lengths(chunks), term_stats(chunks)
+        terms = term_stats(chunks)
+        rows = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+        mean = rows.agg((F.sum(F.size("tokens")).cast("double") / F.count("*")).alias("avgdl"))
+        rows = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        posted = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     else:
         posted, lengths, terms = index
-    mean = lengths.agg((F.sum("dl").cast("double") / F.count("*")).alias("avgdl"))
-    weighed = posted.join(lengths, "chunk_id").crossJoin(F.broadcast(mean))
+        mean = lengths.agg((F.sum("dl").cast("double") / F.count("*")).alias("avgdl"))
+        posted = posted.join(asked.select("term").distinct(), "term", "left_semi").join(lengths, "chunk_id")
     norm = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
-    weighed = weighed.select("term", "chunk_id", (F.col("tf") * F.lit(K1 + 1) / norm).alias("weight"))
-    hits = asked.join(terms.select("term", "idf"), "term").join(weighed, "term")
-    return hits.groupBy("q", "chunk_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("weight")).alias("score"))
+    weighed = posted.crossJoin(F.broadcast(mean)).select("term", "chunk_id", (F.col("tf") * F.lit(K1 + 1) / norm).alias("weight"))
+    hits = asked.join(terms.select("term", "idf"), "term").select("q", "term", (F.col("qtf") * F.col("idf")).alias("asked")).join(weighed, "term")
+    return hits.groupBy("q", "chunk_id").agg(F.sum(F.col("asked") * F.col("weight")).alias("score"))
 
 
 def top_k(questions: DataFrame, chunks: DataFrame, k: int = TOP, index=None) -> DataFrame:
     """(q, rank, chunk_id, score): the k best of all chunks for each question, ties by chunk_id.
 
-    Chunks without a shared token score 0. Where they can be among the best (few matches, or none above 0), the ones with
-    the smallest ids are put in before ranking; questions without a token have no result.
+    Chunks without a shared token score 0. Where they can be among the best (fewer than k chunks above 0), the ones with
+    the smallest ids are put in before ranking; questions without a token have no result. The best are kept (k rows a
+    question) while it is looked up which questions need that; their scores alone are computed again.
     """
-    found = scores(questions, chunks, index).withColumn("score", F.round("score", 6))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id")
-    lead = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    asking = questions.where(F.size(tokens(F.col("question"))) > 0).select("q")
-    matched = found.groupBy("q").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("good"))
-    short = asking.join(matched, "q", "left").select("q", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good")).where(F.col("good") < k)
-    most = short.agg(F.max("n")).first()[0]
-    if most is None:
-        return lead.select("q", "rank", "chunk_id", "score")
+
+    def leaders(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "rank", "chunk_id", "score")
+
+    found = scores(questions, chunks, index).withColumn("score", F.round("score", 6))
+    lead = leaders(found).persist()
+    good = lead.groupBy("q").agg(F.count_if(F.col("score") > 0).alias("good"))
+    asking = questions.where(F.size(tokens(F.col("question"))) > 0)
+    short = asking.join(good.where(F.col("good") >= k), "q", "left_anti").persist()
+    if short.isEmpty():
+        return lead
+    found = scores(short, chunks, index).withColumn("score", F.round("score", 6)).persist()
+    most = found.groupBy("q").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     # k of the first k + n ids are unmatched for a question with n matches
     pool = chunks.select("chunk_id").orderBy("chunk_id").limit(k + most)
-    pads = short.select("q").crossJoin(F.broadcast(pool) if most < 100_000 else pool).join(found, ["q", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    both = lead.select("q", "chunk_id", "score").unionByName(pads)
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "rank", "chunk_id", "score")
+    pads = short.select("q").crossJoin(pool).join(found, ["q", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return lead.join(short, "q", "left_anti").unionByName(leaders(found.select("q", "chunk_id", "score").unionByName(pads)))
