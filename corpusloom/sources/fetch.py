@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -34,3 +35,15 @@ def fetch(urls: DataFrame, fetcher: Fetcher, partitions: int | None = None) -> D
 
     rows = urls.select("url")
     return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, "url string, html string")
+
+
+def polite(call: Callable[[str], str | None], delay: float) -> Callable[[str], str | None]:
+    """The same call, with a pause after each one."""
+
+    def run(x: str) -> str | None:
+        try:
+            return call(x)
+        finally:
+            time.sleep(delay)
+
+    return run

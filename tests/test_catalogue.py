@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
+from .conftest import SMALL
 
 from corpusloom.plans import catalogue
 
@@ -30,3 +30,17 @@ def test_plans_push_down(spark):
     plan = catalogue.sliding_chunks(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "Exchange" not in plan
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """A copy without subpackage llm and the pipeline imports, and lists the other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "copy")}, capture_output=True, text=True, check=True)
+    assert said.stdout.split("\n")[0] == f"{len(catalogue.QUERIES)} {len(catalogue.SQL)} []"
