@@ -9,8 +9,8 @@ from corpusloom.llm import decontaminate, langid, mixing, sharding, simhash
 
 def language(spark, docs, sf_dir):
     """Documents for which a language is found; null texts and those without any letter go."""
-    found = langid.predict(docs, langid.fit(docs), columns=("_lang", "_score"))
-    return found.where(F.col("_lang") != langid.UND).select(*docs.columns)
+    found = langid.predict(docs, langid.fit(docs), columns=("_loom_lang", "_loom_score"))
+    return found.where(F.col("_loom_lang") != langid.UND).select(*docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -25,13 +25,13 @@ def decontamination(spark, docs, sf_dir):
 
 def mix(spark, docs, sf_dir):
     """Each document as often as the mix to target weights takes it."""
-    rows = mixing.mix(docs).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    rows = mixing.mix(docs).where("_loom_copies > 0")
+    return rows.withColumn("_loom_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_loom_copies"))).select(*docs.columns)
 
 
 def shards(spark, docs, sf_dir):
     """Every document with its shard."""
-    return sharding.shard(docs).drop("_bytes")
+    return sharding.shard(docs).drop("_loom_bytes")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("sharding", shards)]

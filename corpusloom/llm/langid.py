@@ -145,8 +145,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", columns: tuple[str,
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    got = df.withColumn("_guess", guess(F.col(text)))
-    return got.withColumns({columns[0]: F.col("_guess.lang"), columns[1]: F.col("_guess.score")}).drop("_guess")
+    got = df.withColumn("_loom_guess", guess(F.col(text)))
+    return got.withColumns({columns[0]: F.col("_loom_guess.lang"), columns[1]: F.col("_loom_guess.score")}).drop("_loom_guess")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ budgets have larger thresholds, so their choices are nested. No rows are sorted.
 
 Defined cases: null text has size 0; null source is a source, last in order; rows with equal
 ids are told apart by content, then by position; an empty table gives an empty result; of a
-table without words nothing is taken; extra columns do no harm.
+table without words nothing is taken; extra columns are kept (names that begin with _loom_ are the operators' own).
 """
 
 from __future__ import annotations
@@ -28,19 +28,19 @@ STEP = 12
 
 def sized(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     h1, h2 = row_hash(key, text)
-    return df.withColumns({"_size": n_words(text), "_h1": h1, "_h2": h2, "_source": F.col(source)})
+    return df.withColumns({"_loom_size": n_words(text), "_loom_h1": h1, "_loom_h2": h2, "_loom_source": F.col(source)})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(_source, source_size, target) from (_source, _size): water-filling below most times the size.
+    """(_loom_source, source_size, target) from (_loom_source, _loom_size): water-filling below most times the size.
 
     Works on one row for each source. Ordering the sources needs them in one task: that is
     as many rows as there are sources, already summed.
     """
-    by = sizes.groupBy("_source").agg(F.sum("_size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last()))
+    by = sizes.groupBy("_loom_source").agg(F.sum("_loom_size").alias("source_size"))
+    rank = F.row_number().over(Window.orderBy(F.col("_loom_source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("_source").asc_nulls_last())
+    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("_loom_source").asc_nulls_last())
     to_here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -49,11 +49,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     cap = (most * F.col("source_size")).cast("double")
     level = F.min(F.when(cap >= F.col("level") * F.col("weight"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(everything)["level"]
     by = by.withColumn("level", level)
-    return by.select("_source", "source_size", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), F.lit(0.0)).alias("target"))
+    return by.select("_loom_source", "source_size", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
 def thresholds(thin: DataFrame, goal: DataFrame) -> tuple[DataFrame, int]:
-    """(_source, source_size, target, copies, t1, t2): rows with (_h1, _h2) < (t1, t2) are taken once more. Also the number of sources."""
+    """(_loom_source, source_size, target, copies, t1, t2): rows with (_loom_h1, _loom_h2) < (t1, t2) are taken once more. Also the number of sources."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = goal.withColumn("copies", whole).withColumns(
         {"need": F.col("target") - F.col("copies") * F.col("source_size"), "p1": F.lit(0).cast("long"), "p2": F.lit(0).cast("long"), "cell": F.col("source_size"), "open": F.lit(True)}
@@ -63,25 +63,25 @@ def thresholds(thin: DataFrame, goal: DataFrame) -> tuple[DataFrame, int]:
     depth = 0
     while depth < 2 * WORD and not state.where("open").isEmpty():
         first = depth < WORD
-        word, into = ("_h1", depth) if first else ("_h2", depth - WORD)
+        word, into = ("_loom_h1", depth) if first else ("_loom_h2", depth - WORD)
         bucket = F.shiftright(word, WORD - into - STEP).bitwiseAND(F.lit((1 << STEP) - 1))
-        near = state.where("open").select(F.col("_source").alias("_s"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2"))
-        inside = F.col("_source").eqNullSafe(F.col("_s")) & (F.shiftright("_h1", WORD - min(depth, WORD)) == F.col("_p1")) & (F.shiftright("_h2", WORD - max(depth - WORD, 0)) == F.col("_p2"))
-        hist = thin.join(small(near, n), inside).where("_size > 0").groupBy("_s", bucket.alias("bucket")).agg(F.sum("_size").alias("words"), F.count("*").alias("n"))
+        near = state.where("open").select(F.col("_loom_source").alias("_s"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2"))
+        inside = F.col("_loom_source").eqNullSafe(F.col("_s")) & (F.shiftright("_loom_h1", WORD - min(depth, WORD)) == F.col("_p1")) & (F.shiftright("_loom_h2", WORD - max(depth - WORD, 0)) == F.col("_p2"))
+        hist = thin.join(small(near, n), inside).where("_loom_size > 0").groupBy("_s", bucket.alias("bucket")).agg(F.sum("_loom_size").alias("words"), F.count("*").alias("n"))
         upto = F.sum("words").over(Window.partitionBy("_s").orderBy("bucket"))
         hist = hist.withColumn("before", upto - F.col("words"))
-        cut = state.where("open").join(hist, F.col("_source").eqNullSafe(F.col("_s")), "left").where("before is null or (before <= need and need < before + words)")
+        cut = state.where("open").join(hist, F.col("_loom_source").eqNullSafe(F.col("_s")), "left").where("before is null or (before <= need and need < before + words)")
         p1 = F.col("p1") * (1 << STEP) + F.col("bucket") if first else F.col("p1")
         p2 = F.col("p2") if first else F.col("p2") * (1 << STEP) + F.col("bucket")
-        cut = cut.select("_source", F.col("need") - F.col("before"), p1, p2, F.col("words"), F.col("n") > 1).toDF("_source", "need", "p1", "p2", "cell", "open")
+        cut = cut.select("_loom_source", F.col("need") - F.col("before"), p1, p2, F.col("words"), F.col("n") > 1).toDF("_loom_source", "need", "p1", "p2", "cell", "open")
         # a source that isn't in `cut` takes all or nothing of its rows, or has no words
-        cut = cut.select(F.col("_source").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("need", "p1", "p2", "cell", "open")])
-        moved = state.join(small(cut, n), F.col("_source").eqNullSafe(F.col("_s")), "left")
+        cut = cut.select(F.col("_loom_source").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("need", "p1", "p2", "cell", "open")])
+        moved = state.join(small(cut, n), F.col("_loom_source").eqNullSafe(F.col("_s")), "left")
         was = F.col("open")
         shift = 1 << STEP
         state = materialize(
             moved.select(
-                "_source", "source_size", "target", "copies",
+                "_loom_source", "source_size", "target", "copies",
                 F.when(was & F.col("_cell").isNotNull(), F.col("_need")).otherwise(F.col("need")).alias("need"),
                 F.when(was & F.col("_cell").isNotNull(), F.col("_p1")).otherwise(F.col("p1") * (shift if first else 1)).alias("p1"),
                 F.when(was & F.col("_cell").isNotNull(), F.col("_p2")).otherwise(F.col("p2") * (1 if first else shift)).alias("p2"),
@@ -96,24 +96,24 @@ def thresholds(thin: DataFrame, goal: DataFrame) -> tuple[DataFrame, int]:
     near = F.col("need") * 2 > F.col("cell")
     t1 = F.when(F.lit(depth <= WORD) & near, (F.col("p1") + 1) * (1 << left1)).otherwise(F.col("p1") * (1 << left1))
     t2 = F.when(F.lit(depth > WORD) & near, (F.col("p2") + 1) * (1 << left2)).otherwise(F.col("p2") * (1 << left2))
-    return state.select("_source", "source_size", "target", "copies", t1.alias("t1"), t2.alias("t2")), n
+    return state.select("_loom_source", "source_size", "target", "copies", t1.alias("t1"), t2.alias("t2")), n
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """df with _size, source_size, target, and _copies: how often the mix takes the row."""
-    rows = sized(df.drop("source_size", "target"), key, text, source)
-    thin = materialize(rows.select("_source", "_size", "_h1", "_h2"), "sizes")
+    """df with _loom_size, _loom_source_size, _loom_target, and _loom_copies: how often the mix takes the row."""
+    rows = sized(df, key, text, source)
+    thin = materialize(rows.select("_loom_source", "_loom_size", "_loom_h1", "_loom_h2"), "sizes")
     goal, n = thresholds(thin, materialize(targets(thin), "targets"))
-    goal = goal.withColumnRenamed("_source", "_s")
-    out = rows.join(small(goal, n, 128), F.col("_source").eqNullSafe(F.col("_s")))
-    below = (F.col("_h1") < F.col("t1")) | ((F.col("_h1") == F.col("t1")) & (F.col("_h2") < F.col("t2")))
-    out = out.withColumn("_copies", F.when(F.col("_size") > 0, F.least(F.col("copies") + below.cast("long"), F.lit(MOST))).otherwise(F.lit(0).cast("long")))
-    return out.drop("_s", "_source", "_h1", "_h2", "copies", "t1", "t2")
+    goal = goal.toDF("_loom_s", "_loom_source_size", "_loom_target", "_loom_whole", "_loom_t1", "_loom_t2")
+    out = rows.join(small(goal, n, 128), F.col("_loom_source").eqNullSafe(F.col("_loom_s")))
+    below = (F.col("_loom_h1") < F.col("_loom_t1")) | ((F.col("_loom_h1") == F.col("_loom_t1")) & (F.col("_loom_h2") < F.col("_loom_t2")))
+    out = out.withColumn("_loom_copies", F.when(F.col("_loom_size") > 0, F.least(F.col("_loom_whole") + below.cast("long"), F.lit(MOST))).otherwise(F.lit(0).cast("long")))
+    return out.drop("_loom_s", "_loom_source", "_loom_h1", "_loom_h2", "_loom_whole", "_loom_t1", "_loom_t2")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
+    return mix(docs).select("doc_id", F.col("_loom_size").alias("size"), F.col("_loom_source_size").alias("source_size"), F.col("_loom_target").alias("target"), (F.col("_loom_size") * F.col("_loom_copies")).alias("taken"))
 
 
 OP3_SQL = f"""

@@ -9,7 +9,7 @@ apart by their content and, if that is the same, by their position, after the ke
 
 Defined cases: null or empty text has 0 bytes; an empty table gives an empty result; one row
 above the limit is a shard of its own; extra columns are kept, except that columns with the
-names of the result's are replaced.
+names of the result's are replaced (names that begin with _loom_ are the operators' own).
 """
 
 from __future__ import annotations
@@ -46,13 +46,13 @@ def _prefix(h1: Column, h2: Column, depth: Column) -> tuple[Column, Column]:
 
 
 def _at(depth: int) -> tuple[Column, Column]:
-    one, two = _prefix(F.col("_h1"), F.col("_h2"), F.lit(depth))
+    one, two = _prefix(F.col("_loom_h1"), F.col("_loom_h2"), F.lit(depth))
     return one.alias("p1"), two.alias("p2")
 
 
 def _with_hash(df: DataFrame, key: str, text: str) -> DataFrame:
     h1, h2 = row_hash(key, text)
-    return df.withColumns({"_h1": h1, "_h2": h2, "_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
+    return df.withColumns({"_loom_h1": h1, "_loom_h2": h2, "_loom_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
 
 
 def _descend(cells: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
@@ -74,14 +74,14 @@ def _descend(cells: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
 
 def directory(df: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> list[Level]:
     """The directory for df. One pass over the sizes for each level; a second level only where a cell is still too large."""
-    thin = _with_hash(df.select(key, text), key, text).select("_h1", "_h2", "_bytes")
-    total = thin.agg(F.sum("_bytes")).first()[0] or 0
+    thin = _with_hash(df.select(key, text), key, text).select("_loom_h1", "_loom_h2", "_loom_bytes")
+    total = thin.agg(F.sum("_loom_bytes")).first()[0] or 0
     extra = lambda size: max(0, math.ceil(math.log2(max(size, 1) / limit)))
     levels: list[Level] = []
     base, depth, rows = 0, min(WORD, extra(total) + 3), thin
     while True:
         p1, p2 = _at(depth)
-        cells = rows.groupBy(p1, p2).agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("n"), (F.min("_h1") == F.max("_h1")).alias("same"))
+        cells = rows.groupBy(p1, p2).agg(F.sum("_loom_bytes").alias("bytes"), F.count("*").alias("n"), (F.min("_loom_h1") == F.max("_loom_h1")).alias("same"))
         level = materialize(_descend(cells, base, depth, limit), "directory")
         found = level.agg(
             F.count("*"), F.max(F.when(F.col("leaf_depth").isNull(), F.col("bytes"))), F.coalesce(F.bool_and(F.when(F.col("leaf_depth").isNull(), F.col("same"))), F.lit(True)), F.count_if(F.col("leaf_depth").isNull())
@@ -103,22 +103,22 @@ def shard(df: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: st
     for i, level in enumerate(levels):
         p1, p2 = _at(level.depth)
         cells = level.cells.select(
-            F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), F.col("leaf_depth").alias(f"_d{i}"), F.col("leaf_bytes").alias(f"_b{i}"), F.col("leaf_rows").alias(f"_n{i}")
+            F.col("p1").alias("_loom_p1"), F.col("p2").alias("_loom_p2"), F.col("leaf_depth").alias(f"_loom_d{i}"), F.col("leaf_bytes").alias(f"_loom_b{i}"), F.col("leaf_rows").alias(f"_loom_n{i}")
         )
-        out = out.withColumns({"_p1": p1, "_p2": p2}).join(small(cells, level.rows), ["_p1", "_p2"], "left").drop("_p1", "_p2")
-    of = lambda c: F.coalesce(*[F.col(f"_{c}{i}") for i in range(len(levels))])
-    one, two = _prefix(F.col("_h1"), F.col("_h2"), F.col("shard_depth"))
+        out = out.withColumns({"_loom_p1": p1, "_loom_p2": p2}).join(small(cells, level.rows), ["_loom_p1", "_loom_p2"], "left").drop("_loom_p1", "_loom_p2")
+    of = lambda c: F.coalesce(*[F.col(f"_loom_{c}{i}") for i in range(len(levels))])
+    one, two = _prefix(F.col("_loom_h1"), F.col("_loom_h2"), F.col("shard_depth"))
     bits = F.concat(
         F.call_function("lpad", F.bin(one), F.least(F.col("shard_depth"), F.lit(WORD)), F.lit("0")),
         F.call_function("lpad", F.bin(two), F.greatest(F.col("shard_depth") - WORD, F.lit(0)), F.lit("0")),
     )
     out = out.withColumn("shard_depth", of("d")).withColumn("shard_id", bits).withColumns({"shard_bytes": of("b"), "shard_rows": of("n")})
-    return out.drop("_h1", "_h2", *[f"_{c}{i}" for c in "dbn" for i in range(len(levels))])
+    return out.drop("_loom_h1", "_loom_h2", *[f"_loom_{c}{i}" for c in "dbn" for i in range(len(levels))])
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard(docs).select("doc_id", F.col("_bytes").alias("n_bytes"), *OUT)
+    return shard(docs).select("doc_id", F.col("_loom_bytes").alias("n_bytes"), *OUT)
 
 
 OP1_SQL = f"""

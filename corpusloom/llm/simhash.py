@@ -217,14 +217,14 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     thin = fingerprints(df, key, text)
     rows = thin.groupBy("doc_id", "content", "fp").agg(F.count("*").alias("n")).join(classes(thin).select("fp", "root"), "fp")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content", "n")).alias("best"))
-    best = materialize(best.select(F.col("best.doc_id").alias("_id"), F.col("best.content").alias("_content"), F.col("best.n").alias("_n")), "kept")
-    same = F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_content"))
-    once = df.join(best.where("_n = 1"), same, "left_semi")
-    if best.where("_n > 1").isEmpty():
+    best = materialize(best.select(F.col("best.doc_id").alias("_loom_id"), F.col("best.content").alias("_loom_content"), F.col("best.n").alias("_loom_n")), "kept")
+    same = F.col(key).eqNullSafe(F.col("_loom_id")) & (F.xxhash64(F.col(text)) == F.col("_loom_content"))
+    once = df.join(best.where("_loom_n = 1"), same, "left_semi")
+    if best.where("_loom_n > 1").isEmpty():
         return once
     # the row that stays was there several times
-    again = df.join(best.where("_n > 1"), same, "left_semi").withColumn("_content", F.xxhash64(F.col(text)))
-    return once.unionByName(again.dropDuplicates([key, "_content"]).drop("_content"))
+    again = df.join(best.where("_loom_n > 1"), same, "left_semi").withColumn("_loom_content", F.xxhash64(F.col(text)))
+    return once.unionByName(again.dropDuplicates([key, "_loom_content"]).drop("_loom_content"))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -68,19 +68,19 @@ def test_targets_are_met(spark, seed):
     got = [r.asDict() for r in mixing.mix(spark.createDataFrame(rows, DOCUMENTS)).collect()]
     sizes = {}
     for r in got:
-        sizes[r["source"]] = sizes.get(r["source"], 0) + r["_size"]
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["_loom_size"]
     want = brute_targets(sizes)
     taken, most = {}, {}
     for r in got:
-        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]]) and 0 <= r["_copies"] <= 3
-        taken[r["source"]] = taken.get(r["source"], 0) + r["_size"] * r["_copies"]
-        most[r["source"]] = max(most.get(r["source"], 0), r["_size"])
+        assert r["_loom_source_size"] == sizes[r["source"]] and r["_loom_target"] == pytest.approx(want[r["source"]]) and 0 <= r["_loom_copies"] <= 3
+        taken[r["source"]] = taken.get(r["source"], 0) + r["_loom_size"] * r["_loom_copies"]
+        most[r["source"]] = max(most.get(r["source"], 0), r["_loom_size"])
     assert all(abs(taken[s] - want[s]) <= most[s] / 2 + 1e-6 for s in taken)
 
 
 def test_rows_that_repeat_are_told_apart(spark):
     rows = [doc(None, "a b c d", source="hot")] * 300 + [doc(5, "x y", source="hot")] * 300 + [doc(i, "q r s", source=f"t{i % 4}") for i in range(200)]
-    got = mixing.mix(spark.createDataFrame(rows, DOCUMENTS).repartition(5).cache()).groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("t"), F.first("target").alias("g")).collect()
+    got = mixing.mix(spark.createDataFrame(rows, DOCUMENTS).repartition(5).cache()).groupBy("source").agg(F.sum(F.col("_loom_size") * F.col("_loom_copies")).alias("t"), F.first("_loom_target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 4 for r in got)
 
 
@@ -88,6 +88,6 @@ def test_mix_edges(spark):
     empty = spark.createDataFrame([], DOCUMENTS)
     assert mixing.mix(empty).count() == 0
     none = mixing.mix(spark.createDataFrame([doc(1, None), doc(2, " \t")], DOCUMENTS)).collect()
-    assert [(r._size, r.target, r._copies) for r in none] == [(0, 0.0, 0)] * 2
+    assert [(r._loom_size, r._loom_target, r._loom_copies) for r in none] == [(0, 0.0, 0)] * 2
     one = mixing.mix(spark.createDataFrame([doc(1, "a b")], DOCUMENTS)).collect()
-    assert [(r._size, r.target, r._copies) for r in one] == [(2, 2.0, 1)]
+    assert [(r._loom_size, r._loom_target, r._loom_copies) for r in one] == [(2, 2.0, 1)]

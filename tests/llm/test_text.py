@@ -112,6 +112,8 @@ def test_pipeline_stages(spark, table, tmp_path):
     item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
     more = [doc(9001, None), doc(9002, "123"), doc(9003, "so " + item + " and on"), doc(None, "a text without any id here"), doc(None, "a text without any id here")]
     docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("shard_id", F.lit("own"))
+    for name in ("_id", "_n", "_size", "copies", "t1", "fp", "target", "_lang", "content", "uid", "bytes"):
+        docs = docs.withColumn(name, F.lit("extra"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "mixing", "sharding"]
     seen = {}
     now = docs
@@ -126,6 +128,7 @@ def test_pipeline_stages(spark, table, tmp_path):
     assert 9003 in seen["near_dedup"] and 9003 not in seen["decontamination"]
     assert None in seen["near_dedup"] and spark.read.parquet(str(tmp_path / "s1")).where("doc_id is null").count() == 1
     assert seen["mixing"] <= seen["decontamination"] and seen["sharding"] == seen["mixing"]
+    assert all(now.where(F.col(n) != "extra").count() == 0 for n in ("_id", "_n", "_size", "copies", "t1", "fp", "target", "_lang", "content", "uid", "bytes"))
     assert "shard_bytes" in now.columns and now.where("shard_id = 'own'").count() == 0
 
 
