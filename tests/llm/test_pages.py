@@ -70,6 +70,10 @@ def test_files_are_warc(spark, tmp_path):
         ("<main>m<script>var t='</p>';</script><style>p{}</style><!-- c --></main>", "m"),
         ("<ul><li>1<li>2</ul><table><tr><td>a<td>b</table>", "1\n2\na\nb"),
         ("<article><p>x</p><div id='cookie-notice'>n</div><span class='ad'>s</span>y", "x\ny"),
+        ("<body class='has-sidebar'><div class='layout with-sidebar'><article>x<div class='sidebar'>s</div></article></div>", "x"),
+        ("<div class='page menu-open'><p>all there is</p><nav>n</nav></div>", "all there is"),
+        ("<div class='site-header'>S</div><div class='article-header'>A</div><article class='comment'>c</article>", "A"),
+        ("<article><header><h1>T</h1></header>x</article><section class='comments'><article>c</article></section>", "T\nx"),
         ("<a href=\"unclosed>t", ""),
         ("<title>t</title><p>b &am", "b &am"),
     ],
