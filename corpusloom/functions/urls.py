@@ -55,7 +55,7 @@ def admitted(url: Column, domain: str, sign_in: str = "login", sign_in_host: str
 
 def admitted_loose(url: Column, domain: str) -> Column:
     """The looser rule: anything that begins on the domain, but for a few extensions."""
-    return url.rlike(rf"^https?://(?:www\d*\.)?{re.escape(domain)}") & ~extension(url).isin(*BINARY_LOOSE)
+    return url.rlike(rf"^https?://(?:www\d*\.)?{re.escape(domain)}") & ~F.lower(path(url)).rlike("(" + "|".join(map(re.escape, BINARY_LOOSE)) + ")$")
 
 
 def filename(url: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import admitted, links, normalise
+from ..functions.urls import admitted, admitted_loose, links, normalise
 from ..sources.fetch import Fetcher, fetch
 
 
@@ -27,51 +27,63 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def _first(found: DataFrame, *key: str) -> DataFrame:
+    """Of each key the first occurrence by (parent, pos)."""
+    return found.groupBy(*key).agg(F.min(F.struct("parent", "pos")).alias("o")).select(*key, "o.parent", "o.pos")
+
+
 def crawl(spark, seeds: list[str], fetcher: Fetcher, domain: str, budget: int = 5000, stored: DataFrame | None = None, parallel: int | None = None) -> DataFrame:
     """(url, html) of at most `budget` pages of a domain, those stored by earlier runs included.
 
-    Seeds are normalised, links also must be admitted. A page that fails counts as visited. A
-    run that goes on rebuilds its frontier from the links of the stored pages.
+    Pages are taken in the order of a queue: by the page that links to them first, then by place in it. Seeds are normalised, links
+    also must be admitted. A page that fails counts as visited. A run that goes on rebuilds its frontier from the links of the
+    stored pages, after the seeds. Each level's choice has no more rows than the budget.
     """
-    urls = spark.createDataFrame([(s,) for s in seeds], "url string").select(normalise(F.col("url")).alias("url")).distinct()
+    urls = spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "url string, pos int").select(normalise(F.col("url")).alias("url"), F.lit(-1).cast("long").alias("parent"), "pos")
     pages = _cut(stored.select("url", "html")) if stored is not None else spark.createDataFrame([], "url string, html string")
     visited = _cut(pages.select("url"))
-    linked = urls.unionByName(_links(pages, domain)).distinct() if stored is not None else urls
-    frontier = _cut(linked.join(visited, "url", "left_anti"))
-    have = pages.count()
+    if stored is not None:
+        urls = urls.unionByName(_links(pages.withColumn("parent", F.lit(0).cast("long")), domain))
+    frontier = _cut(_first(urls, "url").join(visited, "url", "left_anti"))
+    have, base = pages.count(), 1
     while have < budget and not frontier.isEmpty():
-        now = _cut(frontier.orderBy("url").limit(budget - have))
-        got = _cut(fetch(now, fetcher, parallel).where("html is not null"))
-        pages = _cut(pages.unionByName(got))
-        visited = _cut(visited.unionByName(now))
-        rest = frontier.join(now, "url", "left_anti")
-        frontier = _cut(rest.unionByName(_links(got, domain)).distinct().join(visited, "url", "left_anti"))
+        queue = frontier.orderBy("parent", "pos", "url").limit(budget - have)
+        now = _cut(queue.withColumn("rank", F.row_number().over(Window.orderBy("parent", "pos", "url"))))
+        got = _cut(fetch(now, fetcher, parallel).where("html is not null").join(now.select("url", (F.col("rank") + base).cast("long").alias("parent")), "url"))
+        base += now.count()
+        pages = _cut(pages.unionByName(got.select("url", "html")))
+        visited = _cut(visited.unionByName(now.select("url")))
+        found = frontier.unionByName(_links(got, domain))
+        frontier = _cut(_first(found, "url").join(visited, "url", "left_anti"))
         have = pages.count()
     return pages
 
 
 def _links(pages: DataFrame, domain: str) -> DataFrame:
-    found = pages.select(F.explode(links(F.coalesce("html", F.lit("")), "url")).alias("link")).select(normalise(F.col("link")).alias("url"))
+    """(url, parent, pos) of the admitted links of (url, html, parent)."""
+    found = pages.select("parent", F.posexplode(links(F.coalesce("html", F.lit("")), "url")).alias("pos", "link")).select(normalise(F.col("link")).alias("url"), "parent", "pos")
     return found.where(admitted(F.col("url"), domain))
 
 
 def crawl_categories(spark, categories: DataFrame, fetcher: Fetcher, domain: str, default_cap: int = 10) -> DataFrame:
-    """(category, url, html): for (category, seeds, cap), a crawl of each, all at once, level by level; failures count against the cap."""
+    """(category, url, html): for (category, seeds, cap), a crawl of each in the order of a queue, all at once, level by level; failures count against the cap."""
     caps = categories.select("category", F.coalesce("cap", F.lit(default_cap)).alias("cap"))
     trim = F.rtrim(F.col("url"), F.lit("/"))
-    frontier = _cut(categories.select("category", F.explode("seeds").alias("url")).select("category", trim.alias("url")).distinct())
-    visited, pages = None, None
+    seeds = categories.select("category", F.posexplode("seeds").alias("pos", "url")).select("category", trim.alias("url"), F.lit(0).cast("long").alias("parent"), "pos")
+    frontier = _cut(_first(seeds, "category", "url"))
+    visited, pages, base = None, None, 0
+    turn = Window.partitionBy("category").orderBy("parent", "pos", "url")
     while not frontier.isEmpty():
-        used = visited.groupBy("category").agg(F.count("*").alias("used")) if visited is not None else None
-        room = caps.withColumn("room", F.col("cap")) if used is None else caps.join(used, "category", "left").withColumn("room", F.col("cap") - F.coalesce("used", F.lit(0)))
-        ranked = frontier.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy("url"))).join(F.broadcast(room), "category").where("rank <= room")
-        now = _cut(ranked.select("category", "url"))
+        used = visited.groupBy("category").agg(F.count("*").alias("used")) if visited is not None else caps.select("category", F.lit(0).alias("used"))
+        room = caps.join(used, "category", "left").select("category", (F.col("cap") - F.coalesce("used", F.lit(0))).alias("room"))
+        now = _cut(frontier.withColumn("rank", F.row_number().over(turn)).join(room, "category").where("rank <= room").select("category", "url", "rank"))
         if now.isEmpty():
             break
-        got = _cut(now.join(fetch(now.select("url").distinct(), fetcher), "url").where("html is not null").select("category", "url", "html"))
-        pages = got if pages is None else _cut(pages.unionByName(got))
-        visited = now if visited is None else _cut(visited.unionByName(now))
-        found = got.select("category", F.explode(links("html", "url")).alias("url")).select("category", trim.alias("url")).where(admitted(F.col("url"), domain)).distinct()
-        rest = frontier.join(now, ["category", "url"], "left_anti")
-        frontier = _cut(rest.unionByName(found).distinct().join(visited, ["category", "url"], "left_anti"))
+        got = _cut(now.join(fetch(now.select("url").distinct(), fetcher), "url").where("html is not null"))
+        pages = _cut(got.select("category", "url", "html") if pages is None else pages.unionByName(got.select("category", "url", "html")))
+        visited = _cut(now.select("category", "url") if visited is None else visited.unionByName(now.select("category", "url")))
+        found = got.select("category", (F.col("rank") + base).cast("long").alias("parent"), F.posexplode(links("html", "url")).alias("pos", "url"))
+        found = found.select("category", trim.alias("url"), "parent", "pos").where(admitted_loose(F.col("url"), domain))
+        base += now.agg(F.max("rank")).first()[0]
+        frontier = _cut(_first(frontier.unionByName(found), "category", "url").join(visited, ["category", "url"], "left_anti"))
     return pages if pages is not None else spark.createDataFrame([], "category string, url string, html string")

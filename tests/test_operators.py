@@ -132,6 +132,27 @@ def test_crawl(spark):
     assert {r.url for r in on.collect()} >= {"http://s.org/b", "http://s.org/c"}
 
 
+def test_crawl_takes_pages_in_the_order_of_a_queue(spark):
+    site = {f"http://s.org/{a}": "".join(f'<a href="/{b}">x</a>' for b in links) for a, links in {"r": "zya", "z": "ba", "y": "cd", "a": "", "b": "", "c": "e", "d": "", "e": ""}.items()}
+
+    def queue(budget):
+        out, todo = [], ["r"]
+        seen = {"r"}
+        while todo and len(out) < budget:
+            a = todo.pop(0)
+            out.append(f"http://s.org/{a}")
+            for b in {"r": "zya", "z": "ba", "y": "cd", "c": "e"}.get(a, ""):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return set(out)
+
+    for budget in (1, 3, 5, 6, 9):
+        assert {r.url for r in crawl.crawl(spark, ["http://s.org/r"], site.get, "s.org", budget).collect()} == queue(budget)
+        cats = spark.createDataFrame([("x", ["http://s.org/r/"], budget)], "category string, seeds array<string>, cap int")
+        assert {r.url for r in crawl.crawl_categories(spark, cats, site.get, "s.org").collect()} == queue(budget)
+
+
 def test_crawl_by_category(spark):
     cats = spark.createDataFrame([("x", ["http://s.org"], 3), ("y", ["http://s.org/b", "http://s.org/lost"], None)], "category string, seeds array<string>, cap int")
     got = crawl.crawl_categories(spark, cats, SITE.get, "s.org").groupBy("category").count().collect()
