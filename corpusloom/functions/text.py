@@ -112,10 +112,13 @@ def too_wordy(c: Column, most: int = 10) -> Column:
 
 def answered_by(answer: Column, page: Column) -> Column:
     """Whether at least half (rounded down, but one) of the non-empty alternatives occur in the page, in question form."""
-    parts = F.filter(F.transform(F.split(answer, r"\|"), lambda x: ascii_question_form(x)), lambda x: x != "")
-    text = ascii_question_form(page)
-    hits = F.size(F.filter(parts, lambda x: F.contains(text, x)))
-    return hits >= F.greatest(F.lit(1), F.floor(F.size(parts) / 2))
+    given = F.filter(F.split(_nfkd(answer), r"\|"), lambda x: strip(x) != "")
+    return let(F.struct(F.transform(given, _word_form).alias("parts"), _word_form(_nfkd(page)).alias("text")), _half_found)
+
+
+def _half_found(x: Column) -> Column:
+    hits = F.size(F.filter(x["parts"], lambda part: F.contains(x["text"], part)))
+    return hits >= F.greatest(F.lit(1), F.floor(F.size(x["parts"]) / 2))
 
 
 def contains_any(text: Column, answers: Column) -> Column:

@@ -72,4 +72,6 @@ def test_ratios(spark):
     assert value(spark, T.overlap_ratio(F.col("a"), F.col("b")), a=[], b=["x"]) is None
     assert value(spark, T.answered_by(F.col("a"), F.col("p")), a="one|two|three", p="only two here") is True
     assert value(spark, T.answered_by(F.col("a"), F.col("p")), a="one", p="only two here") is False
+    assert value(spark, T.answered_by(F.col("a"), F.col("p")), a="CAFÉ|x|y|z", p="at the café, x") is True
+    assert value(spark, T.answered_by(F.col("a"), F.col("p")), a="?!", p="anything") is True
     assert value(spark, T.contains_any(F.col("t"), F.col("a")), t="abc", a=["", "bc"]) is True
