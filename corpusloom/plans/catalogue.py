@@ -13,6 +13,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import chunk, crawl, evaluate, generate, index, merge, neardup
+from ..session import spread
 
 DOMAIN = "ththhe.example.com"
 
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("url"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("url"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -235,7 +236,7 @@ FORMS_SQL = f"SELECT conv_id, turn, md5({_form('text')}) AS answer_md5, md5({_sq
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url"), F.lit("T").alias("title"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("url"), "text")).withColumn("title", F.lit("T"))
 
 
 def sliding_chunks(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "corpusloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -18,3 +18,12 @@ def build_session(app: str = "corpusloom", cpus: int | str = "*", shuffle_partit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is read in fewer splits than there are cores: a small file of one row group is read by one task.
+
+    Large inputs have more splits than that, and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -27,9 +27,11 @@ def test_entry_point(spark):
 
 
 def test_plans_push_down(spark):
-    plan = catalogue.sliding_chunks(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
-    assert "Exchange" not in plan
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    chunks = plan(catalogue.sliding_chunks(spark, SMALL))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in chunks
+    assert "Exchange hash" not in chunks and "Exchange range" not in chunks
+    assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)" in plan(catalogue.clean_answers(spark, SMALL))
 
 
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
