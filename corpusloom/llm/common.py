@@ -29,10 +29,13 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
+def materialize(df: DataFrame, tag: str, few_files: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors.
+
+    few_files: rebalances thin rows first, so that there are as many files as their size asks for, not one for each task of a wide stage.
+    """
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.hint("rebalance") if few_files else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
@@ -86,15 +89,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        # large star: every larger neighbour of u, to the smallest of u and its neighbours
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours, to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(least, "u")
-        small_star = step.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        then = materialize(small_star.where("u <> v").distinct(), "cc")
+        then = materialize(_star_round(now), "cc")
         changed = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now, same = then, changed == mark
@@ -104,3 +99,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _star_round(pairs: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on distinct pairs u > v."""
+    # large star: every larger neighbour of u, to the smallest of u and its neighbours
+    both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # small star: u and its smaller neighbours, to the smallest of them
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small_star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    return small_star.where("u <> v").distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that are learned from at most, over all languages, and of one language.
 SAMPLE_ROWS = 4000
-LANGUAGE_ROWS = 400
+LANGUAGE_ROWS = 300
 #: Languages that are learned at most, the most frequent first.
 LANGUAGES = 64
 #: Length of the hashed trigram vectors.
