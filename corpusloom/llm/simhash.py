@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """(doc_id, content, fp), materialised; content tells rows with one id apart."""
     rows = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
     out = rows.mapInArrow(_fingerprints, f"doc_id {df.schema[key].dataType.simpleString()}, content long, fp long")
-    return materialize(out, "fingerprints")
+    return materialize(out, "fingerprints", few_files=True)
 
 
 def _forest(members: np.ndarray, across: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -112,8 +112,8 @@ def _split(members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature: kind 0, a link (a, b); kind 1, a row (signature, fingerprint) of a group that must be shuffled again."""
+def _links(batches: Iterator[pa.RecordBatch], gather: int | None = GATHER) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by signature: kind 0, a link (a, b); kind 1, a row (signature, fingerprint) of a group of more than `gather` members, which must be shuffled again."""
 
     def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
@@ -148,25 +148,25 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             deferred = deferred if not len(keys) else None
         yield from solve(keys[:last], fps[:last])
         keys, fps = keys[last:], fps[last:]
-        if len(keys) > GATHER:
+        if gather is not None and len(keys) > gather:
             yield out(1, keys, fps)
             deferred = keys[-1]
             keys, fps = keys[:0], fps[:0]
     yield from solve(keys, fps) if len(keys) else ()
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "kind int, a long, b long")
+def _grouped(rows: DataFrame, gather: int | None) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda batches: _links(batches, gather), "kind int, a long, b long")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, gather: int = GATHER) -> DataFrame:
     """(a, b): fingerprints within DISTANCE, enough of them to connect all that are connected."""
     position = F.explode(F.sequence(F.lit(0), F.lit(2 * HALF - 1))).alias("position")
     rows = fps.select("fp", position)
     half = F.when(F.col("position") < HALF, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", HALF))
     left_out = F.expr(f"~shiftleft(1L, position % {HALF})")
     rows = rows.select((F.expr(f"shiftleft(cast(position as bigint), {HALF})") + half.bitwiseAND(left_out)).alias("key"), "fp")
-    found = materialize(_grouped(rows), "links")
+    found = materialize(_grouped(rows, gather), "links", few_files=True)
     again = found.where("kind = 1")
     if again.isEmpty():
         return found.where("kind = 0").select("a", "b").distinct()
@@ -175,25 +175,8 @@ def links(fps: DataFrame) -> DataFrame:
     again = again.select("a", F.col("b").alias("fp"), other.alias("other"), F.explode(F.sequence(F.lit(0), F.lit(HALF - 1))).alias("position"))
     kept = F.expr("shiftright(other, 16 * cast(position / 16 as int)) & 65535L & ~shiftleft(1L, position % 16)")
     deeper = again.select(F.xxhash64("a", "position", kept).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 61)).alias("key"), "fp")
-    return found.where("kind = 0").select("a", "b").union(_gathered(deeper)).distinct()
-
-
-def _gathered(rows: DataFrame) -> DataFrame:
-    """Links of groups of which each shares 46 bits or more; no more than 2 ** 18 distinct members are possible, and one task compares them."""
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links_of_all, "a long, b long")
-
-
-def _links_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def edges(table: pa.RecordBatch) -> pa.RecordBatch:
-        return table.filter(pa.compute.equal(table.column("kind"), 0)).select(["a", "b"])
-
-    global GATHER
-    keep, GATHER = GATHER, 1 << 62
-    try:
-        for batch in _links(batches):
-            yield edges(batch)
-    finally:
-        GATHER = keep
+    # each of these shares 46 bits or more, so that no more than 2 ** 18 distinct members are possible, and one task compares them
+    return found.where("kind = 0").union(_grouped(deeper, None)).select("a", "b").distinct()
 
 
 def classes(thin: DataFrame) -> DataFrame:
