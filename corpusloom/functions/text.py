@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -23,6 +23,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(rows: DataFrame, array: Column, name: str) -> DataFrame:
+    """One row for each element. An inner explode would make Spark infer a filter on the array's size, and so compute the array twice."""
+    return rows.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())
+
+
 def strip(c: Column) -> Column:
     """Without whitespace at both ends."""
     return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import exploded, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP = 5
@@ -23,7 +23,7 @@ def doc_lengths(chunks: DataFrame) -> DataFrame:
 def term_stats(chunks: DataFrame) -> DataFrame:
     """(term, df, idf). Each document's distinct terms are counted where they are; only sums by term are shuffled."""
     rows = chunks.select(F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = exploded(rows, F.col("terms"), "term").groupBy("term").agg(F.count("*").alias("df"))
     n = chunks.agg(F.count("*").alias("n"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.ln(F.col("n") - F.col("df") + F.lit(0.5)) - F.ln(F.col("df") + F.lit(0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -33,7 +33,7 @@ def term_stats(chunks: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(term, chunk_id, tf); of the given terms only, which then are looked up before anything is shuffled."""
-    rows = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
+    rows = exploded(chunks.select("chunk_id", tokens(F.col("text")).alias("tokens")), F.col("tokens"), "term").drop("tokens")
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
@@ -61,7 +61,7 @@ def scores(questions: DataFrame, chunks: DataFrame, index: tuple[DataFrame, Data
         terms = term_stats(chunks)
         rows = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
         mean = rows.agg((F.sum(F.size("tokens")).cast("double") / F.count("*")).alias("avgdl"))
-        rows = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        rows = exploded(rows.select("chunk_id", F.size("tokens").alias("dl"), "tokens"), F.col("tokens"), "term").drop("tokens")
         posted = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     else:
         posted, lengths, terms = index
