@@ -11,7 +11,7 @@ group of the anchor's gram. Neighbouring windows mostly share an anchor; one row
 2. `settle` reads the anchors sorted by gram and context. Equal contexts (128 bits of hash) are equal windows throughout: they
    are settled there. Anchors whose gram is shared by different contexts are open: their contexts must be compared.
 3. `open_contexts` fetches the tokens of the open anchors, and a solver given by the operator compares the windows of each gram's
-   contexts. Grams with more than HOT open contexts are dealt out by the digest of each window instead.
+   contexts. Grams with more open contexts than Shape.hot are dealt out by the digest of each window instead.
 4. `repeats` gathers the spans found, by document.
 
 Positions and identities fit 64-bit integers; texts are UTF-8 bytes.
@@ -37,16 +37,14 @@ CHUNK = 1 << 20
 POSITION_BITS = 22
 ANCHOR_FIELDS = ["gram", "context", "uid", "place"]
 ANCHOR_SCHEMA = "gram long, context long, uid long, place long"
-#: Open contexts of one gram that one task compares at most.
-HOT = 50_000
-
 
 @dataclass(frozen=True)
 class Shape:
-    """span: tokens in a window; gram: tokens in an anchor's gram, a power of two."""
+    """span: tokens in a window; gram: tokens in an anchor's gram, a power of two; hot: open contexts of one gram that one task compares at most."""
 
     span: int
     gram: int
+    hot: int = 1000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -306,7 +304,11 @@ def solved(contexts: DataFrame, solver: Solver, batch_bytes: int = 2 << 20) -> D
 
 
 def dealt(contexts: DataFrame, split: Callable[[bytes], list[bytes]], span: int, every: bool) -> DataFrame:
-    """Spans in contexts of hot grams: each window goes to the task of its digest, after partial aggregation."""
+    """Spans in contexts of hot grams: each window goes to the task of its digest, after partial aggregation.
+
+    The digests that occur twice are written before they are joined, so that they can be broadcast if they are few, and AQE can split
+    a digest with many rows if not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,9 +318,10 @@ def dealt(contexts: DataFrame, split: Callable[[bytes], list[bytes]], span: int,
                 places = np.arange(start, start + len(windows))
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(windows), uid)), pa.array(places)], ["digest", "uid", "start"])
 
-    rows = contexts.mapInArrow(run, "digest binary, uid long, start long")
+    rows = materialize(contexts.mapInArrow(run, "digest binary, uid long, start long"), "windows")
     by = rows.groupBy("digest").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    hits = rows.join(by, "digest")
+    by = materialize(by.select("digest", "first"), "digests")
+    hits = rows.join(small(by, by.count()), "digest")
     if not every:
         hits = hits.where(F.struct("uid", "start") != F.col("first"))
     return hits.select("uid", "start", F.lit(span).cast("long").alias("length"))
@@ -329,11 +332,11 @@ def repeats(docs: DataFrame, shape: Shape, tokens: Tokens, cut, split, solver: S
     found = materialize(settled(anchor_rows(docs, tokens, shape, every), shape.span, every), "settled")
     opened = found.where("gram is not null")
     spans = found.where("gram is null").select("uid", "start", "length")
-    hot = materialize(opened.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram"), "hot")
+    hot = materialize(opened.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > shape.hot).select("gram"), "hot")
     n_hot = hot.count()
     if n_hot:
         hot_rows = opened.join(small(hot, n_hot), "gram", "left_semi")
-        spans = spans.union(dealt(materialize(open_contexts(docs, hot_rows, cut, shape.span), "hot"), split, shape.span, every))
+        spans = spans.union(dealt(open_contexts(docs, hot_rows, cut, shape.span), split, shape.span, every))
         opened = opened.join(small(hot, n_hot), "gram", "left_anti")
     spans = spans.union(solved(open_contexts(docs, opened, cut, shape.span), solver))
     return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "length")).alias("spans"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -69,7 +70,6 @@ def test_simhash_links_of_large_groups(spark, monkeypatch, group, gather):
     import pyarrow as pa
 
     monkeypatch.setattr(simhash, "GROUP", group)
-    monkeypatch.setattr(simhash, "GATHER", gather)
     draw = random.Random(group)
     values = set()
     for _ in range(6):
@@ -80,7 +80,7 @@ def test_simhash_links_of_large_groups(spark, monkeypatch, group, gather):
     keys, fps = np.array([k for k, _ in rows]), np.array([v for _, v in rows], np.uint64).view(np.int64)
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 99]), pa.array(fps[i : i + 99])], ["key", "fp"]) for i in range(0, len(rows), 99)]
     found, deferred = [], {}
-    for b in simhash._links(iter(batches)):
+    for b in simhash._links(iter(batches), gather):
         for kind, a, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if kind:
                 deferred.setdefault(a, []).append(c)
@@ -95,6 +95,21 @@ def test_simhash_links_of_large_groups(spark, monkeypatch, group, gather):
     assert bool(deferred) == (gather == 5)
 
 
+def test_simhash_groups_that_are_shuffled_again(spark):
+    draw = random.Random(12)
+    values = set()
+    for _ in range(4):
+        x = draw.getrandbits(64)
+        values |= {x} | {x ^ sum(1 << b for b in draw.sample(range(64), draw.randint(1, 5))) for _ in range(50)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    fps = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3
+    for gather in (3, 200_000):
+        found = {(r.a, r.b) for r in simhash.links(fps, gather).collect()}
+        assert all(near(a, b) for a, b in found)
+        assert roots(sorted(map(signed, values)), lambda a, b, found=found: (a, b) in found or (b, a) in found) == roots(sorted(map(signed, values)), near)
+
+
 def test_simhash_rows_without_ids(spark):
     rows = [doc(None, "a b c d")] * 3 + [doc(4, "e f g h i j")] * 2 + [doc(9, "e f g h i j"), doc(5, None), doc(6, "")]
     df = spark.createDataFrame(rows, DOCUMENTS)
@@ -180,9 +195,10 @@ CASES = [(suffixarray.op6_suffix_array, brute_bytes), (fmindex.op8_fm_index, bru
 
 
 @pytest.mark.parametrize(("query", "brute"), CASES)
-@pytest.mark.parametrize("hot", [50_000, 2])
+@pytest.mark.parametrize("hot", [1000, 2])
 def test_repeated_windows(spark, table, monkeypatch, query, brute, hot):
-    monkeypatch.setattr(windows, "HOT", hot)
+    module = suffixarray if brute is brute_bytes else fmindex
+    monkeypatch.setattr(module, "SHAPE", dataclasses.replace(module.SHAPE, hot=hot))
     rows = list(enumerate(corpus(11)))
     folder = table("documents", [doc(i, t) for i, t in rows], DOCUMENTS, parts=7)
     assert {r.doc_id: tuple(r)[1:] for r in query(spark, folder).collect()} == brute(rows)
