@@ -27,7 +27,7 @@ from .suffixarray import merged
 from .windows import Shape, join_spans, repeats, with_uid
 
 SPAN = 35
-SHAPE = Shape(SPAN, 16)
+SHAPE = Shape(SPAN, 16, hot=500)
 
 
 class _Hashes(dict):
