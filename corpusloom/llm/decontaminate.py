@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: Bytes of item text in a block, as collected and broadcast.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Log2 of the size of the bitmap that is asked before the sorted sketch values.
 MASK_BITS = 20
 

@@ -77,7 +77,7 @@ def brute_leaks(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
+@pytest.mark.parametrize("block", [2 << 20, 300])
 def test_containment_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     draw = random.Random(6)
@@ -136,3 +136,9 @@ def test_pipeline_query(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"](spark, SMALL).count() > 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
