@@ -365,6 +365,19 @@ def page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.parsed("html")["title"].alias("title"))
 
 
+def _decoded(x: str) -> str:
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{entity};?', '{char}', 'g')"
+    return x
+
+
+TITLE_SQL = f"""
+WITH t AS (SELECT page_id, trim({_decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS t, trim({_decoded("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) AS h FROM pages),
+c AS (SELECT page_id, trim(regexp_replace(t, '\\s*\\|.*$', '')) AS t, h FROM t)
+SELECT page_id, CASE WHEN t <> '' THEN t ELSE h END AS title FROM c
+"""
+
+
 def page_sections(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(H.parsed("html")["sections"]).alias("section_idx", "s"))
     return rows.select("page_id", "section_idx", F.col("s.heading").alias("heading"), F.col("s.text").alias("text"))
@@ -609,7 +622,7 @@ SQL = {
     "recall_at_5": _recall_sql((5,)), "topk_ablation": _recall_sql((3, 5, 10)), "rag_prompts": RAG_SQL,
     "answer_em_f1": ANSWER_SQL, "eval_report": REPORT_SQL, "squad_em_f1": SQUAD_SQL, "zero_f1_breakdown": BREAKDOWN_SQL, "agreement_rate": AGREEMENT_SQL, "normal_forms": FORMS_SQL,
     "sliding_chunks": SLIDING_SQL, "section_chunks": SECTION_SQL, "chunk_size_ablation": ABLATION_SQL,
-    "url_normalize": URL_SQL, "url_admit": ADMIT_SQL, "url_filename": "SELECT page_id, substr(md5(url), 1, 16) || '.html' AS filename FROM pages", "link_extract": LINK_SQL, "page_links": PAGE_LINKS_SQL,
+    "url_normalize": URL_SQL, "url_admit": ADMIT_SQL, "url_filename": "SELECT page_id, substr(md5(url), 1, 16) || '.html' AS filename FROM pages", "page_title": TITLE_SQL, "link_extract": LINK_SQL, "page_links": PAGE_LINKS_SQL,
     "merge_priority": MERGE_SQL, "pending_docs": PENDING_SQL, "finished_docs": FINISHED_SQL, "assemble_with_fallback": ASSEMBLE_SQL, "missing_urls": MISSING_SQL,
     "latest_progress": LATEST_SQL, "first_progress": FIRST_SQL, "run_counters": COUNTERS_SQL,
     "neardup_pairs": PAIRS_SQL, "qa_validate": QA_SQL, "clean_answers": CLEAN_SQL, "llm_gate": GATE_SQL, "parse_llm_jsonl": PARSE_SQL, "retry_delays": RETRY_SQL, "category_plan": CATEGORY_SQL, "shuffled_items": SHUFFLE_SQL, "bfs_levels": BFS_SQL,
