@@ -13,7 +13,7 @@ table without words nothing is taken; extra columns are kept (names that begin w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, WORD_PATTERN, materialize, n_words, row_hash, small
@@ -52,13 +52,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return by.select("_loom_source", "source_size", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
+def _ends(depth: int, need: Column, cell: Column, p1: Column, p2: Column) -> tuple[Column, Column]:
+    """The thresholds if a source's boundary cell is (p1, p2) at that depth; the cell is taken if that comes closer."""
+    left1, left2 = WORD - min(depth, WORD), WORD - max(depth - WORD, 0)
+    more = (need * 2 > cell).cast("long")
+    if depth <= WORD:
+        return (p1 + more) * (1 << left1), F.lit(0).cast("long")
+    return p1, (p2 + more) * (1 << left2)
+
+
 def thresholds(thin: DataFrame, goal: DataFrame) -> tuple[DataFrame, int]:
     """(_loom_source, source_size, target, copies, t1, t2): rows with (_loom_h1, _loom_h2) < (t1, t2) are taken once more. Also the number of sources."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = goal.withColumn("copies", whole).withColumns(
         {"need": F.col("target") - F.col("copies") * F.col("source_size"), "p1": F.lit(0).cast("long"), "p2": F.lit(0).cast("long"), "cell": F.col("source_size"), "open": F.lit(True)}
     )
-    state = materialize(state, "mix")
+    # with no bits used, the cell is the whole source
+    state = materialize(state.withColumns(dict(zip(("t1", "t2"), _ends(0, *map(F.col, ("need", "cell", "p1", "p2"))), strict=True))), "mix")
     n = state.count()
     depth = 0
     while depth < 2 * WORD and not state.where("open").isEmpty():
@@ -78,25 +88,21 @@ def thresholds(thin: DataFrame, goal: DataFrame) -> tuple[DataFrame, int]:
         cut = cut.select(F.col("_loom_source").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("need", "p1", "p2", "cell", "open")])
         moved = state.join(small(cut, n), F.col("_loom_source").eqNullSafe(F.col("_s")), "left")
         was = F.col("open")
-        shift = 1 << STEP
+        depth += STEP
+        # a source that closes keeps the thresholds of its own depth, however deep others go
+        t1, t2 = _ends(depth, *map(F.col, ("_need", "_cell", "_p1", "_p2")))
+        now = was & F.col("_cell").isNotNull()
         state = materialize(
             moved.select(
                 "_loom_source", "source_size", "target", "copies",
-                F.when(was & F.col("_cell").isNotNull(), F.col("_need")).otherwise(F.col("need")).alias("need"),
-                F.when(was & F.col("_cell").isNotNull(), F.col("_p1")).otherwise(F.col("p1") * (shift if first else 1)).alias("p1"),
-                F.when(was & F.col("_cell").isNotNull(), F.col("_p2")).otherwise(F.col("p2") * (1 if first else shift)).alias("p2"),
-                F.when(was & F.col("_cell").isNotNull(), F.col("_cell")).otherwise(F.col("cell")).alias("cell"),
+                *[F.when(now, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("need", "p1", "p2", "cell")],
+                F.when(now, t1).otherwise(F.col("t1")).alias("t1"),
+                F.when(now, t2).otherwise(F.col("t2")).alias("t2"),
                 F.coalesce(was & F.col("_open"), F.lit(False)).alias("open"),
             ),
             "mix",
         )
-        depth += STEP
-    left1, left2 = WORD - min(depth, WORD), WORD - max(depth - WORD, 0)
-    # the last cell is taken if that comes closer; with no bits used, the cell is the whole source
-    near = F.col("need") * 2 > F.col("cell")
-    t1 = F.when(F.lit(depth <= WORD) & near, (F.col("p1") + 1) * (1 << left1)).otherwise(F.col("p1") * (1 << left1))
-    t2 = F.when(F.lit(depth > WORD) & near, (F.col("p2") + 1) * (1 << left2)).otherwise(F.col("p2") * (1 << left2))
-    return state.select("_loom_source", "source_size", "target", "copies", t1.alias("t1"), t2.alias("t2")), n
+    return state.select("_loom_source", "source_size", "target", "copies", "t1", "t2"), n
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

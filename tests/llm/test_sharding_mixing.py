@@ -91,3 +91,11 @@ def test_mix_edges(spark):
     assert [(r._loom_size, r._loom_target, r._loom_copies) for r in none] == [(0, 0.0, 0)] * 2
     one = mixing.mix(spark.createDataFrame([doc(1, "a b")], DOCUMENTS)).collect()
     assert [(r._loom_size, r._loom_target, r._loom_copies) for r in one] == [(2, 2.0, 1)]
+
+
+def test_a_hot_source_leaves_the_others_boundary_rows(spark, same, table):
+    """Sources of a few long documents close at 12 bits, the hot one goes on to 24: the boundary document is taken all the same."""
+    rows = [doc(i, "w " * (1 + i % 5), source="hot") for i in range(20_000)]
+    rows += [doc(30_000 + 10 * s + i, "w " * (900 + 37 * i + 11 * s), source=f"few{s}") for s in range(12) for i in range(6)]
+    folder = table("documents", rows, DOCUMENTS)
+    same(mixing.op3_mixing, mixing.OP3_SQL, folder, ["documents"])
