@@ -2,13 +2,14 @@
 
 Pages of one host are made from one template. Up to SAMPLE pages of a host, drawn by hash, are parsed to trees of
 block elements and folded into one tree by simple tree matching: two nodes match if their tag and classes do, and the ordered
-matching of their children is the largest. Slots of the folded tree whose text is the same on most pages are
-constant: they belong to the template. Slots whose text varies are content. Each page, of the whole table, is then
-aligned with its host's tree; text in constant slots goes, and so do parts that HTML itself marks as no part of the article (menus,
+matching of their children is the largest. Every page of the table is aligned with its host's tree, and the texts met in each
+slot are counted over all distinct pages of the host. Texts on CONSTANT_SHARE of them are constant: they belong to the
+template. Slots whose text varies are content. Each page is then aligned once more; constant text goes, and so do parts that HTML itself marks as no part of the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments), of whatever host. Of pages with an article element, or else
 a main element, only these are read.
 
-Trees of SAMPLE pages bound a template. The templates are broadcast within a checked size, else joined by host; AQE splits a
+Trees of SAMPLE pages bound a template: the sample gives its slots and the texts that are counted, those on two or more
+sampled pages; what is constant is decided by the count over all pages. The templates are broadcast within a checked size, else joined by host; AQE splits a
 host with a third of all pages. Nodes with very many children on both sides are aligned by order of equal tags alone.
 
 Defined cases: null, empty and text-less html gives an empty text; pages without a host share the template of no host;
@@ -22,6 +23,7 @@ import json
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, materialize, small
 
-#: Pages of a host from which its template is made, at most; and at least, for constant slots.
+#: Pages of a host whose trees are folded, at most; and distinct pages that it has at least, for constant slots.
 SAMPLE = 16
 MINIMUM = 8
-#: Share of a host's sampled pages on which a slot has the same text if it is constant.
+#: Share of a host's distinct pages on which a slot has the same text if it is constant.
 CONSTANT_SHARE = 0.75
 #: Pairs of children beyond which nodes are aligned by order of equal tags alone, and the depth from which nodes are not aligned.
 PAIRS = 40_000
@@ -235,23 +237,62 @@ def _fold(slot: list, node: Node, depth: int = 0) -> None:
     slot[3] = new + slot[3][i:]
 
 
-def _constant(slot: list, pages: int) -> list:
-    """The template as it is kept: sign, constant texts, children; without what holds no constant text."""
-    texts = sorted(k for k, n in slot[2].items() if n >= CONSTANT_SHARE * pages) if pages >= MINIMUM else []
-    return [slot[0], texts, [_constant(s, pages) for s in slot[3]]]
-
-
-def _holds(slot: list) -> bool:
-    return bool(slot[1]) or any(map(_holds, slot[2]))
+def _candidates(slot: list) -> list:
+    """The folded tree as it is kept: sign, texts on more than one page, children."""
+    return [slot[0], sorted(k for k, n in slot[2].items() if n > 1), [_candidates(s) for s in slot[3]]]
 
 
 def induce(pages: list[str]) -> str | None:
-    """The template of a host's pages, as JSON; None if nothing is constant."""
+    """The folded tree of a host's sampled pages, as JSON; None if no text is on two of them."""
     root = ["#root", 0, Counter(), []]
     for html in pages:
         _fold(root, _scope(parse(html)))
-    kept = _constant(root, len(pages))
-    return json.dumps(kept, separators=(",", ":")) if _holds(kept) else None
+    kept = _candidates(root)
+    return json.dumps(kept, separators=(",", ":")) if any(slot[1] for slot in _slots(kept)) else None
+
+
+def _slots(root: list) -> Iterator[list]:
+    """The slots of a template in a fixed order, parents first; a slot's place in it is its number."""
+    stack = [root]
+    while stack:
+        slot = stack.pop()
+        yield slot
+        stack += slot[2]
+
+
+def _hit(number: int, text: int) -> int:
+    return number << 32 | text
+
+
+def _load(made: str) -> list:
+    """A template with two more fields in each slot: its number, and whether it or a slot below has texts."""
+    root = json.loads(made)
+    slots = list(_slots(root))
+    for number, slot in enumerate(slots):
+        slot.append(number)
+    for slot in reversed(slots):
+        slot.append(bool(slot[1]) or any(s[4] for s in slot[2]))
+    return root
+
+
+def _confirmed(made: str, hits: list[int]) -> str:
+    """The template with only the texts that are constant in their slots."""
+    root, constant = json.loads(made), set(hits)
+    for number, slot in enumerate(_slots(root)):
+        slot[1] = [k for k in slot[1] if _hit(number, k) in constant]
+    return json.dumps(root, separators=(",", ":"))
+
+
+def _matched(template: list, page: Node) -> Iterator[tuple[int, Node]]:
+    """(hit, node) for each text of a page that the slot it is aligned with has, too."""
+    stack = [(template, page, 0)]
+    while stack:
+        slot, node, depth = stack.pop()
+        if slot[1] and node.text and (key := _key(node.text)) in slot[1]:
+            yield _hit(slot[3], key), node
+        kids = [c for c in node.children if not c.aside]
+        pairs = align(slot[2], kids, lambda s: s[0], lambda c: c.sign, lambda s: s[2], lambda c: [x for x in c.children if not x.aside], depth)[1]
+        stack += [(slot[2][i], kids[j], depth + 1) for i, j in pairs if slot[2][i][4]]
 
 
 def _scope(root: Node) -> Node:
@@ -296,14 +337,7 @@ def extract(html: str | None, template: list | None) -> str:
     page = _scope(parse(html))
     gone: set[int] = set()
     if template is not None:
-        stack = [(template, page, 0)]
-        while stack:
-            slot, node, depth = stack.pop()
-            if slot[1] and node.text and _key(node.text) in slot[1]:
-                gone.add(id(node))
-            kids = [c for c in node.children if not c.aside]
-            pairs = align(slot[2], kids, lambda s: s[0], lambda c: c.sign, lambda s: s[2], lambda c: [x for x in c.children if not x.aside], depth)[1]
-            stack += [(slot[2][i], kids[j], depth + 1) for i, j in pairs if _holds(slot[2][i])]
+        gone = {id(node) for _, node in _matched(template, page)}
     # where classes mark all there is, they speak of the layout
     return "\n".join(_blocks(page, gone, 1) or _blocks(page, gone, 2))
 
@@ -312,13 +346,41 @@ def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _by_template(rows: DataFrame, known: DataFrame, each: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
+    """each(batch, templates of its rows) over rows with a column host. The templates are broadcast within a checked size, else joined."""
+    size = known.agg(F.sum(F.length("template") + F.length("host") + 64)).first()[0] or 0
+    by_host = None
+    if size <= BROADCAST_BYTES:
+        by_host = rows.sparkSession.sparkContext.broadcast({r.host: r.template for r in known.collect()})
+        rows = rows.withColumn("template", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(known, "host", "left")
+
+    def run(batches):
+        parsed: dict[str, list | None] = {}
+        for batch in batches:
+            found = []
+            for name, template in zip(batch.column("host").to_pylist(), batch.column("template"), strict=True):
+                if name not in parsed:
+                    if len(parsed) > 1000:
+                        parsed.clear()
+                    made = by_host.value.get(name) if by_host is not None else template.as_py()
+                    parsed[name] = _load(made) if made else None
+                found.append(parsed[name])
+            yield each(batch, found)
+
+    return rows.mapInArrow(run, schema)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template) of the hosts that have constant slots."""
     rows = pages.select(host().alias("host"), F.col("html")).where("html is not null and host <> ''").withColumn("draw", F.xxhash64("html"))
-    # the draws that can be among a host's smallest: some four times SAMPLE, so that a host's draws can be ranked in one task
-    counts = materialize(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    # the draws that can be among a host's smallest: some four times SAMPLE, so that a host's draws can be ranked in one task; copies count once
+    counts = rows.select("host", "draw").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MINIMUM)
+    counts = materialize(counts, "hosts")
+    n_hosts = counts.count()
     below = (F.pmod(F.col("draw"), F.lit(1 << 20)) / (1 << 20)) < 4.0 * SAMPLE / F.col("n")
-    drawn = rows.select("host", "draw").join(small(counts, counts.count(), 96), "host").where(below).select("host", "draw").distinct()
+    drawn = rows.select("host", "draw").join(small(counts, n_hosts, 96), "host").where(below).select("host", "draw").distinct()
     few = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("draw"))).where(F.col("rank") <= SAMPLE)
     few = materialize(few.select("host", "draw"), "sample")
     chosen = rows.join(few, ["host", "draw"]).groupBy("host", "draw").agg(F.first("html").alias("html"))
@@ -327,35 +389,33 @@ def templates(pages: DataFrame) -> DataFrame:
         made = induce(list(pdf.sort_values("draw").html))
         return pd.DataFrame({"host": [key[0]], "template": [made]}) if made else pd.DataFrame({"host": pd.Series(dtype=str), "template": pd.Series(dtype=str)})
 
-    return chosen.groupBy("host").applyInPandas(build, "host string, template string")
+    folded = materialize(chosen.groupBy("host").applyInPandas(build, "host string, template string"), "folded")
+
+    def count(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        hits = [sorted(hit for hit, _ in _matched(template, _scope(parse(html)))) if template else [] for html, template in zip(batch.column("html").to_pylist(), found, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("draw"), pa.array(hits, pa.list_(pa.int64()))], ["host", "draw", "hits"])
+
+    met = _by_template(rows, folded, count, "host string, draw long, hits array<long>").distinct()
+    met = met.select("host", F.explode("hits").alias("hit")).groupBy("host", "hit").agg(F.count("*").alias("pages"))
+    constant = met.join(small(counts, n_hosts, 96), "host").where(F.col("pages") >= CONSTANT_SHARE * F.col("n")).groupBy("host").agg(F.collect_list("hit").alias("hits"))
+
+    @F.pandas_udf("string")
+    def confirm(made: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([_confirmed(m, [int(x) for x in h]) for m, h in zip(made, hits, strict=True)], dtype=object)
+
+    return folded.join(constant, "host").select("host", confirm("template", "hits").alias("template"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     known = materialize(templates(pages), "templates")
-    size = known.agg(F.sum(F.length("template") + F.length("host") + 64)).first()[0] or 0
-    rows = pages.select("page_id", "url", "html", host().alias("host"))
-    by_host = None
-    if size <= BROADCAST_BYTES:
-        by_host = pages.sparkSession.sparkContext.broadcast({r.host: r.template for r in known.collect()})
-        rows = rows.withColumn("template", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(known, "host", "left")
 
-    def run(batches):
-        parsed: dict[str, list | None] = {}
-        for batch in batches:
-            texts = []
-            for html, name, template in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), batch.column("template"), strict=True):
-                if name not in parsed:
-                    if len(parsed) > 1000:
-                        parsed.clear()
-                    made = by_host.value.get(name) if by_host is not None else template.as_py()
-                    parsed[name] = json.loads(made) if made else None
-                texts.append(extract(html, parsed[name]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def read(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        texts = [extract(html, template) for html, template in zip(batch.column("html").to_pylist(), found, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    rows = pages.select("page_id", "url", "html", host().alias("host"))
+    return _by_template(rows, known, read, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:

@@ -111,3 +111,18 @@ def test_tree_matching():
     size, pairs = wrapper.align(a, b, sign, sign, kids, kids)
     assert size == 2 + 1 or size == 3
     assert pairs == sorted(pairs) and all(a[i][0] == b[j][0] for i, j in pairs)
+
+
+def test_copies_count_once_for_a_template(spark):
+    rows = [(100 * i + c, f"http://site.org/{i}/{c}", f"<p>Always here</p><p>text {i}</p>") for i in range(60) for c in range(25)]
+    got = wrapper.main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(got) == 1500 and all(r.text == f"text {r.page_id // 100}" for r in got)
+
+
+def test_constant_texts_are_counted_over_all_pages(spark):
+    """On each of 12 hosts a text on 80% of 200 pages is constant and one on 60% is not, whatever 16 pages say."""
+    page = lambda i: ("<div class=a>Four fifths</div>" if i % 5 else "") + ("<div class=b>Three fifths</div>" if i % 5 > 1 else "") + f"<p>Body {i}</p>"
+    rows = [(1000 * h + i, f"http://site{h}.org/{i}", page(i) + f"<p>of {h}-{i}</p>") for h in range(12) for i in range(200)]
+    for r in wrapper.main_text(spark.createDataFrame(rows, PAGES)).collect():
+        h, i = divmod(r.page_id, 1000)
+        assert r.text == ("Three fifths\n" if i % 5 > 1 else "") + f"Body {i}\nof {h}-{i}"
