@@ -10,7 +10,7 @@ a main element, only these are read.
 
 Trees of SAMPLE pages bound a template: the sample gives its slots and the texts that are counted, those on two or more
 sampled pages; what is constant is decided by the count over all pages. The templates are broadcast within a checked size, else joined by host; AQE splits a
-host with a third of all pages. Nodes with very many children on both sides are aligned by order of equal tags alone.
+host with a third of all pages. Nodes with very many children are aligned by the same rule as others.
 
 Defined cases: null, empty and text-less html gives an empty text; pages without a host share the template of no host;
 hosts of fewer than MINIMUM pages have no constant slots; cut off pages are read as far as they go; repeated pages count once
@@ -20,12 +20,14 @@ for a template; an empty table gives an empty result; extra columns aren't read.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,9 +40,11 @@ SAMPLE = 16
 MINIMUM = 8
 #: Share of a host's distinct pages on which a slot has the same text if it is constant.
 CONSTANT_SHARE = 0.75
-#: Pairs of children beyond which nodes are aligned by order of equal tags alone, and the depth from which nodes are not aligned.
-PAIRS = 40_000
+#: Pairs of children beyond which they are aligned by vectors, with the same result, and the depth from which nodes are not aligned.
+CELLS = 400
 DEPTH = 60
+#: Shapes and pairs of them that are kept for a template from page to page.
+SHAPES = 20_000
 
 #: Elements of HTML without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -172,56 +176,141 @@ def _key(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-def align(a: list, b: list, sign_a, sign_b, kids_a, kids_b, depth: int = 0) -> tuple[int, list[tuple[int, int]]]:
+class Shapes:
+    """Numbers for trees of signs, and the sizes of the largest matchings between them. Nodes of one shape match alike, so each pair of shapes is settled once."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.signs, self.kids, self.nodes = [], [], []  # by shape
+        self.weights: dict[tuple[int, int], int] = {}
+        self.a: dict[int, int] = {}  # shapes of nodes by identity, of either side
+        self.b: dict[int, int] = {}
+
+    def of(self, node, sign, kids, depth: int, known: dict[int, int]) -> int:
+        """The shape of a node in a list at that depth; what is too deep to be aligned doesn't count."""
+        got = known.get(id(node))
+        if got is None:
+            below = tuple([self.of(k, sign, kids, depth + 1, known) for k in kids(node)]) if depth < DEPTH else ()
+            key = (sign(node), below)
+            got = self.numbers.get(key)
+            if got is None:
+                got = self.numbers[key] = len(self.signs)
+                self.signs.append(key[0])
+                self.kids.append(below)
+                self.nodes.append(1 + sum(self.nodes[k] for k in below))
+            known[id(node)] = got
+        return got
+
+    def weight(self, x: int, y: int) -> int:
+        """Size of the largest matching of two trees by their roots; 0 if these don't match."""
+        if x == y:
+            return self.nodes[x]
+        if self.signs[x] != self.signs[y]:
+            return 0
+        got = self.weights.get((x, y))
+        if got is None:
+            got = self.weights[x, y] = 1 + self.match(self.kids[x], self.kids[y], False)[0]
+        return got
+
+    def match(self, a: Sequence[int], b: Sequence[int], paired: bool = True) -> tuple[int, list[tuple[int, int]]]:
+        """The size of the largest ordered matching of two lists of shapes, and its pairs; of equal ones that which ties to the end."""
+        if not a or not b:
+            return 0, []
+        return self._by_cells(a, b, paired) if len(a) * len(b) <= CELLS else self._by_rows(a, b, paired)
+
+    def _by_cells(self, a, b, paired):
+        m, n = len(a), len(b)
+        rows = {x: [self.weight(x, y) for y in b] for x in set(a)}
+        best = [[0] * (n + 1)]
+        for i in range(m):
+            row, above, w = [0] * (n + 1), best[i], rows[a[i]]
+            for j in range(n):
+                v = above[j] + w[j] if w[j] else 0
+                row[j + 1] = max(v, above[j + 1], row[j])
+            best.append(row)
+        pairs: list[tuple[int, int]] = []
+        i, j = (m, n) if paired else (0, 0)
+        while i and j:
+            w = rows[a[i - 1]][j - 1]
+            if w and best[i][j] == best[i - 1][j - 1] + w:
+                pairs.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        pairs.reverse()
+        return best[m][n], pairs
+
+    def _by_rows(self, a, b, paired):
+        """The same for long lists: a vector for each node of the shorter one, of which every so many are kept and the rest made again."""
+        turned = len(b) < len(a)
+        few, many = (b, a) if turned else (a, b)
+        distinct = {y: k for k, y in enumerate(dict.fromkeys(many))}
+        at = np.array([distinct[y] for y in many])
+        rows = {x: np.array([self.weight(y, x) if turned else self.weight(x, y) for y in distinct], np.int64)[at] for x in set(few)}
+
+        def after(above: np.ndarray, x: int) -> np.ndarray:
+            w, row = rows[x], np.zeros(len(many) + 1, np.int64)
+            np.maximum.accumulate(np.maximum(np.where(w > 0, above[:-1] + w, 0), above[1:]), out=row[1:])
+            return row
+
+        step = math.isqrt(len(few)) + 1
+        row = np.zeros(len(many) + 1, np.int64)
+        kept = [row]
+        for k, x in enumerate(few, 1):
+            row = after(row, x)
+            if k % step == 0:
+                kept.append(row)
+        size = int(row[-1])
+        pairs: list[tuple[int, int]] = []
+        s, t = (len(few), len(many)) if paired else (0, 0)  # places in few and in many
+        first, block = len(few) + 1, []
+        while s and t:
+            if s - 1 < first:
+                first = (s - 1) // step * step
+                block = [kept[first // step]]
+                for x in few[first:s]:
+                    block.append(after(block[-1], x))
+                block = [r.tolist() for r in block]
+            here, above = block[s - first], block[s - 1 - first]
+            w = int(rows[few[s - 1]][t - 1])
+            if w and here[t] == above[t - 1] + w:
+                pairs.append((t - 1, s - 1) if turned else (s - 1, t - 1))
+                s, t = s - 1, t - 1
+            elif turned:
+                # the row of a's last node is left first
+                if here[t] == here[t - 1]:
+                    t -= 1
+                else:
+                    s -= 1
+            elif here[t] == above[t]:
+                s -= 1
+            else:
+                t -= 1
+        pairs.reverse()
+        return size, pairs
+
+
+def align(a: list, b: list, sign_a, sign_b, kids_a, kids_b, depth: int = 0, shapes: Shapes | None = None) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two ordered lists of nodes: the size of the largest matching, and its pairs at this level."""
-    m, n = len(a), len(b)
-    if not m or not n or depth > DEPTH:
+    if not a or not b or depth > DEPTH:
         return 0, []
-    pairs: list[tuple[int, int]] = []
-    signs_a, signs_b = [sign_a(x) for x in a], [sign_b(x) for x in b]
-    if m * n > PAIRS:
-        j = 0
-        for i in range(m):
-            k = j
-            while k < n and signs_b[k] != signs_a[i]:
-                k += 1
-            if k < n:
-                pairs.append((i, k))
-                j = k + 1
-        return len(pairs), pairs
-    weight = [[0] * n for _ in range(m)]
-    for i in range(m):
-        for j in range(n):
-            if signs_a[i] == signs_b[j]:
-                ka, kb = kids_a(a[i]), kids_b(b[j])
-                weight[i][j] = 1 + (align(ka, kb, sign_a, sign_b, kids_a, kids_b, depth + 1)[0] if ka and kb else 0)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        row, above, w = best[i + 1], best[i], weight[i]
-        for j in range(n):
-            v = above[j] + w[j] if w[j] else 0
-            row[j + 1] = max(v, above[j + 1], row[j])
-    i, j, size = m, n, best[m][n]
-    while i and j:
-        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    pairs.reverse()
-    return size, pairs
+    shapes = shapes or Shapes()
+    return shapes.match([shapes.of(x, sign_a, kids_a, depth, shapes.a) for x in a], [shapes.of(x, sign_b, kids_b, depth, shapes.b) for x in b])
 
 
 # A template node is a list: sign, number of pages, texts (crc32 to pages), children.
-def _fold(slot: list, node: Node, depth: int = 0) -> None:
-    """Adds a page's node, which matches the slot, to the template."""
+def _fold(slot: list, node: Node, shapes: Shapes, depth: int = 0) -> None:
+    """Adds a page's node, which matches the slot, to the template. shapes: of this page; slots keep theirs until they are reached."""
     slot[1] += 1
     if node.text:
         slot[2][_key(node.text)] += 1
     kids = [c for c in node.children if not c.aside]
-    pairs = align(slot[3], kids, lambda s: s[0], lambda c: c.sign, lambda s: s[3], lambda c: [x for x in c.children if not x.aside], depth)[1]
+    pairs = align(slot[3], kids, lambda s: s[0], lambda c: c.sign, lambda s: s[3], lambda c: [x for x in c.children if not x.aside], depth, shapes)[1]
     new, i = [], 0
     matched = {j: i for i, j in pairs}
     for j, kid in enumerate(kids):
@@ -232,7 +321,7 @@ def _fold(slot: list, node: Node, depth: int = 0) -> None:
         else:
             here = [kid.sign, 0, Counter(), []]
         if depth < DEPTH:
-            _fold(here, kid, depth + 1)
+            _fold(here, kid, shapes, depth + 1)
         new.append(here)
     slot[3] = new + slot[3][i:]
 
@@ -246,7 +335,7 @@ def induce(pages: list[str]) -> str | None:
     """The folded tree of a host's sampled pages, as JSON; None if no text is on two of them."""
     root = ["#root", 0, Counter(), []]
     for html in pages:
-        _fold(root, _scope(parse(html)))
+        _fold(root, _scope(parse(html)), Shapes())
     kept = _candidates(root)
     return json.dumps(kept, separators=(",", ":")) if any(slot[1] for slot in _slots(kept)) else None
 
@@ -265,13 +354,14 @@ def _hit(number: int, text: int) -> int:
 
 
 def _load(made: str) -> list:
-    """A template with two more fields in each slot: its number, and whether it or a slot below has texts."""
+    """A template with two more fields in each slot: its number, and whether it or a slot below has texts; and the shapes in the root."""
     root = json.loads(made)
     slots = list(_slots(root))
     for number, slot in enumerate(slots):
         slot.append(number)
     for slot in reversed(slots):
         slot.append(bool(slot[1]) or any(s[4] for s in slot[2]))
+    root.append(Shapes())
     return root
 
 
@@ -285,13 +375,17 @@ def _confirmed(made: str, hits: list[int]) -> str:
 
 def _matched(template: list, page: Node) -> Iterator[tuple[int, Node]]:
     """(hit, node) for each text of a page that the slot it is aligned with has, too."""
+    shapes = template[5]
+    shapes.b = {}
+    if len(shapes.numbers) + len(shapes.weights) > SHAPES:
+        shapes.clear()
     stack = [(template, page, 0)]
     while stack:
         slot, node, depth = stack.pop()
         if slot[1] and node.text and (key := _key(node.text)) in slot[1]:
             yield _hit(slot[3], key), node
         kids = [c for c in node.children if not c.aside]
-        pairs = align(slot[2], kids, lambda s: s[0], lambda c: c.sign, lambda s: s[2], lambda c: [x for x in c.children if not x.aside], depth)[1]
+        pairs = align(slot[2], kids, lambda s: s[0], lambda c: c.sign, lambda s: s[2], lambda c: [x for x in c.children if not x.aside], depth, shapes)[1]
         stack += [(slot[2][i], kids[j], depth + 1) for i, j in pairs if slot[2][i][4]]
 
 

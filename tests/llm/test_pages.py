@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
 from pathlib import Path
 
 import pytest
@@ -126,3 +127,36 @@ def test_constant_texts_are_counted_over_all_pages(spark):
     for r in wrapper.main_text(spark.createDataFrame(rows, PAGES)).collect():
         h, i = divmod(r.page_id, 1000)
         assert r.text == ("Three fifths\n" if i % 5 > 1 else "") + f"Body {i}\nof {h}-{i}"
+
+
+def brute_align(a, b):
+    """Simple tree matching cell by cell; ties go to the end."""
+    weight = [[1 + brute_align(x[1], y[1])[0] if x[0] == y[0] else 0 for y in b] for x in a]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = max(best[i][j] + weight[i][j] if weight[i][j] else 0, best[i][j + 1], best[i + 1][j])
+    i, j, pairs = len(a), len(b), []
+    while i and j:
+        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return best[-1][-1], pairs[::-1]
+
+
+@pytest.mark.parametrize(("m", "n"), [(3, 4), (25, 40), (60, 9), (7, 300), (201, 203), (230, 190)])
+def test_long_lists_are_aligned_like_short_ones(m, n):
+    draw = random.Random(m * n)
+    tree = lambda d: (draw.choice("ppd"), [tree(d - 1) for _ in range(draw.choice((0, 1, 1, 3)))] if d else [])
+    a, b = [tree(2) for _ in range(m)], [tree(2) for _ in range(n)]
+    assert wrapper.align(a, b, lambda x: x[0], lambda x: x[0], lambda x: x[1], lambda x: x[1]) == brute_align(a, b)
+
+
+def test_one_long_page_does_not_hide_a_trailing_constant(spark):
+    page = lambda i: "".join(f"<p>Body {i} {k}</p>" for k in range(5000 if i == 3 else 9 + i % 7)) + "<p>Sign up today</p>"
+    got = wrapper.main_text(spark.createDataFrame([(i, f"http://site.org/{i}", page(i)) for i in range(16)], PAGES)).collect()
+    assert all(r.text == "\n".join(f"Body {r.page_id} {k}" for k in range(5000 if r.page_id == 3 else 9 + r.page_id % 7)) for r in got)
