@@ -3,7 +3,9 @@
 Texts become vectors of hashed byte trigrams of the lower-cased text, square roots of their counts, scaled to
 length one. A linear support vector machine for each pair of families votes for the family; one for each pair of the
 family's languages votes for the language. Both are trained on the driver by dual coordinate
-descent on a sample of at most SAMPLE_ROWS labelled rows, chosen by hash. Prediction is one pass over the whole texts.
+descent on a sample of at most SAMPLE_ROWS labelled rows, chosen by hash; FEWEST_ROWS of each language are learned from
+even if there are so many languages that it takes more. Every label is learned. A vector takes WIDTH floats (32 KiB), and so
+does the classifier of each pair of one family's languages. Prediction is one pass over the whole texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, and so is everything if nothing was
 learned; null ids are neither learned from nor held out; empty tables give empty results; repeated rows are predicted
@@ -21,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that are learned from at most, over all languages, and of one language.
+#: Labelled rows that are learned from at most, over all languages, and of one language; and the bound for one language that isn't gone below.
 SAMPLE_ROWS = 4000
 LANGUAGE_ROWS = 300
-#: Languages that are learned at most, the most frequent first.
-LANGUAGES = 64
+FEWEST_ROWS = 5
 #: Length of the hashed trigram vectors.
 WIDTH = 1 << 13
 UND = "und"
@@ -117,13 +118,13 @@ def held_out(key: str) -> F.Column:
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from rows with a label that aren't held out."""
     rows = df.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(f"k is not null and lang is not null and text is not null and lang <> '{UND}'").where(~held_out("k"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(np.zeros((0, WIDTH), np.float32), [])
-    most = min(LANGUAGE_ROWS, SAMPLE_ROWS // len(counts))
-    share = F.create_map(*[F.lit(v) for lang_, n in counts.items() for v in (lang_, min(1.0, 1.5 * most / n + 20 / n))])
+    most = min(LANGUAGE_ROWS, max(FEWEST_ROWS, SAMPLE_ROWS // len(counts)))
+    share = F.create_map(*[F.lit(v) for lang_, n in sorted(counts.items()) for v in (lang_, min(1.0, 1.5 * most / n + 20 / n))])
     draw = F.pmod(F.xxhash64("k"), F.lit(1_000_003)) / 1_000_003
-    few = rows.where(F.col("lang").isin(list(counts))).where(draw < share[F.col("lang")])
+    few = rows.where(draw < share[F.col("lang")])
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))).where(f"rank <= {most}")
 
     def vectors(batches):

@@ -142,3 +142,14 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """70 labels, each with words of its own; the rarest are known as well."""
+    name = lambda k: f"x{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    rows = [doc(100 * k + i, f"{name(k) * 3} {name(k)} {name(k) * 2} {i}", name(k)) for k in range(70) for i in range(8 if k >= 64 else 12)]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    model = langid.fit(df)
+    assert model.languages == [name(k) for k in range(70)]
+    got = langid.predict(df.where("doc_id >= 6400"), model).collect()
+    assert len(got) == 48 and all(r.lang_pred == r.lang for r in got)
