@@ -487,6 +487,11 @@ def neardup_pairs(spark, sf_dir):
     return neardup.pairs(rows, form=T.ascii_question_form).select(F.col("ord_a").alias("page_a"), F.col("ord_b").alias("page_b"), F.round("ratio", 6).alias("ratio"))
 
 
+def neardup_pairs_all(spark, sf_dir):
+    """Near-duplicate pairs among all titles, by the full form; neardup_pairs is the part that DuckDB can follow."""
+    return neardup.pairs(_titles(spark, sf_dir)).select(F.col("ord_a").alias("page_a"), F.col("ord_b").alias("page_b"), F.round("ratio", 6).alias("ratio"))
+
+
 PAIRS_SQL = """
 WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS q FROM pages),
 w AS (SELECT page_id, list_distinct(regexp_extract_all(lower(q), '[a-z0-9_]+')) AS w FROM t WHERE NOT regexp_matches(q, '[^ -~]')),
@@ -610,7 +615,7 @@ QUERIES = {
         bm25_top5, term_stats, doc_lengths, postings, recall_at_5, topk_ablation, rag_prompts, answer_batch, answer_em_f1, eval_report, squad_em_f1, zero_f1_breakdown, agreement_rate, normal_forms,
         sliding_chunks, section_chunks, chunk_size_ablation, url_normalize, url_admit, url_filename, link_extract, page_links, page_title, page_sections, page_text, page_question_text, page_chunks,
         merge_priority, pending_docs, finished_docs, assemble_with_fallback, missing_urls, latest_progress, first_progress, run_counters,
-        neardup_pairs, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, bfs_levels,
+        neardup_pairs, neardup_pairs_all, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, bfs_levels,
     )
 }
 

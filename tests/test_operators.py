@@ -243,3 +243,19 @@ def test_sampling_is_stable(spark):
 
 def test_let_computes_once(spark):
     assert spark.range(1).select(T.let(F.lit(3), lambda x: x * x)).first()[0] == 9
+
+
+def test_pairs_of_all_titles_against_brute_force(spark, tmp_path):
+    from itertools import combinations
+
+    from corpusloom.plans import catalogue
+
+    titles = ["What is the café menu today?", "what is the CAFÉ menu today", "Der Fluß und die Stadt", "der fluß und die stadt heute", "plain words only here", "Plain words only here!", "été", "", "naïve plan", "nothing like it"]
+    spark.createDataFrame([(i, f"http://h/{i}", f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    sets = []
+    for t in titles:
+        (r,) = spark.createDataFrame([(t,)], "t string").select(T.words(T.question_form(F.col("t"))).alias("w")).collect()
+        sets.append(set(r.w))
+    want = sorted((a, b) for a, b in combinations(range(len(titles)), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) > 0.8)
+    got = sorted((r.page_a, r.page_b) for r in catalogue.neardup_pairs_all(spark, str(tmp_path)).collect())
+    assert got == want and {(0, 1), (2, 3), (4, 5)} <= set(got)
