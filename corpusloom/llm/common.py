@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most bytes of a join side that may be broadcast; larger sides are shuffled.
@@ -17,10 +18,12 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests on one machine)."""
+    """The folder that driver and executors share. A temporary one only where the session names none and all runs on one machine; elsewhere that is an error."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or getattr(spark, "_loom_dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = spark._loom_dir = "file://" + tempfile.mkdtemp(prefix="loom-")
     return path.rstrip("/")
 
@@ -61,19 +64,42 @@ def n_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def row_hash(key: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
-    """Two words of WORD bits: of the key alone, and of what still tells apart rows with that key.
+def identified(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with _loom_h1 and _loom_h2, two words of WORD bits that tell its rows apart and are the same however often df is computed.
 
-    The second has the content in its high half and the row's position in its low half,
-    so that null keys, repeated keys and even repeated rows can be split.
+    The first is of the key alone, the second of what still tells apart rows with that key: their text. Rows that repeat in key and
+    text can only be told apart by a place. Places depend on how a plan happens to be cut, so these rows are written with theirs to the
+    shared folder, once, and read from there; all others stay where they are. Rows that agree in all bits (2 ** -120 a pair) are not told apart.
     """
     known = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     first = F.conv(F.substring(F.md5(known), 1, WORD // 4), 16, 10).cast("long")
-    half = WORD // 2
-    second = F.shiftrightunsigned(F.xxhash64(F.col(text)), 64 - half) * F.lit(1 << half) + F.shiftrightunsigned(
-        F.xxhash64(F.monotonically_increasing_id()), 64 - half
-    )
-    return first, second
+    rows = df.withColumns({"_loom_h1": first, "_loom_h2": F.shiftrightunsigned(F.xxhash64(F.col(text)), 64 - WORD)})
+    again = rows.groupBy("_loom_h1", "_loom_h2").agg(F.count("*").alias("n")).where("n > 1").select("_loom_h1", "_loom_h2")
+    again = materialize(again, "again", few_files=True)
+    n = again.count()
+    if not n:
+        return rows
+    again = small(again, n)
+    placed = materialize(rows.join(again, ["_loom_h1", "_loom_h2"], "left_semi").withColumn("_loom_place", F.monotonically_increasing_id()), "placed")
+    told = F.shiftrightunsigned(F.xxhash64("_loom_h2", "_loom_place"), 64 - WORD)
+    return rows.join(again, ["_loom_h1", "_loom_h2"], "left_anti").select(*rows.columns).unionByName(placed.withColumn("_loom_h2", told).select(*rows.columns))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, copies: str | None = None) -> DataFrame:
+    """rows, written, with a long `name`: how many rows (or the sum of `copies` of the rows) come before in a global order, ties in any.
+
+    Ranges of the order are dealt to partitions, so no task sees all rows; the driver sees one number a partition.
+    """
+    placed = materialize(rows.repartitionByRange(*order).withColumn("_loom_part", F.spark_partition_id()), "ranges")
+    each = F.col(copies) if copies else F.lit(1)
+    before, offsets = 0, []
+    for r in placed.groupBy("_loom_part").agg(F.sum(each).alias("n")).orderBy("_loom_part").collect():
+        offsets += [F.lit(r["_loom_part"]), F.lit(before)]
+        before += r["n"]
+    if not offsets:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    upto = F.sum(each).over(Window.partitionBy("_loom_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn(name, (F.create_map(*offsets)[F.col("_loom_part")] + upto - each).cast("long")).drop("_loom_part")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -6,8 +6,8 @@ found by histograms: words by source and the first 12 bits of the hash give the
 the budget ends; only that bucket is cut again by the next 12 bits, until it holds one row. Larger
 budgets have larger thresholds, so their choices are nested. No rows are sorted.
 
-Defined cases: null text has size 0; null source is a source, last in order; rows with equal
-ids are told apart by content, then by position; an empty table gives an empty result; of a
+Defined cases: null and empty texts have size 0, very long ones are counted whole; null source is a source, last in order; rows with
+equal ids are told apart by content, then by a place that is written once (`common.identified`); an empty table gives an empty result; of a
 table without words nothing is taken; extra columns are kept (names that begin with _loom_ are the operators' own).
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, WORD_PATTERN, materialize, n_words, row_hash, small
+from .common import WORD, WORD_PATTERN, identified, materialize, n_words, numbered, small
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -27,29 +27,27 @@ STEP = 12
 
 
 def sized(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    h1, h2 = row_hash(key, text)
-    return df.withColumns({"_loom_size": n_words(text), "_loom_h1": h1, "_loom_h2": h2, "_loom_source": F.col(source)})
+    return identified(df, key, text).withColumns({"_loom_size": n_words(text), "_loom_source": F.col(source)})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(_loom_source, source_size, target) from (_loom_source, _loom_size): water-filling below most times the size.
+    """(_loom_source, source_size, target) from (_loom_source, _loom_size): each the smaller of a common level times its weight and most times its size.
 
-    Works on one row for each source. Ordering the sources needs them in one task: that is
-    as many rows as there are sources, already summed.
+    The level is found by rounds of sums over the sources, each of which sets aside those that the last level would overfill: the level
+    only rises, and stays when no further one is overfilled. Neither that nor the weights' order gathers the sources in a task.
     """
-    by = sizes.groupBy("_loom_source").agg(F.sum("_loom_size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("_loom_source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("_loom_source").asc_nulls_last())
-    to_here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumn("weight", weight).withColumns({"total": F.sum("source_size").over(everything), "low": F.sum("source_size").over(to_here) - F.col("source_size"), "w": F.sum("weight").over(rest)})
-    by = by.withColumn("level", (F.col("total") - most * F.col("low")).cast("double") / F.col("w"))
+    by = numbered(sizes.groupBy("_loom_source").agg(F.sum("_loom_size").alias("source_size")), [F.col("_loom_source").asc_nulls_last()], "rank")
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    by = materialize(by.select("_loom_source", "source_size", weight.alias("weight")), "weights")
     cap = (most * F.col("source_size")).cast("double")
-    level = F.min(F.when(cap >= F.col("level") * F.col("weight"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(everything)["level"]
-    by = by.withColumn("level", level)
-    return by.select("_loom_source", "source_size", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), F.lit(0.0)).alias("target"))
+    total, level, aside = by.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        over = cap < F.lit(level) * F.col("weight")
+        full, n, rest = by.agg(F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.count_if(over), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0))).first()
+        if n == aside or not rest:
+            break
+        level, aside = (total - most * full) / rest, n
+    return by.select("_loom_source", "source_size", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _ends(depth: int, need: Column, cell: Column, p1: Column, p2: Column) -> tuple[Column, Column]:

@@ -5,10 +5,12 @@ the limit is split on one more bit of the hash; others are left alone. Splitting
 every shard fits, or holds one row.
 
 Rows are hashed by key. Rows that share a key (null keys, repeated ids, a hot key) are told
-apart by their content and, if that is the same, by their position, after the key's bits.
+apart by their content and, if that is the same, by a place that is written once (`common.identified`), after the
+key's bits: all passes see the same rows.
 
 Defined cases: null or empty text has 0 bytes; an empty table gives an empty result; one row
-above the limit is a shard of its own; extra columns are kept, except that columns with the
+above the limit is a shard of its own, and so are rows that agree in all BITS of the hash (by chance, 2 ** -120 a pair);
+repeated rows are rows like others; extra columns are kept, except that columns with the
 names of the result's are replaced (names that begin with _loom_ are the operators' own).
 """
 
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, row_hash, small
+from .common import WORD, identified, materialize, small
 
 #: Bytes of text in a shard at most. A read unit that also splits the small test tables.
 SHARD_BYTES = 1 << 20
@@ -50,9 +52,8 @@ def _at(depth: int) -> tuple[Column, Column]:
     return one.alias("p1"), two.alias("p2")
 
 
-def _with_hash(df: DataFrame, key: str, text: str) -> DataFrame:
-    h1, h2 = row_hash(key, text)
-    return df.withColumns({"_loom_h1": h1, "_loom_h2": h2, "_loom_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
+def _sized(df: DataFrame, key: str, text: str) -> DataFrame:
+    return identified(df, key, text).withColumn("_loom_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
 
 
 def _descend(cells: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
@@ -72,9 +73,8 @@ def _descend(cells: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
     )
 
 
-def directory(df: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> list[Level]:
-    """The directory for df. One pass over the sizes for each level; a second level only where a cell is still too large."""
-    thin = _with_hash(df.select(key, text), key, text).select("_loom_h1", "_loom_h2", "_loom_bytes")
+def directory(thin: DataFrame, limit: int = SHARD_BYTES) -> list[Level]:
+    """The directory for rows of (_loom_h1, _loom_h2, _loom_bytes). One pass over them for each level; a second level only where a cell is still too large."""
     total = thin.agg(F.sum("_loom_bytes")).first()[0] or 0
     extra = lambda size: max(0, math.ceil(math.log2(max(size, 1) / limit)))
     levels: list[Level] = []
@@ -98,8 +98,8 @@ def directory(df: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text
 
 def shard(df: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with shard_id (the prefix's bits), shard_depth, shard_bytes and shard_rows. The text isn't shuffled while the directory fits a broadcast."""
-    levels = directory(df, limit, key, text)
-    out = _with_hash(df.drop(*OUT), key, text)
+    out = _sized(df.drop(*OUT), key, text)
+    levels = directory(out.select("_loom_h1", "_loom_h2", "_loom_bytes"), limit)
     for i, level in enumerate(levels):
         p1, p2 = _at(level.depth)
         cells = level.cells.select(
