@@ -6,16 +6,20 @@ document. Of a shard's contexts a task builds an FM-index: the Burrows-Wheeler t
 from suffixes ordered by prefix doubling, in a wavelet tree of packed bits with rank counts. The contexts then stream through
 backward search, many at a time, which gives matching statistics: the longest run of words ending at a place that
 occurs twice. Runs of SPAN words or more are reported. The whole-context matches that anchors settle before are not searched again.
+A shard that is too large for a task is split by the next words of its windows, pass by pass, until each part's index is small; equal windows
+stay together in a part.
 
 A word is removed if a window that covers it occurs anywhere else, in the same or another document.
 
-Defined cases: null, empty and blank texts have no words; documents shorter than SPAN words lose none; a repeated row is another
-document; null ids come last; an empty table gives an empty result; extra columns aren't read.
+Defined cases: null, empty and blank texts have no words; documents shorter than SPAN words lose none; very long ones are hashed in
+parts, with the same result; ids may be of any type that has an order; a repeated row is another document; an empty table gives an
+empty result; extra columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from .suffixarray import merged
 from .windows import Shape, join_spans, repeats, with_uid
 
 SPAN = 35
-SHAPE = Shape(SPAN, 16, hot=500)
+SHAPE = Shape(SPAN, 16, hot=500, digits=(4, 8, 16, 7))
 
 
 class _Hashes(dict):
@@ -51,9 +55,11 @@ def cut(text: bytes):
     return lambda start, end: b" ".join(words[start:end])
 
 
-def split(content: bytes) -> list[bytes]:
-    words = content.split()
-    return [b" ".join(words[i : i + SPAN]) for i in range(len(words) - SPAN + 1)]
+def split(content: bytes) -> list[tuple[bytes, ...]]:
+    """The digits of each window: its words by some at a time, each closed by a space."""
+    words = [w + b" " for w in content.split()]
+    ends = list(accumulate(SHAPE.digits))
+    return [tuple(b"".join(words[i + e - n : i + e]) for n, e in zip(SHAPE.digits, ends, strict=True)) for i in range(len(words) - SPAN + 1)]
 
 
 class WaveletTree:
@@ -177,9 +183,14 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row of (doc_id, text)."""
+    found = removed(with_uid(docs)).select("doc_id", "text", "spans")
+    return found.mapInArrow(_cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+
+
 def op8_fm_index(spark, sf_dir: str) -> DataFrame:
-    docs = with_uid(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return removed(docs).select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: The same by counting all windows, for small tables.

@@ -5,17 +5,19 @@ nothing needs a deeper order. The first digit is the window's anchor gram, by wh
 windows.py: one row stands for the neighbouring suffixes of an anchor, as a shuffle of every suffix would take some 25
 times the input). Suffixes of which the whole context is the same are settled together; the rest are sorted
 by passes over 8 bytes at a time, most significant first. A suffix alone in its group leaves; groups that last through SPAN bytes are
-exactly the repeated windows.
+exactly the repeated windows. Groups of more suffixes than a task should sort are dealt out again by the next bytes, pass by pass.
 
 A byte is removed if a repeated window that isn't the first of its group (smallest document, then start) covers it.
 
-Defined cases: null and empty texts have no bytes; texts shorter than SPAN lose none; repeated rows and null ids
-are ordered by id (null last), then content: the first stays whole; an empty table gives an empty result; extra columns aren't read.
+Defined cases: null and empty texts have no bytes; texts shorter than SPAN lose none; very long ones are hashed in parts, with the
+same result; ids may be of any type that has an order; repeated rows and null ids are ordered by id (null last), then by a hash: the
+first stays whole; an empty table gives an empty result; extra columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ from pyspark.sql import DataFrame
 from .windows import Shape, join_spans, repeats, with_uid
 
 SPAN = 100
-SHAPE = Shape(SPAN, 32)
 DIGIT = 8
+#: The passes over groups that are too large for a task take digits that double; those in a task take DIGIT bytes.
+SHAPE = Shape(SPAN, 32, hot=1000, digits=(8, 16, 32, 44))
 #: Hashes of the byte values, of no meaning but that they are fixed.
 BYTES = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
 
@@ -38,8 +41,10 @@ def cut(text: bytes):
     return lambda start, end: text[start:end]
 
 
-def split(content: bytes) -> list[bytes]:
-    return [content[i : i + SPAN] for i in range(len(content) - SPAN + 1)]
+def split(content: bytes) -> list[tuple[bytes, ...]]:
+    """The digits of each window, most significant first."""
+    a, b, c, d = accumulate(SHAPE.digits)
+    return [(w[:a], w[a:b], w[b:c], w[c:d]) for w in (content[i : i + SPAN] for i in range(len(content) - SPAN + 1))]
 
 
 def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +119,14 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of (doc_id, text)."""
+    found = removed(with_uid(docs)).select("doc_id", "text", "spans")
+    return found.mapInArrow(_cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def op6_suffix_array(spark, sf_dir: str) -> DataFrame:
-    docs = with_uid(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return removed(docs).select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: The same by ranking all windows of hexadecimal text, for small tables.

@@ -11,25 +11,27 @@ group of the anchor's gram. Neighbouring windows mostly share an anchor; one row
 2. `settle` reads the anchors sorted by gram and context. Equal contexts (128 bits of hash) are equal windows throughout: they
    are settled there. Anchors whose gram is shared by different contexts are open: their contexts must be compared.
 3. `open_contexts` fetches the tokens of the open anchors, and a solver given by the operator compares the windows of each gram's
-   contexts. Grams with more open contexts than Shape.hot are dealt out by the digest of each window instead.
-4. `repeats` gathers the spans found, by document.
+   contexts.
+4. Grams with more open contexts than Shape.hot are split first (`refined`): their windows are regrouped by their next tokens, pass by
+   pass, most significant first. Windows alone in their group leave, groups of up to Shape.hot go to the solver, larger ones to the next pass;
+   what is left when all tokens are used is equal throughout. No task gets more than Shape.hot windows of a group.
+5. `repeats` gathers the spans found, by document.
 
 Positions and identities fit 64-bit integers; texts are UTF-8 bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import identified, materialize, numbered, small
 
 U = np.uint64
 #: Tokens that are hashed at once; bounds the memory of the arrays for very long texts.
@@ -40,11 +42,12 @@ ANCHOR_SCHEMA = "gram long, context long, uid long, place long"
 
 @dataclass(frozen=True)
 class Shape:
-    """span: tokens in a window; gram: tokens in an anchor's gram, a power of two; hot: open contexts of one gram that one task compares at most."""
+    """span: tokens in a window; gram: tokens in an anchor's gram, a power of two; hot: contexts or windows of one group that one task compares at most; digits: tokens by which the passes over larger groups regroup, span in all."""
 
     span: int
     gram: int
-    hot: int = 1000
+    hot: int
+    digits: tuple[int, ...]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -300,34 +303,49 @@ def solved(contexts: DataFrame, solver: Solver, batch_bytes: int = 2 << 20) -> D
         if held:
             yield solve(held)
 
-    return contexts.repartition("gram").sortWithinPartitions("gram", "uid", "start").mapInArrow(run, "uid long, start long, length long")
+    # a number of its own: the work is in Python, and partitions that look small in bytes aren't merged
+    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contexts.repartition(parts, "gram").sortWithinPartitions("gram", "uid", "start").mapInArrow(run, "uid long, start long, length long")
 
 
-def dealt(contexts: DataFrame, split: Callable[[bytes], list[bytes]], span: int, every: bool) -> DataFrame:
-    """Spans in contexts of hot grams: each window goes to the task of its digest, after partial aggregation.
+Split = Callable[[bytes], list[tuple[bytes, ...]]]
 
-    The digests that occur twice are written before they are joined, so that they can be broadcast if they are few, and AQE can split
-    a digest with many rows if not.
+
+def refined(contexts: DataFrame, split: Split, solver: Solver, shape: Shape, every: bool) -> DataFrame:
+    """Spans in contexts of hot grams, by passes over their windows' digits. split(content): the digits of each window of a context.
+
+    A group is named by a 64-bit hash of its digits so far. Should two groups share a name, the solver still compares tokens, and the last pass groups by them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, start, content in zip(*(batch.column(c).to_pylist() for c in ("uid", "start", "content")), strict=True):
-                windows = split(content)
-                digests = [hashlib.blake2b(w, digest_size=16).digest() for w in windows]
-                places = np.arange(start, start + len(windows))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(windows), uid)), pa.array(places)], ["digest", "uid", "start"])
-
-    rows = materialize(contexts.mapInArrow(run, "digest binary, uid long, start long"), "windows")
-    by = rows.groupBy("digest").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    by = materialize(by.select("digest", "first"), "digests")
-    hits = rows.join(small(by, by.count()), "digest")
+            for gram, uid, start, content in zip(*(batch.column(c).to_pylist() for c in ("gram", "uid", "start", "content")), strict=True):
+                digits = split(content)
+                n = len(digits)
+                columns = [pa.array(np.full(n, gram)), pa.array(np.full(n, uid)), pa.array(np.arange(start, start + n)), pa.array([list(d) for d in digits], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "uid", "start", "digits"])
+
+    rows = materialize(contexts.mapInArrow(run, "gram long, uid long, start long, digits array<binary>"), "digits")
+    found = None
+    for k in range(len(shape.digits)):
+        rows = rows.withColumn("gram", F.xxhash64("gram", F.col("digits")[k]))
+        sizes = materialize(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "groups", few_files=True)
+        n_few, n_many = sizes.agg(F.count_if(F.col("n") <= shape.hot), F.count_if(F.col("n") > shape.hot)).first()
+        few = rows.join(small(sizes.where(F.col("n") <= shape.hot).select("gram"), n_few), "gram").select("gram", "uid", "start", F.expr("aggregate(digits, cast('' as binary), (a, d) -> concat(a, d))").alias("content"))
+        spans = solved(few, solver)
+        found = spans if found is None else found.union(spans)
+        if not n_many:
+            return found
+        rows = materialize(rows.join(small(sizes.where(F.col("n") > shape.hot).select("gram"), n_many), "gram").select("gram", "uid", "start", "digits"), "digits")
+    # all digits are used: the groups' windows are equal throughout
+    by = materialize(rows.groupBy("digits").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digits", "first"), "classes")
+    hits = rows.join(small(by, by.count(), 256), "digits")
     if not every:
         hits = hits.where(F.struct("uid", "start") != F.col("first"))
-    return hits.select("uid", "start", F.lit(span).cast("long").alias("length"))
+    return found.union(hits.select("uid", "start", F.lit(shape.span).cast("long").alias("length")))
 
 
-def repeats(docs: DataFrame, shape: Shape, tokens: Tokens, cut, split, solver: Solver, every: bool) -> DataFrame:
+def repeats(docs: DataFrame, shape: Shape, tokens: Tokens, cut, split: Split, solver: Solver, every: bool) -> DataFrame:
     """(uid, spans): for each document with repeated windows, their spans; they may overlap. docs: uid (unique), text."""
     found = materialize(settled(anchor_rows(docs, tokens, shape, every), shape.span, every), "settled")
     opened = found.where("gram is not null")
@@ -336,29 +354,19 @@ def repeats(docs: DataFrame, shape: Shape, tokens: Tokens, cut, split, solver: S
     n_hot = hot.count()
     if n_hot:
         hot_rows = opened.join(small(hot, n_hot), "gram", "left_semi")
-        spans = spans.union(dealt(open_contexts(docs, hot_rows, cut, shape.span), split, shape.span, every))
+        spans = spans.union(refined(open_contexts(docs, hot_rows, cut, shape.span), split, solver, shape, every))
         opened = opened.join(small(hot, n_hot), "gram", "left_anti")
     spans = spans.union(solved(open_contexts(docs, opened, cut, shape.span), solver))
     return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
 
 def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(uid, doc_id, text): uid is unique and in the order of the ids, null last. It is the id itself where ids are unique and not null."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    if counts.where("n > 1 or doc_id is null").isEmpty():
-        return rows.withColumn("uid", F.col("doc_id"))
-    rows = rows.withColumn("content", F.xxhash64("text"))
-    keys = rows.groupBy("doc_id", "content").agg(F.count("*").alias("n"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("content")]
-    keys = materialize(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ids")
-    before, offsets = 0, []
-    for r in keys.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row for each partition
-        offsets.append((r.part, before))
-        before += r.n
-    offset = F.create_map(*[F.lit(x) for pair in offsets for x in pair])[F.col("part")]
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy(*order))
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), (offset + upto - F.col("n")).cast("long").alias("first"))
-    rows = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("content")) - 1
-    return rows.select("doc_id", "text", (F.col("first") + copy).alias("uid"))
+    """(uid, doc_id, text): uid is unique and in the order of the ids, null last. It is the id itself where ids are integers, unique and not null."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    integers = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    if integers and rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("uid", F.col("doc_id").cast("long"))
+    rows = identified(rows)
+    words = ["_loom_h1", "_loom_h2"]
+    uids = numbered(rows.select("doc_id", *words), [F.col("doc_id").asc_nulls_last(), *map(F.col, words)], "uid").drop("doc_id")
+    return rows.join(uids, words).select("doc_id", "text", "uid")

@@ -220,6 +220,24 @@ def test_repeated_windows_of_rows_without_ids(spark, table, query, brute):
     assert query(spark, folder).count() == 0
 
 
+@pytest.mark.parametrize(("module", "brute"), [(suffixarray, brute_bytes), (fmindex, brute_words)])
+def test_repeated_windows_of_string_ids_and_clashing_names(spark, module, brute):
+    """Ids as strings, in their order; further columns with the operators' own names; one text of 300,000 words; a third of the rows the same."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(21)
+    long = " ".join(draw.choice("abcdefgh") * draw.randint(1, 9) for _ in range(300_000))
+    texts = corpus(5)[:60] + [long, "z " + long[1000:3000]]
+    rows = [(f"k{i:03d}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for name in ("uid", "gram", "start", "length", "spans", "digits", "content", "opened"):
+        df = df.withColumn(name, F.lit("own"))
+    assert {r.doc_id: tuple(r)[1:] for r in module.digest(df.repartition(5)).collect()} == brute(rows)
+    same = spark.createDataFrame([("a", long[:3000])] * 30 + rows[:60], "doc_id string, text string")
+    got = module.digest(same.repartition(7)).collect()
+    assert len(got) == 90 and sum(r.n_removed == 0 for r in got if r.doc_id == "a") == (1 if module is suffixarray else 0)
+
+
 def test_blocks_cut_long_texts(monkeypatch):
     monkeypatch.setattr(windows, "CHUNK", 500)
     draw = random.Random(2)
