@@ -3,23 +3,22 @@
 Texts become vectors of hashed byte trigrams of the lower-cased text, square roots of their counts, scaled to
 length one. A linear support vector machine for each pair of families votes for the family; one for each pair of the
 family's languages votes for the language. Both are trained on the driver by dual coordinate
-descent on a sample of at most SAMPLE_ROWS labelled rows, chosen by hash; FEWEST_ROWS of each language are learned from
-even if there are so many languages that it takes more. Every label is learned. A vector takes WIDTH floats (32 KiB), and so
+descent on a sample of at most SAMPLE_ROWS labelled rows, chosen by a hash of id and text, rows that repeat once; FEWEST_ROWS of
+each language are learned from even if there are so many languages that it takes more. Every label that has a row with a letter is learned. A vector takes WIDTH floats (32 KiB), and so
 does the classifier of each pair of one family's languages. Prediction is one pass over the whole texts.
 
-Defined cases: null texts and texts without a letter are `und` with score 0, and so is everything if nothing was
-learned; null ids are neither learned from nor held out; empty tables give empty results; repeated rows are predicted
-alike; extra columns do no harm.
+Defined cases: null and empty texts and texts without a letter are `und` with score 0, and so is everything if nothing was
+learned; null ids are neither learned from nor held out; very long texts are read whole; of languages with equal votes and margins the
+first by code point is predicted; empty tables give empty results; repeated rows are predicted alike; extra columns do no harm, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ FAMILIES = {
     "indo-iranian": ["bn", "fa", "gu", "hi", "ku", "mr", "ne", "pa", "ur"],
 }
 
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 
 
 def family(code: str) -> str:
@@ -117,19 +116,21 @@ def held_out(key: str) -> F.Column:
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from rows with a label that aren't held out."""
-    rows = df.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(f"k is not null and lang is not null and text is not null and lang <> '{UND}'").where(~held_out("k"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    rows = df.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(f"k is not null and lang is not null and lang <> '{UND}' and text rlike '\\\\p{{L}}'").where(~held_out("k"))
+    rows = rows.withColumn("draw", F.xxhash64("k", "text"))
+    # one row a label: how many different rows it has, about, and the one that is learned from in any case
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.min("draw").alias("least")).collect()
+    if not found:
         return Model(np.zeros((0, WIDTH), np.float32), [])
-    most = min(LANGUAGE_ROWS, max(FEWEST_ROWS, SAMPLE_ROWS // len(counts)))
-    share = F.create_map(*[F.lit(v) for lang_, n in sorted(counts.items()) for v in (lang_, min(1.0, 1.5 * most / n + 20 / n))])
-    draw = F.pmod(F.xxhash64("k"), F.lit(1_000_003)) / 1_000_003
-    few = rows.where(draw < share[F.col("lang")])
-    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k"))).where(f"rank <= {most}")
+    most = min(LANGUAGE_ROWS, max(FEWEST_ROWS, SAMPLE_ROWS // len(found)))
+    by_lang = lambda value: F.create_map(*[F.lit(v) for r in sorted(found) for v in (r["lang"], value(r))])[F.col("lang")]
+    below = F.pmod("draw", F.lit(1_000_003)) < by_lang(lambda r: 1_000_003 * min(1.0, (2.0 * most + 20) / r["n"]))
+    few = rows.where(below | (F.col("draw") == by_lang(lambda r: r["least"])))
+    few = few.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(f"rank <= {most}")
 
     def vectors(batches):
         for pdf in batches:
-            pdf = pdf[[bool(_letter(t)) for t in pdf.text]]
             yield pd.DataFrame({"lang": pdf.lang, "x": [vector(t).tobytes() for t in pdf.text]})
 
     got = few.select("lang", "text").mapInPandas(vectors, "lang string, x binary").collect()

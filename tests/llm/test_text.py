@@ -153,3 +153,39 @@ def test_every_language_is_learned(spark):
     assert model.languages == [name(k) for k in range(70)]
     got = langid.predict(df.where("doc_id >= 6400"), model).collect()
     assert len(got) == 48 and all(r.lang_pred == r.lang for r in got)
+
+
+def test_a_language_under_one_id_is_learned(spark):
+    """A third of the rows under one id that isn't held out, and a label with one row only."""
+    key = next(i for i in range(100) if __import__("zlib").crc32(str(i).encode()) % 5)
+    rows = [doc(key, f"le chat noir {i} et la souris", "fr") for i in range(2000)] + [doc(1000 + i, f"the black cat {i} and a mouse", "en") for i in range(900)]
+    rows += [doc(key, "12", "fr")] * 500 + [doc(key, "il gatto nero e il topo", "it")] * 3
+    model = langid.fit(spark.createDataFrame(rows, DOCUMENTS))
+    assert model.languages == ["en", "fr", "it"]
+    assert model.predict("le chat et la souris")[0] == "fr" and model.predict("the cat and the mouse")[0] == "en" and model.predict("½ ²")[0] == "und"
+
+
+def test_votes_against_brute_force(spark):
+    """The two levels of votes, counted one pair at a time from the learned weights."""
+    got = langid.op7_language_id(spark, SMALL).select("doc_id", "lang_pred").collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(docs)
+
+    def winner(among, x):
+        votes = {a: [0, 0.0] for a in among}
+        for (a, b), w in zip(model.pairs, model.weights.T, strict=True):
+            if a in votes and b in votes:
+                margin = float(x @ w[:-1] + w[-1])
+                votes[a if margin > 0 else b][0] += 1
+                votes[a][1] += margin
+                votes[b][1] -= margin
+        return max(sorted(votes), key=lambda a: tuple(votes[a]))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        text = texts[r.doc_id]
+        if text is None or not any(c.isalpha() for c in text):
+            assert r.lang_pred == "und"
+        else:
+            x = langid.vector(text)
+            assert r.lang_pred == winner(model.members[winner(model.families, x)], x)
