@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import random
-import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -63,7 +63,7 @@ def test_svm_separates():
 
 
 def brute_leaks(docs, items):
-    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    words = lambda t: regex.findall(r"[\p{L}\p{N}\p{M}_]+", (t or "").lower().replace("ς", "σ").replace("i\u0307", "i"))
     runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
     out = set()
     for i, t in docs:
@@ -83,7 +83,7 @@ def test_containment_against_brute_force(spark, monkeypatch, block):
     draw = random.Random(6)
     vocabulary = [f"w{i}" for i in range(60)]
     some = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
-    items = [(i, some(n)) for i, n in enumerate([1, 2, 4, 5, 6, 9, 14, 30, 60])] + [(20, None), (21, "!!"), (22, ""), (23, "éa ß " + some(6))]
+    items = [(i, some(n)) for i, n in enumerate([1, 2, 4, 5, 6, 9, 14, 30, 60])] + [(20, None), (21, "!!"), (22, ""), (23, "éa ß " + some(6)), (24, "हिन्दी में यह एक वाक्य है"), (25, "ΑΣ İx")]
     docs = []
     for i in range(120):
         words = some(draw.randint(0, 60)).split()
@@ -94,6 +94,7 @@ def test_containment_against_brute_force(spark, monkeypatch, block):
                     inner[draw.randrange(len(inner))] = "changed"
             words[3:3] = inner
         docs.append((i, draw.choice([" ", ", ", "\n"]).join(words).upper() if i % 5 == 0 else " ".join(words)))
+    docs += [(503, "और " + items[-2][1] + " है"), (504, "so ας ix")]
     docs += [(500, None), (501, ""), (502, (some(2000) + " " + items[8][1]) * 2)]
     left = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     right = spark.createDataFrame(items + items[:2], "item_id long, text string")
@@ -189,3 +190,24 @@ def test_votes_against_brute_force(spark):
         else:
             x = langid.vector(text)
             assert r.lang_pred == winner(model.members[winner(model.families, x)], x)
+
+
+def test_items_of_many_blocks_with_string_ids_take_two_scans(spark, monkeypatch, tmp_path):
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet [doc_id#")
+    seen = []
+
+    def spy(df, *more, write=decontaminate.materialize):
+        seen.append(scans(df))
+        return write(df, *more)
+
+    monkeypatch.setattr(decontaminate, "materialize", spy)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    items = spark.createDataFrame([(f"i{k}", f"one{k} two{k} three{k} four{k} five{k} six{k}") for k in range(12)] + [(None, "just three words")], "item_id string, text string")
+    docs = [(f"d{k}", f"so one{k} two{k} three{k} four{k} five{k} six{k} on") for k in range(20)] + [(None, "these just three words"), ("d0", None), ("x", "two1 one1")]
+    spark.createDataFrame(docs * 2, "doc_id string, text string").withColumns({"item": F.lit("own"), "content": F.lit("own"), "doc": F.lit("own")}).write.parquet(str(tmp_path / "loom_docs"))
+    df = spark.read.parquet(str(tmp_path / "loom_docs"))
+    found = decontaminate.leaks(df, items)
+    assert sorted((str(r.doc_id), str(r.item_id), r.n_shared) for r in found.collect()) == sorted([(f"d{k}", f"i{k}", 2) for k in range(12)] + [("None", "None", 1)])
+    # however many blocks the items would make, the documents are read once for candidates and once to verify
+    assert sum(seen) == 1 and scans(found) <= 2
+    assert len(decontaminate.without_leaks(df, items).collect()) == 2 * len(docs) - 2 * 13
