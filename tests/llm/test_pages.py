@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import random
+import zlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import warc, wrapper
 
@@ -43,16 +47,73 @@ def test_rows_that_repeat(spark, table):
     assert warc.op5_warc_revisits(spark, empty).count() == 0
 
 
+def read_all(folder):
+    """(headers, block) of every record, read by the standard library, and the members of each file."""
+    records, members = [], []
+    for f in sorted(Path(folder).rglob("part-*")):
+        data = f.read_bytes()
+        stream = gzip.GzipFile(fileobj=io.BytesIO(data))
+        while (head := warc.headers(stream)) is not None:
+            records.append((head, stream.read(int(head["content-length"]))))
+        n, rest = 0, data
+        while rest:
+            one = zlib.decompressobj(31)
+            one.decompress(rest)
+            assert one.eof
+            n, rest = n + 1, one.unused_data
+        members.append(n)
+    return records, members
+
+
 def test_files_are_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://h/a", "x" * 1000), (2, "http://h/b", "x" * 1000)], PAGES)
     warc.write_archives(pages, str(tmp_path / "w"))
-    records = [r for f in Path(tmp_path / "w").glob("*.gz") for r in warc.parse(gzip.open(f))]
-    assert sorted(r["warc-type"] for r in records) == ["response", "revisit"]
-    revisit = next(r for r in records if r["warc-type"] == "revisit")
-    response = next(r for r in records if r["warc-type"] == "response")
-    assert revisit["warc-refers-to"] == response["warc-record-id"] != revisit["warc-record-id"]
-    assert revisit["warc-refers-to-target-uri"] == "http://h/b" and revisit["warc-profile"] == warc.PROFILE
-    assert response["block"].endswith(b"\r\n\r\n" + b"x" * 1000) and len(revisit["block"]) < 200
+    records, members = read_all(tmp_path / "w")
+    assert sorted(r["warc-type"] for r, _ in records) == ["response", "revisit"] and sum(members) == 2
+    revisit = next(r for r in records if r[0]["warc-type"] == "revisit")
+    response = next(r for r in records if r[0]["warc-type"] == "response")
+    assert revisit[0]["warc-refers-to"] == response[0]["warc-record-id"] != revisit[0]["warc-record-id"]
+    assert revisit[0]["warc-refers-to-target-uri"] == "http://h/b" and revisit[0]["warc-profile"] == warc.PROFILE
+    assert response[1].endswith(b"\r\n\r\n" + b"x" * 1000) and len(revisit[1]) < 200
+
+
+def test_every_record_has_an_id_of_its_own(spark, tmp_path):
+    """Small rows and large ones that repeat entirely, behind a shuffle."""
+    rows = [(1, "u", "small")] * 5 + [(2, "u", "b" * 1500)] * 4 + [(1, "u", "b" * 1500)] * 3 + [(None, None, None)] * 2 + [(3, "v", "alone")]
+    pages = spark.createDataFrame(rows, PAGES).withColumns({"place": F.lit("own"), "digest": F.lit("own"), "n": F.lit("own")}).repartition(6)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    records, _ = read_all(tmp_path / "w")
+    ids = [r["warc-record-id"] for r, _ in records]
+    assert len(ids) == len(set(ids)) == 15
+    large = [r for r, _ in records if r["warc-payload-digest"].endswith(hashlib.sha1(b"b" * 1500).hexdigest())]
+    response = [r for r in large if r["warc-type"] == "response"]
+    assert len(large) == 7 and len(response) == 1 and response[0]["page-id"] == "2" and all(r["warc-refers-to"] == response[0]["warc-record-id"] for r in large if r is not response[0])
+
+
+def test_files_are_cut_by_bytes_and_long_pages_are_read_by_pieces(spark, tmp_path, monkeypatch):
+    draw = random.Random(3)
+    rows = [(i, "u", draw.randbytes(3000).hex()) for i in range(40)]
+    got = list(warc._packed(iter([pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows])], ["record"])])))
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    cut = list(warc._packed(iter([pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows])], ["record"])])))
+    sizes = {}
+    for volume, data in ((v, d) for b in cut for v, d in zip(b.column("volume").to_pylist(), b.column("value").to_pylist(), strict=True)):
+        sizes[volume] = sizes.get(volume, 0) + len(data)
+    assert {v for b in got for v in b.column("volume").to_pylist()} == {0} and len(sizes) > 10 and max(sizes.values()) <= 10_000
+    html = "".join(draw.choice(("<p>one", "<b>two", "é")) for _ in range(1000)) * 27_000  # 100 MB
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", None)], PAGES).withColumn("html", F.when(F.col("page_id") == 1, F.repeat(F.lit(html[: len(html) // 27_000]), 27_000)).otherwise(F.col("html")))
+    warc.write_archives(pages, str(tmp_path / "w"))
+    data = html.encode()
+    assert len(data) > 100e6
+    found = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    assert found == [(1, len(data), hashlib.sha1(data).hexdigest()), (2, 0, hashlib.sha1(b"").hexdigest())]
+    assert max(read_all(tmp_path / "w")[1]) == -(-len(data) // warc.MEMBER_BYTES)
+
+
+def test_page_ids_may_be_strings(spark, tmp_path):
+    big = "b" * 1200
+    warc.write_archives(spark.createDataFrame([("a\nb", "u", big), ("c", "u", big)], "page_id string, url string, html string"), str(tmp_path / "w"))
+    assert sorted(tuple(r)[-2:] for r in warc.read_archives(spark, str(tmp_path / "w"), "string").collect()) == [("response", None), ("revisit", "c")]
 
 
 @pytest.mark.parametrize(
