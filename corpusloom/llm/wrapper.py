@@ -1,20 +1,29 @@
 """Operator 9, main text of web pages by wrapper induction.
 
 Pages of one host are made from one template. Up to SAMPLE pages of a host, drawn by hash, are parsed to trees of
-block elements and folded into one tree by simple tree matching: two nodes match if their tag and classes do, and the ordered
-matching of their children is the largest. Every page of the table is aligned with its host's tree, and the texts met in each
-slot are counted over all distinct pages of the host. Texts on CONSTANT_SHARE of them are constant: they belong to the
-template. Slots whose text varies are content. Each page is then aligned once more; constant text goes, and so do parts that HTML itself marks as no part of the article (menus,
-headers, footers, sidebars, notices, adverts, forms, comments), of whatever host. Of pages with an article element, or else
-a main element, only these are read.
+block elements and folded, whole, into one tree by simple tree matching: two nodes match if their tag and classes do, and the ordered
+matching of their children is the largest. Every page of the table is aligned with its host's tree, and what is met in each
+slot is summed over all distinct pages of the host: on how many pages, how much text, how much of it in links, and which texts. Then
+each slot is judged (`judge`):
+
+- a text on CONSTANT_SHARE of the pages is constant, and belongs to the template;
+- a slot on CONSTANT_SHARE of the pages whose text is mostly links, several of them, is a menu;
+- a slot whose element or class says that it is no part of an article is none, unless most of the host's text is in it (then it names a layout);
+- from the root down, the slot that holds most of the text that varies and isn't in links is the main one, where an article or main
+  element counts for more, and a sibling with the page's heading keeps the level above. What is outside the main slot belongs to the template.
+
+Each page is then aligned once more, and each of its nodes gets its slot's judgement. Nodes without a slot are judged by
+their own element and classes. So are pages of hosts without a template and pages without the main slot: of these the article
+element, or else the main element, or else all is read, without what elements and classes mark as no part of an article.
 
 Trees of SAMPLE pages bound a template: the sample gives its slots and the texts that are counted, those on two or more
-sampled pages; what is constant is decided by the count over all pages. The templates are broadcast within a checked size, else joined by host; AQE splits a
+sampled pages; the judgements are from sums over all pages. The templates are broadcast within a checked size, else joined by host; AQE splits a
 host with a third of all pages. Nodes with very many children are aligned by the same rule as others.
 
-Defined cases: null, empty and text-less html gives an empty text; pages without a host share the template of no host;
-hosts of fewer than MINIMUM pages have no constant slots; cut off pages are read as far as they go; repeated pages count once
-for a template; an empty table gives an empty result; extra columns aren't read.
+Defined cases: null, empty and text-less html gives an empty text; very long pages are read whole; elements nested more than NESTING deep
+are read as siblings, as browsers do; pages without a host, and those of hosts of fewer than MINIMUM distinct pages, have no template; cut off
+pages are read as far as they go; repeated pages count once for a template and are read alike; of matchings of one size the one that ties to the
+end is taken; an empty table gives an empty result; extra columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -22,6 +31,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
@@ -38,11 +48,17 @@ from .common import BROADCAST_BYTES, materialize, small
 #: Pages of a host whose trees are folded, at most; and distinct pages that it has at least, for constant slots.
 SAMPLE = 16
 MINIMUM = 8
-#: Share of a host's distinct pages on which a slot has the same text if it is constant.
+#: Share of a host's distinct pages on which a slot has the same text if it is constant, and on which a menu is.
 CONSTANT_SHARE = 0.75
-#: Pairs of children beyond which they are aligned by vectors, with the same result, and the depth from which nodes are not aligned.
+#: Share of links in a menu's text, and texts that it has on a page at least.
+LINK_SHARE, MENU_TEXTS = 0.7, 3
+#: Share of the varying text that the main slot holds of the one above it; and of article elements together.
+MAIN_SHARE, ARTICLE_SHARE = 0.7, 0.3
+#: Pairs of children beyond which they are aligned by vectors, with the same result, and how deep elements are nested.
 CELLS = 400
-DEPTH = 60
+NESTING = 500
+#: Judgements of slots: part of the article, part of the template, above the main slot, beside it, the main slot.
+KEPT, GONE, ABOVE, BESIDE, MAIN = range(5)
 #: Shapes and pairs of them that are kept for a template from page to page.
 SHAPES = 20_000
 
@@ -67,12 +83,12 @@ _word = re.compile(r"[a-z]+")
 
 
 class Node:
-    """A block element (tag, signature, children) or a run of text in one (tag empty). aside: 2 if its tag marks it as no part of an article or it is what readers wrote, 1 if other classes mark it."""
+    """A block element (tag, signature, children) or a run of text in one (tag empty). aside: 2 if its tag marks it as no part of an article or it is what readers wrote, 1 if other classes mark it. links: characters of the text in links."""
 
-    __slots__ = ("tag", "sign", "children", "text", "aside")
+    __slots__ = ("tag", "sign", "children", "text", "aside", "links")
 
-    def __init__(self, tag: str, sign: str = "", text: str = "", aside: int = 0):
-        self.tag, self.sign, self.text, self.aside, self.children = tag, sign or tag, text, aside, []
+    def __init__(self, tag: str, sign: str = "", text: str = "", aside: int = 0, links: int = 0):
+        self.tag, self.sign, self.text, self.aside, self.links, self.children = tag, sign or tag, text, aside, links, []
 
 
 def _closes(tag: str, opened: str) -> bool:
@@ -105,24 +121,32 @@ def parse(html: str) -> Node:
     root = Node("#root")
     stack, runs = [root], []
     inline: list[tuple[str, bool]] = []  # open inline elements, and whether they hide their text
-    hidden = 0
+    hidden = linked = 0  # depth of hidden elements; characters of the run in links
 
     def flush() -> None:
+        nonlocal linked
         if runs:
             text = " ".join(unescape("".join(runs)).split())
             if text:
-                stack[-1].children.append(Node("", "#", text))
+                stack[-1].children.append(Node("", "#", text, links=min(linked, len(text))))
             runs.clear()
+        linked = 0
+
+    def say(run: str) -> None:
+        nonlocal linked
+        if not hidden:
+            runs.append(run)
+            if any(tag == "a" for tag, _ in inline):
+                linked += len(run.strip())
 
     at = 0
     while True:
         found = _token.search(html, at)
         if found is None:
-            if not hidden:
-                runs.append(html[at:])
+            say(html[at:])
             break
-        if found.start() > at and not hidden:
-            runs.append(html[at : found.start()])
+        if found.start() > at:
+            say(html[at : found.start()])
         at = found.end()
         tag = found[2]
         if tag is None:
@@ -166,7 +190,7 @@ def parse(html: str) -> Node:
             continue
         node = Node(tag, f"{tag}.{'.'.join(sorted(names.get('class', '').split()))}", aside=aside)
         stack[-1].children.append(node)
-        if not raw.endswith("/"):
+        if not raw.endswith("/") and len(stack) < NESTING:
             stack.append(node)
     flush()
     return root
@@ -189,11 +213,10 @@ class Shapes:
         self.a: dict[int, int] = {}  # shapes of nodes by identity, of either side
         self.b: dict[int, int] = {}
 
-    def of(self, node, sign, kids, depth: int, known: dict[int, int]) -> int:
-        """The shape of a node in a list at that depth; what is too deep to be aligned doesn't count."""
+    def of(self, node, sign, kids, known: dict[int, int]) -> int:
         got = known.get(id(node))
         if got is None:
-            below = tuple([self.of(k, sign, kids, depth + 1, known) for k in kids(node)]) if depth < DEPTH else ()
+            below = tuple([self.of(k, sign, kids, known) for k in kids(node)])
             key = (sign(node), below)
             got = self.numbers.get(key)
             if got is None:
@@ -295,98 +318,213 @@ class Shapes:
         return size, pairs
 
 
-def align(a: list, b: list, sign_a, sign_b, kids_a, kids_b, depth: int = 0, shapes: Shapes | None = None) -> tuple[int, list[tuple[int, int]]]:
+def align(a: list, b: list, sign_a, sign_b, kids_a, kids_b, shapes: Shapes | None = None) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two ordered lists of nodes: the size of the largest matching, and its pairs at this level."""
-    if not a or not b or depth > DEPTH:
+    if not a or not b:
         return 0, []
+    _deep()
     shapes = shapes or Shapes()
-    return shapes.match([shapes.of(x, sign_a, kids_a, depth, shapes.a) for x in a], [shapes.of(x, sign_b, kids_b, depth, shapes.b) for x in b])
+    return shapes.match([shapes.of(x, sign_a, kids_a, shapes.a) for x in a], [shapes.of(x, sign_b, kids_b, shapes.b) for x in b])
 
 
-# A template node is a list: sign, number of pages, texts (crc32 to pages), children.
-def _fold(slot: list, node: Node, shapes: Shapes, depth: int = 0) -> None:
-    """Adds a page's node, which matches the slot, to the template. shapes: of this page; slots keep theirs until they are reached."""
-    slot[1] += 1
-    if node.text:
-        slot[2][_key(node.text)] += 1
-    kids = [c for c in node.children if not c.aside]
-    pairs = align(slot[3], kids, lambda s: s[0], lambda c: c.sign, lambda s: s[3], lambda c: [x for x in c.children if not x.aside], depth, shapes)[1]
-    new, i = [], 0
-    matched = {j: i for i, j in pairs}
-    for j, kid in enumerate(kids):
-        if j in matched:
-            new += slot[3][i : matched[j]]
-            i = matched[j] + 1
-            here = slot[3][matched[j]]
-        else:
-            here = [kid.sign, 0, Counter(), []]
-        if depth < DEPTH:
-            _fold(here, kid, shapes, depth + 1)
-        new.append(here)
-    slot[3] = new + slot[3][i:]
+class Slot:
+    """A node of a template. texts: characters of the texts that are counted, by crc32. While pages are folded, pages and asides count them and met counts texts."""
 
+    __slots__ = ("sign", "children", "texts", "aside", "verdict", "number", "pages", "asides", "met")
 
-def _candidates(slot: list) -> list:
-    """The folded tree as it is kept: sign, texts on more than one page, children."""
-    return [slot[0], sorted(k for k, n in slot[2].items() if n > 1), [_candidates(s) for s in slot[3]]]
+    def __init__(self, sign: str):
+        self.sign, self.children, self.texts, self.aside, self.verdict, self.number = sign, [], {}, 0, KEPT, 0
+        self.pages, self.asides, self.met = 0, [0, 0, 0], Counter()
 
+    def packed(self) -> list:
+        return [self.sign, [[k, n] for k, n in sorted(self.texts.items())], self.aside, self.verdict, [c.packed() for c in self.children]]
 
-def induce(pages: list[str]) -> str | None:
-    """The folded tree of a host's sampled pages, as JSON; None if no text is on two of them."""
-    root = ["#root", 0, Counter(), []]
-    for html in pages:
-        _fold(root, _scope(parse(html)), Shapes())
-    kept = _candidates(root)
-    return json.dumps(kept, separators=(",", ":")) if any(slot[1] for slot in _slots(kept)) else None
+    @classmethod
+    def unpacked(cls, packed: list) -> Slot:
+        slot = cls(packed[0])
+        slot.texts, slot.aside, slot.verdict = dict(packed[1]), packed[2], packed[3]
+        slot.children = [cls.unpacked(c) for c in packed[4]]
+        return slot
+
+    def all(self) -> list[Slot]:
+        """This slot and those below, numbered in a fixed order, parents first."""
+        out, stack = [], [self]
+        while stack:
+            slot = stack.pop()
+            slot.number = len(out)
+            out.append(slot)
+            stack += slot.children
+        return out
+
+
+def _sign(x: Slot | Node) -> str:
+    return x.sign
 
 
-def _slots(root: list) -> Iterator[list]:
-    """The slots of a template in a fixed order, parents first; a slot's place in it is its number."""
-    stack = [root]
+def _kids(x: Slot | Node) -> list:
+    return x.children
+
+
+def _fold(slot: Slot, node: Node, shapes: Shapes) -> None:
+    """Adds a page's node, which matches the slot, to the template. shapes: of this page; slots keep theirs until they are reached."""
+    stack = [(slot, node)]
     while stack:
-        slot = stack.pop()
-        yield slot
-        stack += slot[2]
+        slot, node = stack.pop()
+        slot.pages += 1
+        slot.asides[node.aside] += 1
+        if node.text:
+            slot.met[_key(node.text)] += 1
+            slot.texts[_key(node.text)] = len(node.text)
+        matched = {j: i for i, j in align(slot.children, node.children, _sign, _sign, _kids, _kids, shapes)[1]}
+        new, i = [], 0
+        for j, kid in enumerate(node.children):
+            if j in matched:
+                new += slot.children[i : matched[j]]
+                i = matched[j] + 1
+                here = slot.children[matched[j]]
+            else:
+                here = Slot(kid.sign)
+            stack.append((here, kid))
+            new.append(here)
+        slot.children = new + slot.children[i:]
 
 
-def _hit(number: int, text: int) -> int:
-    return number << 32 | text
+def _deep() -> None:
+    """Trees as deep as NESTING are walked by recursion."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * NESTING))
 
 
-def _load(made: str) -> list:
-    """A template with two more fields in each slot: its number, and whether it or a slot below has texts; and the shapes in the root."""
-    root = json.loads(made)
-    slots = list(_slots(root))
-    for number, slot in enumerate(slots):
-        slot.append(number)
-    for slot in reversed(slots):
-        slot.append(bool(slot[1]) or any(s[4] for s in slot[2]))
-    root.append(Shapes())
-    return root
+def induce(pages: list[str]) -> str:
+    """The folded tree of a host's sampled pages, as JSON, with the texts that are on more than one of them."""
+    _deep()
+    root = Slot("#root")
+    for html in pages:
+        _fold(root, parse(html), Shapes())
+    for slot in root.all():
+        slot.texts = {k: n for k, n in slot.texts.items() if slot.met[k] > 1}
+        slot.aside = max((level for level in (1, 2) if 2 * sum(slot.asides[level:]) >= slot.pages), default=0)
+    return json.dumps(root.packed(), separators=(",", ":"))
 
 
-def _confirmed(made: str, hits: list[int]) -> str:
-    """The template with only the texts that are constant in their slots."""
-    root, constant = json.loads(made), set(hits)
-    for number, slot in enumerate(_slots(root)):
-        slot[1] = [k for k in slot[1] if _hit(number, k) in constant]
-    return json.dumps(root, separators=(",", ":"))
+def _hit(number: int, text: int) -> int:
+    return number << 32 | text
 
 
-def _matched(template: list, page: Node) -> Iterator[tuple[int, Node]]:
-    """(hit, node) for each text of a page that the slot it is aligned with has, too."""
-    shapes = template[5]
-    shapes.b = {}
-    if len(shapes.numbers) + len(shapes.weights) > SHAPES:
-        shapes.clear()
-    stack = [(template, page, 0)]
+class Template:
+    """A folded tree to align pages with."""
+
+    def __init__(self, made: str):
+        _deep()
+        self.root = Slot.unpacked(json.loads(made))
+        self.slots = self.root.all()
+        self.shapes = Shapes()
+
+    def matched(self, page: Node) -> list[tuple[Slot, Node]]:
+        """The slots of a page's nodes, those that have one."""
+        shapes = self.shapes
+        shapes.b = {}
+        if len(shapes.numbers) + len(shapes.weights) > SHAPES:
+            shapes.clear()
+        out, at = [(self.root, page)], 0
+        while at < len(out):
+            slot, node = out[at]
+            pairs = align(slot.children, node.children, _sign, _sign, _kids, _kids, shapes)[1]
+            out += [(slot.children[i], node.children[j]) for i, j in pairs]
+            at += 1
+        return out
+
+
+def judge(made: str, pages: int, sums: dict[int, tuple[int, int, int]], hits: dict[int, int]) -> str:
+    """The template with its slots' judgements, and only constant texts. pages: distinct ones of the host; sums: pages, characters and those in links by slot; hits: pages by slot and text."""
+    template = Template(made)
+    slots = template.slots
+    for s in slots:
+        s.texts = {k: n for k, n in s.texts.items() if hits.get(_hit(s.number, k), 0) >= CONSTANT_SHARE * pages}
+    met, chars, links, texts, varying = ([0] * len(slots) for _ in range(5))
+    article, heading = [False] * len(slots), [0] * len(slots)
+    tag = [s.sign.split(".")[0] for s in slots]
+    for s in reversed(slots):  # children first
+        k = s.number
+        met[k], own, linked = sums.get(k, (0, 0, 0))
+        constant = sum(n * hits[_hit(k, t)] for t, n in s.texts.items())
+        chars[k], links[k], texts[k] = own, linked, met[k] if own else 0
+        varying[k] = max(0, own - constant - linked)
+        for c in s.children:
+            j = c.number
+            chars[k], links[k], texts[k], varying[k] = chars[k] + chars[j], links[k] + links[j], texts[k] + texts[j], varying[k] + varying[j]
+        article[k] = not s.aside and (tag[k] in ("article", "main") or any(article[c.number] for c in s.children))
+    everything = varying[0]
+
+    def gone(s: Slot) -> bool:
+        k = s.number
+        if s.aside == 2 or (s.aside == 1 and not article[k] and 2 * varying[k] < everything):
+            return True
+        menu = met[k] >= CONSTANT_SHARE * pages and links[k] >= LINK_SHARE * chars[k] and texts[k] >= MENU_TEXTS * met[k]
+        return menu and 2 * varying[k] < everything
+
+    stack, kept = [template.root], []
+    while stack:  # parents first
+        s = stack.pop()
+        kept.append(s)
+        for c in s.children:
+            if gone(c):
+                c.verdict = GONE
+                below = c.children.copy()
+                while below:
+                    x = below.pop()
+                    x.verdict = GONE
+                    below += x.children
+            else:
+                stack.append(c)
+    weight = [0] * len(slots)
+    for s in reversed(kept):
+        k = s.number
+        own = varying[k] - sum(varying[c.number] for c in s.children)
+        weight[k] = own + sum(weight[c.number] for c in s.children)
+        level = {"h1": 2, "h2": 1}.get(tag[k], 0) if weight[k] and 2 * met[k] >= pages else 0
+        heading[k] = max([level, *(heading[c.number] for c in s.children if c.verdict != GONE)])
+    title = heading[0]
+
+    def telling(s: Slot) -> list[Slot]:
+        return [c for c in s.children if c.verdict != GONE and weight[c.number]]
+
+    def branches(s: Slot) -> bool:
+        while len(now := telling(s)) == 1:
+            s = now[0]
+        return len(now) > 1
+
+    here, main, above = template.root, [], []
+    while not main:
+        kids = telling(here)
+        total = sum(weight[c.number] for c in kids)
+        named = [c for c in kids if article[c.number]]
+        most = max(kids, key=lambda c: weight[c.number], default=None)
+        if tag[here.number] in ("article", "main") or not kids:
+            main = [here]
+        elif named and sum(weight[c.number] for c in named) >= ARTICLE_SHARE * total and (len(named) == 1 or all(tag[c.number] in ("article", "main") for c in named)):
+            above.append(here)
+            if all(tag[c.number] in ("article", "main") for c in named):
+                main = named
+            else:
+                here = named[0]
+        elif weight[most.number] >= MAIN_SHARE * total and branches(most) and not any(heading[c.number] == title > 0 for c in kids if c is not most):
+            above.append(here)
+            here = most
+        else:
+            main = [here]
+    for s in kept:
+        s.verdict = BESIDE
+    stack = list(main)
     while stack:
-        slot, node, depth = stack.pop()
-        if slot[1] and node.text and (key := _key(node.text)) in slot[1]:
-            yield _hit(slot[3], key), node
-        kids = [c for c in node.children if not c.aside]
-        pairs = align(slot[2], kids, lambda s: s[0], lambda c: c.sign, lambda s: s[2], lambda c: [x for x in c.children if not x.aside], depth, shapes)[1]
-        stack += [(slot[2][i], kids[j], depth + 1) for i, j in pairs if slot[2][i][4]]
+        s = stack.pop()
+        if s.verdict != GONE:
+            s.verdict = KEPT
+            stack += s.children
+    for s in above:
+        s.verdict = ABOVE
+    for s in main:
+        s.verdict = MAIN
+    return json.dumps(template.root.packed(), separators=(",", ":"))
 
 
 def _scope(root: Node) -> Node:
@@ -412,11 +550,11 @@ def _scope(root: Node) -> Node:
     return root
 
 
-def _blocks(page: Node, gone: set[int], least: int) -> list[str]:
+def _blocks(page: Node, least: int) -> list[str]:
     blocks, walk = [], [page]
     while walk:
         node = walk.pop()
-        if node.aside >= least or id(node) in gone:
+        if node.aside >= least:
             continue
         if node.text:
             blocks.append(node.text)
@@ -424,16 +562,39 @@ def _blocks(page: Node, gone: set[int], least: int) -> list[str]:
     return blocks
 
 
-def extract(html: str | None, template: list | None) -> str:
+def by_template(page: Node, template: Template) -> list[str] | None:
+    """The blocks of a page that its template keeps; None if the main slot isn't met."""
+    slots = {id(node): slot for slot, node in template.matched(page)}
+    if not any(slot.verdict == MAIN for slot in slots.values()):
+        return None
+    blocks, walk = [], [(page, False)]
+    while walk:
+        node, inside = walk.pop()
+        slot = slots.get(id(node))
+        if slot is None:
+            if node.aside or not inside:
+                continue
+        elif slot.verdict in (GONE, BESIDE) or (node.text and _key(node.text) in slot.texts):
+            continue
+        else:
+            inside = inside or slot.verdict == MAIN
+        if node.text and inside:
+            blocks.append(node.text)
+        walk += [(c, inside) for c in reversed(node.children)]
+    return blocks
+
+
+def extract(html: str | None, template: Template | None) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    page = _scope(parse(html))
-    gone: set[int] = set()
-    if template is not None:
-        gone = {id(node) for _, node in _matched(template, page)}
-    # where classes mark all there is, they speak of the layout
-    return "\n".join(_blocks(page, gone, 1) or _blocks(page, gone, 2))
+    page = parse(html)
+    blocks = by_template(page, template) if template is not None else None
+    if blocks is None:
+        page = _scope(page)
+        # where classes mark all there is, they speak of the layout
+        blocks = _blocks(page, 1) or _blocks(page, 2)
+    return "\n".join(blocks)
 
 
 def host(url: str = "url"):
@@ -451,7 +612,7 @@ def _by_template(rows: DataFrame, known: DataFrame, each: Callable[[pa.RecordBat
         rows = rows.join(known, "host", "left")
 
     def run(batches):
-        parsed: dict[str, list | None] = {}
+        parsed: dict[str, Template | None] = {}
         for batch in batches:
             found = []
             for name, template in zip(batch.column("host").to_pylist(), batch.column("template"), strict=True):
@@ -459,7 +620,7 @@ def _by_template(rows: DataFrame, known: DataFrame, each: Callable[[pa.RecordBat
                     if len(parsed) > 1000:
                         parsed.clear()
                     made = by_host.value.get(name) if by_host is not None else template.as_py()
-                    parsed[name] = _load(made) if made else None
+                    parsed[name] = Template(made) if made else None
                 found.append(parsed[name])
             yield each(batch, found)
 
@@ -467,7 +628,7 @@ def _by_template(rows: DataFrame, known: DataFrame, each: Callable[[pa.RecordBat
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template) of the hosts that have constant slots."""
+    """(host, template) of the hosts with MINIMUM distinct pages or more."""
     rows = pages.select(host().alias("host"), F.col("html")).where("html is not null and host <> ''").withColumn("draw", F.xxhash64("html"))
     # the draws that can be among a host's smallest: some four times SAMPLE, so that a host's draws can be ranked in one task; copies count once
     counts = rows.select("host", "draw").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MINIMUM)
@@ -476,28 +637,41 @@ def templates(pages: DataFrame) -> DataFrame:
     below = (F.pmod(F.col("draw"), F.lit(1 << 20)) / (1 << 20)) < 4.0 * SAMPLE / F.col("n")
     drawn = rows.select("host", "draw").join(small(counts, n_hosts, 96), "host").where(below).select("host", "draw").distinct()
     few = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("draw"))).where(F.col("rank") <= SAMPLE)
-    few = materialize(few.select("host", "draw"), "sample")
-    chosen = rows.join(few, ["host", "draw"]).groupBy("host", "draw").agg(F.first("html").alias("html"))
+    few = materialize(few.select("host", "draw"), "sample", few_files=True)
+    chosen = rows.join(small(few, SAMPLE * n_hosts, 96), ["host", "draw"]).groupBy("host", "draw").agg(F.first("html").alias("html"))
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        made = induce(list(pdf.sort_values("draw").html))
-        return pd.DataFrame({"host": [key[0]], "template": [made]}) if made else pd.DataFrame({"host": pd.Series(dtype=str), "template": pd.Series(dtype=str)})
+        return pd.DataFrame({"host": [key[0]], "template": [induce(list(pdf.sort_values("draw").html))]})
 
     folded = materialize(chosen.groupBy("host").applyInPandas(build, "host string, template string"), "folded")
 
-    def count(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
-        hits = [sorted(hit for hit, _ in _matched(template, _scope(parse(html)))) if template else [] for html, template in zip(batch.column("html").to_pylist(), found, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("draw"), pa.array(hits, pa.list_(pa.int64()))], ["host", "draw", "hits"])
-
-    met = _by_template(rows, folded, count, "host string, draw long, hits array<long>").distinct()
-    met = met.select("host", F.explode("hits").alias("hit")).groupBy("host", "hit").agg(F.count("*").alias("pages"))
-    constant = met.join(small(counts, n_hosts, 96), "host").where(F.col("pages") >= CONSTANT_SHARE * F.col("n")).groupBy("host").agg(F.collect_list("hit").alias("hits"))
-
-    @F.pandas_udf("string")
-    def confirm(made: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([_confirmed(m, [int(x) for x in h]) for m, h in zip(made, hits, strict=True)], dtype=object)
-
-    return folded.join(constant, "host").select("host", confirm("template", "hits").alias("template"))
+    def measure(batch: pa.RecordBatch, found: list[Template | None]) -> pa.RecordBatch:
+        columns: list[list[list[int]]] = [[], [], [], []]
+        for html, template in zip(batch.column("html").to_pylist(), found, strict=True):
+            pairs = template.matched(parse(html)) if template else []
+            columns[0].append([slot.number for slot, _ in pairs])
+            columns[1].append([len(node.text) for _, node in pairs])
+            columns[2].append([node.links for _, node in pairs])
+            columns[3].append(sorted(_hit(slot.number, key) for slot, node in pairs if node.text and (key := _key(node.text)) in slot.texts))
+        lists = [pa.array(c, pa.list_(pa.int64())) for c in columns]
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("draw"), *lists], ["host", "draw", "slots", "chars", "links", "hits"])
+
+    met = _by_template(rows, folded, measure, "host string, draw long, slots array<long>, chars array<long>, links array<long>, hits array<long>")
+    met = materialize(met.where("size(slots) > 0").groupBy("host", "draw").agg(*[F.first(c).alias(c) for c in ("slots", "chars", "links", "hits")]), "met")
+    sums = met.select("host", F.explode(F.arrays_zip("slots", "chars", "links")).alias("x")).groupBy("host", F.col("x.slots").alias("slot"))
+    sums = sums.agg(F.count("*").alias("n"), F.sum("x.chars").alias("chars"), F.sum("x.links").alias("links"))
+    hits = met.select("host", F.explode("hits").alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n")).withColumns({"chars": F.lit(-1).cast("long"), "links": F.lit(0).cast("long")})
+    known = sums.unionByName(hits).groupBy("host").agg(F.collect_list(F.struct("slot", "n", "chars", "links")).alias("found")).join(small(counts, n_hosts, 96), "host")
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for template, n, found in zip(pdf.template, pdf.n, pdf.found, strict=True):
+                sums = {x["slot"]: (x["n"], x["chars"], x["links"]) for x in found if x["chars"] >= 0}
+                made.append(judge(template, int(n), sums, {x["slot"]: x["n"] for x in found if x["chars"] < 0}))
+            yield pd.DataFrame({"host": pdf.host, "template": made})
+
+    return folded.join(known, "host").select("host", "template", "n", "found").mapInPandas(judged, "host string, template string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

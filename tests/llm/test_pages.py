@@ -5,8 +5,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import json
 import random
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pyarrow as pa
@@ -221,3 +223,128 @@ def test_one_long_page_does_not_hide_a_trailing_constant(spark):
     page = lambda i: "".join(f"<p>Body {i} {k}</p>" for k in range(5000 if i == 3 else 9 + i % 7)) + "<p>Sign up today</p>"
     got = wrapper.main_text(spark.createDataFrame([(i, f"http://site.org/{i}", page(i)) for i in range(16)], PAGES)).collect()
     assert all(r.text == "\n".join(f"Body {r.page_id} {k}" for k in range(5000 if r.page_id == 3 else 9 + r.page_id % 7)) for r in got)
+
+
+def sites(seed, named):
+    """(page_id, url, html, article) of six layouts. named: with the elements and classes that say what a part is; else all of it in plain divisions."""
+    draw = random.Random(seed)
+    vocabulary = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 9))) for _ in range(800)]
+    some = lambda a, b: " ".join(draw.choice(vocabulary) for _ in range(draw.randint(a, b)))
+    tag = lambda name, inner, cls="": f'<{name}{f" class={cls}" if cls else ""}>{inner}</{name}>' if named else f"<div>{inner}</div>"
+    out = []
+    for site in range(6):
+        for i in range(24):
+            title, blocks = some(3, 8), [some(8, 60) for _ in range(draw.randint(1, 9))]
+            menu = "".join(f'<li><a href="/{draw.choice(vocabulary)}">{draw.choice(vocabulary)}</a></li>' for _ in range(6 + i % 3))
+            tail = f"All rights reserved by site {site}"
+            top = tag("nav", f"<ul>{menu}</ul>")
+            notice = tag("div", f"This site {site} uses small files to know you again.", "cookie-notice")
+            paragraphs = "".join(f"<p>{b}</p>" for b in blocks)
+            if site % 3 == 2:
+                paragraphs = f"<div>{paragraphs}</div>"
+            body = tag("article", f"<h1>{title}</h1>{paragraphs}")
+            side = tag("aside", f"<h3>More</h3><ul>{menu}</ul>") if site % 2 else ""
+            advert = tag("div", f"<a href=/x>{some(2, 6)}</a>", "ad")
+            foot = tag("footer", f"<p>{tail}</p><p>{some(1, 3)}</p>")
+            wrap = "<div><div>" if site % 3 == 1 else ""
+            html = f"<html><head><title>{title}</title></head><body>{top}{notice}{wrap}{advert}{body}{side}{'</div></div>' if wrap else ''}{foot}</body></html>"
+            out.append((1000 * site + i, f"http://site{site}.org/{i}", html, "\n".join([title, *blocks])))
+    return out
+
+
+def score(got, pages):
+    """Word precision and recall of texts by page."""
+    both = found = want = 0
+    for i, _, _, article in pages:
+        a, b = Counter(got[i].split()), Counter(article.split())
+        both, found, want = both + sum((a & b).values()), found + sum(a.values()), want + sum(b.values())
+    return both / found, both / want
+
+
+@pytest.mark.parametrize(("named", "least"), [(True, (1.0, 1.0)), (False, (0.99, 1.0))])
+def test_articles_of_sites_with_and_without_names(spark, named, least):
+    pages = sites(7, named)
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame([p[:3] for p in pages], PAGES)).collect()}
+    precision, recall = score(got, pages)
+    alone = score({i: wrapper.extract(html, None) for i, _, html, _ in pages}, pages)
+    print(f"named {named}: precision {precision:.4f}, recall {recall:.4f}; without templates {alone[0]:.4f}, {alone[1]:.4f}")
+    assert precision >= least[0] and recall >= least[1]
+    assert named or alone[0] < 0.9
+
+
+def brute_main_text(pages):
+    """One host's texts, by brute_align on whole trees and plain loops. pages: distinct htmls, no more than SAMPLE, in the order of their draws."""
+    tree = lambda n: (n.sign, [tree(c) for c in n.children])
+    shape = lambda s: (s["sign"], [shape(c) for c in s["kids"]])
+    new = lambda node: {"sign": node.sign, "kids": [], "n": 0, "aside": [0, 0, 0], "met": Counter()}
+
+    def pairs(slot, node):
+        return brute_align([shape(c) for c in slot["kids"]], [tree(c) for c in node.children])[1]
+
+    def fold(slot, node):
+        slot["n"] += 1
+        slot["aside"][node.aside] += 1
+        if node.text:
+            slot["met"][node.text] += 1
+        found, kids, i = {j: i for i, j in pairs(slot, node)}, [], 0
+        for j, kid in enumerate(node.children):
+            if j in found:
+                kids += slot["kids"][i : found[j]]
+                i = found[j] + 1
+                here = slot["kids"][found[j]]
+            else:
+                here = new(kid)
+            fold(here, kid)
+            kids.append(here)
+        slot["kids"] = kids + slot["kids"][i:]
+
+    root = new(wrapper.Node("#root"))
+    for html in pages:
+        fold(root, wrapper.parse(html))
+
+    def packed(slot):
+        aside = next((k for k in (2, 1) if 2 * sum(slot["aside"][k:]) >= slot["n"]), 0)
+        return [slot["sign"], sorted([wrapper._key(t), len(t)] for t, n in slot["met"].items() if n > 1), aside, 0, [packed(c) for c in slot["kids"]]]
+
+    made = json.dumps(packed(root))
+    t = wrapper.Template(made)
+    numbers = {id(s): s.number for s in t.slots}
+    sums, hits = {}, Counter()
+
+    def measure(slot, copy, node):
+        k = numbers[id(copy)]
+        n, chars, links = sums.get(k, (0, 0, 0))
+        sums[k] = n + 1, chars + len(node.text), links + node.links
+        if node.text and wrapper._key(node.text) in copy.texts:
+            hits[wrapper._hit(k, wrapper._key(node.text))] += 1
+        for i, j in pairs(slot, node):
+            measure(slot["kids"][i], copy.children[i], node.children[j])
+
+    for html in pages:
+        measure(root, t.root, wrapper.parse(html))
+    judged = wrapper.Template(wrapper.judge(made, len(pages), sums, hits))
+    return {html: wrapper.extract(html, judged) for html in pages}
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_main_text_against_brute_force(spark, named):
+    pages = [p for p in sites(11, named) if p[0] % 1000 < 14]
+    df = spark.createDataFrame([p[:3] for p in pages] + [(9000 + i, *p[1:3]) for i, p in enumerate(pages[:9])], PAGES)
+    draws = {r.page_id: r.d for r in df.select("page_id", F.xxhash64("html").alias("d")).collect()}
+    want = {}
+    for site in range(6):
+        own = sorted((p for p in pages if p[0] // 1000 == site), key=lambda p: draws[p[0]])
+        want |= brute_main_text([p[2] for p in own])
+    html = {r.page_id: r.html for r in df.collect()}
+    got = wrapper.main_text(df).collect()
+    assert len(got) == len(pages) + 9 and all(r.text == want[html[r.page_id]] for r in got)
+
+
+def test_deep_and_long_pages(spark):
+    """Elements nested deeper than NESTING are read as siblings; constant text is known at any depth and in lists of any length."""
+    deep = lambda i: "<div>" * 700 + f"<p>Body {i} of {i * 7}</p><p>Sign up today</p><p>and {i}</p>"
+    rows = [(i, f"http://deep.org/{i}", deep(i)) for i in range(10)]
+    rows += [(100 + i, f"http://long.org/{i}", "".join(f"<p>Row {i} {k}</p>" for k in range(700 + i)) + "<p>Sign up today</p>") for i in range(9)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, PAGES).withColumns({"host": F.lit("own"), "template": F.lit("own"), "draw": F.lit("own")})).collect()}
+    assert all(got[i] == f"Body {i} of {i * 7}\nand {i}" for i in range(10))
+    assert all(got[100 + i].split("\n") == [f"Row {i} {k}" for k in range(700 + i)] for i in range(9))
