@@ -1,20 +1,19 @@
 """Operator 4, exact deduplication by a stateful stream.
 
-The stream reads the table's files and keeps, for each digest of a normalised text, one entry of state that never expires:
-the digest, the stable identifier of the row that stays so far, the number of rows, and a content
-locator (file and row) by which its bytes can be read again. The state lives on disk, in RocksDB, with its
+A stream reads the table's files and writes an entry for each row: digest of the normalised text, identifier, rank and a content
+locator (file and row) by which its bytes can be read again. A stateful stream reads the entries and keeps, for each digest, one
+entry of state that never expires: the row that stays so far and the number of rows. The state lives on disk, in RocksDB, with its
 checkpoint in the shared folder; a run on the same folder goes on where the last one ended.
-Every hit is checked on full bytes: the text of each row of a group is compared with that of the row that
-stays, read by its locator. Should digests collide, the groups concerned are formed again by whole text.
+Every hit is checked on full bytes: the texts of rows whose digest is not alone are read again by their locators, and all of
+a digest must be the same. Should digests collide, the groups concerned are formed again by whole text. Texts are read twice in all.
 
-Spark combines rows of a digest before the shuffle, so a group with a third of all rows is one
-row from each task; in the check of the bytes such a group is split by AQE's skew join.
+Spark combines rows of a digest before each shuffle, so a group with a third of all rows is one row from each task.
 
 Texts are equal when they are the same without the characters of [\\x20\\x09-\\x0D]. Of equal texts the longest original stays, then
 the smallest id, then the smallest locator.
 
-Defined cases: null counts as empty; null ids come last; repeated rows are rows of one group; an empty table gives an
-empty result; extra columns aren't read.
+Defined cases: null counts as empty; null ids come last; repeated rows are rows of one group; very long texts are read whole; an empty
+table gives an empty result; extra columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -46,21 +45,32 @@ def sha256(col: Column) -> Column:
     return F.sha2(col, 256)
 
 
-def _entries(rows: DataFrame, key: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, body, digest, rank): rank orders the rows of a group, the one that stays first, and holds the locator."""
+def _located(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, body, place, rank) of rows read from files: rank orders the rows of a group, the one that stays first, and holds the locator."""
     place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
     out = rows.select(F.col(key).alias("doc_id"), normalised(text).alias("body"), F.coalesce(F.char_length(text), F.lit(0)).alias("length"), place.alias("place"))
     rank = F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place.path", "place.row")
-    return out.select("doc_id", "body", digest(F.col("body")).alias("digest"), rank.alias("rank"))
+    return out.select("doc_id", "body", "place", rank.alias("rank"))
 
 
-def run_stream(spark: SparkSession, path: str, folder: str, key: str, text: str, digest: Callable[[Column], Column], **options) -> None:
-    """Brings the state in `folder` up to date with the files at `path`, and writes the entries that changed."""
+def _globbed(spark: SparkSession, path: str) -> str:
+    """A path that a stream can read: folders and globs; a glob of one letter stands for a single file."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    # a stream reads folders and globs; a glob of one letter stands for a single file
-    files = f"{path[:-1]}[{path[-1]}]" if where.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(where) else path
-    source = spark.readStream.schema(spark.read.parquet(path).schema).options(**({"maxBytesPerTrigger": TRIGGER_BYTES} | options)).parquet(files)
-    state = _entries(source, key, text, digest).groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    return f"{path[:-1]}[{path[-1]}]" if where.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(where) else path
+
+
+def run_stream(spark: SparkSession, path: str, folder: str, key: str, text: str, digest: Callable[[Column], Column], **options) -> None:
+    """Brings entries and state in `folder` up to date with the files at `path`, and writes the entries of state that changed."""
+    whole = spark.read.parquet(path).schema
+    # only what is needed: a column of the table's own by the name of _metadata would hide the locator
+    two = whole.fromJson({"type": "struct", "fields": [whole[c].jsonValue() for c in dict.fromkeys((key, text))]})
+    source = spark.readStream.schema(two).options(**({"maxBytesPerTrigger": TRIGGER_BYTES} | options)).parquet(_globbed(spark, path))
+    rows = _located(source, key, text)
+    rows = rows.select(digest(F.col("body")).alias("digest"), sha256(F.col("body")).alias("sha"), "rank")
+    rows.writeStream.format("parquet").option("path", f"{folder}/entries").option("checkpointLocation", f"{folder}/reading").trigger(availableNow=True).start().awaitTermination()
+
+    entries = spark.readStream.schema(rows.schema).options(maxBytesPerTrigger=TRIGGER_BYTES).parquet(f"{folder}/entries")
+    state = entries.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
 
     def changed(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changed/batch={number}")
@@ -86,36 +96,38 @@ def groups(spark: SparkSession, folder: str, id_type: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "batch").alias("e")).select("digest", "e.first", "e.n")
 
 
+def _broadcast(groups_: DataFrame) -> DataFrame:
+    """groups_ to be joined: broadcast if its measured size is within the bound."""
+    n, paths = groups_.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("first.path")), F.lit(0))).first()
+    return small(groups_, 1, 256 * n + paths)
+
+
 def dedup(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, folder: str | None = None, **options) -> DataFrame:
     """One row for each row at `path`: doc_id, keep_id, group_size, kept, text_sha256."""
     folder = folder or fresh_path(spark, "exactdedup")
     run_stream(spark, path, folder, key, text, digest, **options)
     table = spark.read.parquet(path)
-    several = materialize(groups(spark, folder, table.schema[key].dataType.simpleString()).where("n > 1"), "groups")
-    n = several.count()
-    rows = _entries(table, key, text, digest)
-    # every hit against the full bytes of the row that stays
-    hits = rows.join(small(several, n, 160), "digest")
-    mine = F.col("rank") == F.col("first")
-    holders = hits.where(mine).select("digest", F.col("body").alias("held"))
-    # written as it is: an aggregation by digest on top would keep AQE from splitting a group with many rows
-    differing = hits.where(~mine).join(holders, "digest").where("body <> held").select("digest")
-    collided = materialize(differing, "collided").distinct()
+    table = spark.read.schema(table.select(*dict.fromkeys((key, text))).schema).parquet(path)
+    several = materialize(groups(spark, folder, table.schema[key].dataType.simpleString()).where("n > 1"), "groups", few_files=True)
+    entries = spark.read.parquet(f"{folder}/entries")
+    found = entries.join(_broadcast(several), "digest", "left")
+    # every hit on full bytes, read by its locator; the texts of one digest must be one text
+    hits = found.where(F.col("n").isNotNull()).select("digest", F.struct("rank.path", "rank.row").alias("place"))
+    n_hits = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hits = small(hits, n_hits, 384)
+    texts = _located(table, key, text).join(hits, "place")
+    collided = materialize(texts.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("digest"), "collided")
     if not collided.isEmpty():
-        again = rows.join(collided, "digest", "left_semi")
-        split = again.groupBy("digest", "body").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
-        several = several.join(collided, "digest", "left_anti").withColumn("body", F.lit(None).cast("string")).unionByName(split)
-        matched = rows.alias("r").join(several.alias("g"), (F.col("r.digest") == F.col("g.digest")) & F.coalesce(F.col("g.body") == F.col("r.body"), F.lit(True)), "left")
-        rows = matched.select("r.doc_id", "r.body", "r.rank", "g.first", "g.n")
-    else:
-        rows = rows.join(small(several, n, 160), "digest", "left")
-    found = F.col("first").isNotNull()
-    return rows.select(
-        "doc_id",
-        F.when(found, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        split = texts.join(collided, "digest", "left_semi").groupBy("digest", "body").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+        again = texts.join(collided, "digest", "left_semi").join(split, ["digest", "body"]).select(sha256(F.col("body")).alias("sha"), "rank", "first", "n")
+        found = found.join(collided, "digest", "left_anti").select("sha", "rank", "first", "n").unionByName(again)
+    alone = F.col("n").isNull()
+    return found.select(
+        F.col("rank.doc_id").alias("doc_id"),
+        F.when(alone, F.col("rank.doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (~found | (F.col("rank") == F.col("first"))).alias("kept"),
-        sha256(F.col("body")).alias("text_sha256"),
+        (alone | (F.col("rank") == F.col("first"))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
 
 

@@ -10,9 +10,10 @@ other half. Connected components of the forest's edges give the classes.
 Exact copies share a fingerprint, and only distinct fingerprints are indexed, so a class of
 copies costs as much as one document.
 
-Defined cases: null, empty and blank texts have fingerprint zero; a null id joins the class of its text
-but never names it (a class of null ids only has a null component_id); rows that repeat are
-separate rows of one class, of which keep_one() keeps one; empty tables give empty results.
+Defined cases: null, empty and blank texts have fingerprint zero; very long texts are read whole, their shingles hashed in parts; a null
+id joins the class of its text but never names it (a class of null ids only has a null component_id); rows that repeat are
+separate rows of one class, of which keep_one() keeps one; of rows with one id keep_one() prefers the smaller content hash; empty
+tables give empty results; extra columns are kept by keep_one(), whatever their names, but for names that begin with _loom_.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, small
 
 #: Most bits in which linked fingerprints differ. The two-halves argument holds for three.
 DISTANCE = 3
@@ -196,18 +197,25 @@ def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df without near duplicates: of each class the row with the smallest id stays."""
+    """The rows of df without near duplicates: of each class the row with the smallest id stays. Texts aren't shuffled while the keys of the rows that go fit a broadcast."""
     thin = fingerprints(df, key, text)
-    rows = thin.groupBy("doc_id", "content", "fp").agg(F.count("*").alias("n")).join(classes(thin).select("fp", "root"), "fp")
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content", "n")).alias("best"))
-    best = materialize(best.select(F.col("best.doc_id").alias("_loom_id"), F.col("best.content").alias("_loom_content"), F.col("best.n").alias("_loom_n")), "kept")
+    of = materialize(classes(thin).select("fp", "root"), "classes", few_files=True)
+    least = thin.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "content")).alias("best"))
+    best = least.join(of, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    judged = thin.join(of.join(best, "root").select("fp", "best"), "fp").select("doc_id", "content", "best")
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("content") == F.col("best.content"))
+    named = [F.col("doc_id").alias("_loom_id"), F.col("content").alias("_loom_content")]
+    gone = materialize(judged.where(~first).select(*named).distinct(), "gone", few_files=True)
+    # rows that stay, but are there several times
+    again = materialize(judged.where(first).groupBy("doc_id", "content").agg(F.count("*").alias("n")).where("n > 1").select(*named), "again", few_files=True)
     same = F.col(key).eqNullSafe(F.col("_loom_id")) & (F.xxhash64(F.col(text)) == F.col("_loom_content"))
-    once = df.join(best.where("_loom_n = 1"), same, "left_semi")
-    if best.where("_loom_n > 1").isEmpty():
-        return once
-    # the row that stays was there several times
-    again = df.join(best.where("_loom_n > 1"), same, "left_semi").withColumn("_loom_content", F.xxhash64(F.col(text)))
-    return once.unionByName(again.dropDuplicates([key, "_loom_content"]).drop("_loom_content"))
+    n_gone, n_again = gone.count(), again.count()
+    left = df.join(small(gone, n_gone), same, "left_anti")
+    if not n_again:
+        return left
+    once = left.join(small(again, n_again), same, "left_anti")
+    copies = df.join(small(again, n_again), same, "left_semi").withColumn("_loom_content", F.xxhash64(F.col(text)))
+    return once.unionByName(copies.dropDuplicates([key, "_loom_content"]).drop("_loom_content"))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -111,11 +111,19 @@ def test_simhash_groups_that_are_shuffled_again(spark):
 
 
 def test_simhash_rows_without_ids(spark):
+    from pyspark.sql import functions as F
+
     rows = [doc(None, "a b c d")] * 3 + [doc(4, "e f g h i j")] * 2 + [doc(9, "e f g h i j"), doc(5, None), doc(6, "")]
     df = spark.createDataFrame(rows, DOCUMENTS)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.neighbours(df).collect()) == sorted([("None", "None")] * 3 + [("4", "4")] * 2 + [("9", "4"), ("5", "5"), ("6", "5")])
     kept = simhash.keep_one(df.withColumnRenamed("lang", "fp")).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["4", "5", "None"] and kept[0].__fields__ == ["doc_id", "text", "fp", "source", "n_chars"]
+    # extra columns with the operator's names, and a text of 400,000 words that repeats but for its last word
+    own = df.withColumns({c: F.lit("own") for c in ("content", "best", "root", "component_id", "fingerprint", "node", "n")})
+    long = "tell me why " * 133_333
+    more = spark.createDataFrame([(20, long + "a"), (21, long + "b"), (22, long + "a")], "doc_id long, text string")
+    kept = simhash.keep_one(own.unionByName(more, allowMissingColumns=True)).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["20", "4", "5", "None"] and {r.root for r in kept} == {"own", None}
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.neighbours(df.limit(0)).count() == 0
 
 
@@ -157,6 +165,14 @@ def test_exact_dedup_edges(spark, tmp_path):
     spark.createDataFrame(rows, DOCUMENTS).coalesce(1).write.parquet(path)
     got = sorted(((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exactdedup.dedup(spark, path).collect()))
     assert got == sorted([("None", "3", 3, False)] * 2 + [("7", "7", 2, True), ("7", "7", 2, False), ("7", "7", 1, True), ("3", "3", 3, True)])
+    # columns of the table's own by names that the operator uses, a text of 5 MB, and ids that are strings
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("b", "x " * 2_500_000), ("a", "x" * 2_500_000), ("c", "y")], "doc_id string, text string")
+    for name in ("_metadata", "digest", "rank", "place", "n", "first"):
+        df = df.withColumn(name, F.struct(F.lit("own").alias("file_path"), F.lit(1).alias("row_index")))
+    df.write.parquet(str(tmp_path / "c"))
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdedup.dedup(spark, str(tmp_path / "c")).collect()) == [("a", "b", 2, False), ("b", "b", 2, True), ("c", "c", 1, True)]
     spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "e"))
     assert exactdedup.dedup(spark, str(tmp_path / "e")).count() == 0
 
