@@ -211,3 +211,53 @@ def test_items_of_many_blocks_with_string_ids_take_two_scans(spark, monkeypatch,
     # however many blocks the items would make, the documents are read once for candidates and once to verify
     assert sum(seen) == 1 and scans(found) <= 2
     assert len(decontaminate.without_leaks(df, items).collect()) == 2 * len(docs) - 2 * 13
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage by plain loops over its predecessor's rows; of sharding the rows and the shards' sizes."""
+    import hashlib
+
+    from corpusloom.llm import sharding
+
+    from .test_duplicates import brute_fingerprint, corpus, roots
+    from .test_sharding_mixing import brute_targets
+
+    draw = random.Random(9)
+    items = [(i, " ".join(f"b{i}x{draw.randint(0, 9)}" for _ in range(12))) for i in range(6)]
+    texts = corpus(31)
+    texts += [f"{draw.choice(texts) or 'x'} {draw.choice(items)[1]}" for _ in range(8)]
+    rows = [doc(i, t, draw.choice(["en", "de", None]), draw.choice(["a", "a", "b", "c", None])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    model = langid.fit(df)
+    now = [r for r in rows if model.predict(r[1])[0] != "und"]
+    fp = {r[0]: brute_fingerprint(r[1]) for r in now}
+    first = roots(list(fp), lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 3)
+    now = [r for r in now if first[r[0]] == r[0]]
+    held = {i for i, *_ in brute_leaks([(r[0], r[1]) for r in now], items)}
+    assert held and len(now) < len(rows)
+    now = [r for r in now if r[0] not in held]
+    size = {r[0]: len(regex.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in now}
+    sizes = {}
+    for r in now:
+        sizes[r[3]] = sizes.get(r[3], 0) + size[r[0]]
+    want = []
+    for source, target in brute_targets(sizes).items():
+        whole = int(target // sizes[source])
+        need, before = target - whole * sizes[source], 0
+        place = lambda r: int(hashlib.md5(str(r[0]).encode()).hexdigest()[:15], 16)
+        for r in sorted((r for r in now if r[3] == source), key=place):
+            n = size[r[0]]
+            once = before + n <= need or (before <= need and n < 2 * (need - before))
+            want += [r[0]] * (min(3, whole + once) if n else 0)
+            before += n
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    held_bytes, n_rows = {}, {}
+    for r in got:
+        held_bytes[r.shard_id] = held_bytes.get(r.shard_id, 0) + len(r.text.encode())
+        n_rows[r.shard_id] = n_rows.get(r.shard_id, 0) + 1
+    assert all((r.shard_bytes, r.shard_rows) == (held_bytes[r.shard_id], n_rows[r.shard_id]) for r in got)
+    assert all(n <= sharding.SHARD_BYTES for n in held_bytes.values())
