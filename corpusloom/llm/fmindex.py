@@ -31,7 +31,7 @@ from .suffixarray import merged
 from .windows import Shape, join_spans, repeats, with_uid
 
 SPAN = 35
-SHAPE = Shape(SPAN, 16, hot=500, digits=(4, 8, 16, 7))
+SHAPE = Shape(SPAN, 16, hot=500, digits=(6, 29))
 
 
 class _Hashes(dict):

@@ -27,8 +27,8 @@ from .windows import Shape, join_spans, repeats, with_uid
 
 SPAN = 100
 DIGIT = 8
-#: The passes over groups that are too large for a task take digits that double; those in a task take DIGIT bytes.
-SHAPE = Shape(SPAN, 32, hot=1000, digits=(8, 16, 32, 44))
+#: The passes over groups that are too large for a task take 16 bytes, then the rest; those in a task take DIGIT bytes.
+SHAPE = Shape(SPAN, 32, hot=1000, digits=(16, 84))
 #: Hashes of the byte values, of no meaning but that they are fixed.
 BYTES = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
 
@@ -43,8 +43,8 @@ def cut(text: bytes):
 
 def split(content: bytes) -> list[tuple[bytes, ...]]:
     """The digits of each window, most significant first."""
-    a, b, c, d = accumulate(SHAPE.digits)
-    return [(w[:a], w[a:b], w[b:c], w[c:d]) for w in (content[i : i + SPAN] for i in range(len(content) - SPAN + 1))]
+    ends = list(accumulate(SHAPE.digits))
+    return [tuple(content[i + e - n : i + e] for n, e in zip(SHAPE.digits, ends, strict=True)) for i in range(len(content) - SPAN + 1)]
 
 
 def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
