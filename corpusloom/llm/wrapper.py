@@ -136,7 +136,7 @@ def parse(html: str) -> Node:
         nonlocal linked
         if not hidden:
             runs.append(run)
-            if any(tag == "a" for tag, _ in inline):
+            if inline and any(tag == "a" for tag, _ in inline):
                 linked += len(run.strip())
 
     at = 0
@@ -210,6 +210,7 @@ class Shapes:
         self.numbers: dict[tuple, int] = {}
         self.signs, self.kids, self.nodes = [], [], []  # by shape
         self.weights: dict[tuple[int, int], int] = {}
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}  # by slot's number and node's shape
         self.a: dict[int, int] = {}  # shapes of nodes by identity, of either side
         self.b: dict[int, int] = {}
 
@@ -423,14 +424,20 @@ class Template:
         """The slots of a page's nodes, those that have one."""
         shapes = self.shapes
         shapes.b = {}
-        if len(shapes.numbers) + len(shapes.weights) > SHAPES:
+        if len(shapes.numbers) + len(shapes.weights) + len(shapes.pairs) > SHAPES:
             shapes.clear()
+        shapes.of(page, _sign, _kids, shapes.b)
         out, at = [(self.root, page)], 0
         while at < len(out):
             slot, node = out[at]
-            pairs = align(slot.children, node.children, _sign, _sign, _kids, _kids, shapes)[1]
-            out += [(slot.children[i], node.children[j]) for i, j in pairs]
             at += 1
+            if slot.children and node.children:
+                key = slot.number, shapes.b[id(node)]
+                pairs = shapes.pairs.get(key)
+                if pairs is None:
+                    a = [shapes.of(c, _sign, _kids, shapes.a) for c in slot.children]
+                    pairs = shapes.pairs[key] = shapes.match(a, shapes.kids[key[1]])[1]
+                out += [(slot.children[i], node.children[j]) for i, j in pairs]
         return out
 
 
