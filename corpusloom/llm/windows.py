@@ -13,8 +13,8 @@ group of the anchor's gram. Neighbouring windows mostly share an anchor; one row
 3. `open_contexts` fetches the tokens of the open anchors, and a solver given by the operator compares the windows of each gram's
    contexts.
 4. Grams with more open contexts than Shape.hot are split first (`refined`): their windows are regrouped by their next tokens, pass by
-   pass, most significant first. Windows alone in their group leave, groups of up to Shape.hot go to the solver, larger ones to the next pass;
-   with the last pass a group's windows are equal throughout, and counted. No task gets more than Shape.hot windows of a group.
+   pass, most significant first. Windows alone in their group leave, groups of up to a quarter of Shape.hot go to the solver, larger ones to the next pass;
+   with the last pass a group's windows are equal throughout, and counted. No task gets more than that of a group.
 5. `repeats` gathers the spans found, by document.
 
 Positions and identities fit 64-bit integers; texts are UTF-8 bytes.
@@ -326,17 +326,18 @@ def refined(contexts: DataFrame, split: Split, solver: Solver, shape: Shape, eve
                 yield pa.RecordBatch.from_arrays(columns, ["gram", "uid", "start", "digits"])
 
     rows = materialize(contexts.mapInArrow(run, "gram long, uid long, start long, digits array<binary>"), "digits")
+    most = max(1, shape.hot // 4)  # windows come one by one here, contexts hold many
     found = None
     for k in range(len(shape.digits) - 1):
         rows = rows.withColumn("gram", F.xxhash64("gram", F.col("digits")[k]))
         sizes = materialize(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "groups", few_files=True)
-        n_few, n_many = sizes.agg(F.count_if(F.col("n") <= shape.hot), F.count_if(F.col("n") > shape.hot)).first()
-        few = rows.join(small(sizes.where(F.col("n") <= shape.hot).select("gram"), n_few), "gram", "left_semi")
+        n_few, n_many = sizes.agg(F.count_if(F.col("n") <= most), F.count_if(F.col("n") > most)).first()
+        few = rows.join(small(sizes.where(F.col("n") <= most).select("gram"), n_few), "gram", "left_semi")
         spans = solved(few.select("gram", "uid", "start", F.expr("aggregate(digits, cast('' as binary), (a, d) -> concat(a, d))").alias("content")), solver)
         found = spans if found is None else found.union(spans)
         if not n_many:
             return found
-        rows = materialize(rows.join(small(sizes.where(F.col("n") > shape.hot).select("gram"), n_many), "gram", "left_semi"), "digits")
+        rows = materialize(rows.join(small(sizes.where(F.col("n") > most).select("gram"), n_many), "gram", "left_semi"), "digits")
     # with the last digit the windows of a group are equal throughout: large classes are told by counting
     by = materialize(rows.groupBy("digits").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digits", "first"), "classes")
     hits = rows.join(small(by, by.count(), 256), "digits")
