@@ -240,8 +240,11 @@ def settled(anchors: DataFrame, span: int, every: bool) -> DataFrame:
     return rows.mapInArrow(lambda batches: settle(batches, span, every), "uid long, start long, length long, gram long")
 
 
-def open_contexts(docs: DataFrame, opened: DataFrame, cut: Callable[[bytes], Callable[[int, int], bytes]], span: int) -> DataFrame:
-    """(gram, uid, start, content): the tokens of the open anchors' windows. cut(text) gives a function of start and end."""
+CONTEXTS = "gram long, uid long, start long, content binary"
+
+
+def open_contexts(docs: DataFrame, opened: DataFrame, cut: Callable[[bytes], Callable[[int, int], bytes]], span: int, then=None, schema: str = CONTEXTS) -> DataFrame:
+    """(gram, uid, start, content): the tokens of the open anchors' windows. cut(text) gives a function of start and end. `then` makes what it wants of the batches, in the same worker."""
     lists = opened.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "gram")).alias("opened"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,7 @@ def open_contexts(docs: DataFrame, opened: DataFrame, cut: Callable[[bytes], Cal
                     yield pa.RecordBatch.from_arrays([pa.array(gram[lo:at]), pa.array(uid[lo:at]), pa.array(start[lo:at]), pa.array(content, pa.binary())], ["gram", "uid", "start", "content"])
                     content = []
 
-    return docs.select("uid", "text").join(lists, "uid").mapInArrow(run, "gram long, uid long, start long, content binary")
+    return docs.select("uid", "text").join(lists, "uid").mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
 
 
 Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -311,11 +314,11 @@ def solved(contexts: DataFrame, solver: Solver, batch_bytes: int = 2 << 20) -> D
 Split = Callable[[bytes], list[tuple[bytes, ...]]]
 
 
-def refined(contexts: DataFrame, split: Split, solver: Solver, shape: Shape, every: bool) -> DataFrame:
-    """Spans in contexts of hot grams, by passes over their windows' digits. split(content): the digits of each window of a context.
+DIGITS = "gram long, uid long, start long, digits array<binary>"
 
-    A group is named by a 64-bit hash of its digits so far. Should two groups share a name, the solver still compares tokens, and the last pass groups by them.
-    """
+
+def digits_of(split: Split) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts to windows. split(content): the digits of each window of a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +328,16 @@ def refined(contexts: DataFrame, split: Split, solver: Solver, shape: Shape, eve
                 columns = [pa.array(np.full(n, gram)), pa.array(np.full(n, uid)), pa.array(np.arange(start, start + n)), pa.array([list(d) for d in digits], pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["gram", "uid", "start", "digits"])
 
-    rows = materialize(contexts.mapInArrow(run, "gram long, uid long, start long, digits array<binary>"), "digits")
+    return run
+
+
+def refined(windows: DataFrame, solver: Solver, shape: Shape, every: bool) -> DataFrame:
+    """Spans in windows (DIGITS) of hot grams, by passes over their digits.
+
+    A group is named by a 64-bit hash of its digits so far. Should two groups share a name, the solver still compares tokens, and the last pass groups by them.
+    """
+
+    rows = materialize(windows, "digits")
     most = max(1, shape.hot // 4)  # windows come one by one here, contexts hold many
     found = None
     for k in range(len(shape.digits) - 1):
@@ -355,7 +367,7 @@ def repeats(docs: DataFrame, shape: Shape, tokens: Tokens, cut, split: Split, so
     n_hot = hot.count()
     if n_hot:
         hot_rows = opened.join(small(hot, n_hot), "gram", "left_semi")
-        spans = spans.union(refined(open_contexts(docs, hot_rows, cut, shape.span), split, solver, shape, every))
+        spans = spans.union(refined(open_contexts(docs, hot_rows, cut, shape.span, digits_of(split), DIGITS), solver, shape, every))
         opened = opened.join(small(hot, n_hot), "gram", "left_anti")
     spans = spans.union(solved(open_contexts(docs, opened, cut, shape.span), solver))
     return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
