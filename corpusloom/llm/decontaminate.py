@@ -46,6 +46,11 @@ MASK_BITS = 20
 TABLE_BITS = 27
 
 
+_plain = re.compile(r"\w+").findall
+#: The first mark is U+0300.
+_beyond = re.compile("[^\x00-\u02ff]").search
+
+
 @cache
 def _pattern() -> re.Pattern[str]:
     r"""[\p{L}\p{N}\p{M}_]+ for the standard library, whose \w lacks the marks."""
@@ -55,8 +60,8 @@ def _pattern() -> re.Pattern[str]:
 
 def words_of(text: str | None) -> list[str]:
     low = (text or "").lower()
-    if low.isascii():
-        return re.findall(r"\w+", low)
+    if low.isascii() or not _beyond(low):  # no marks, no sigma
+        return _plain(low)
     return _pattern().findall(low.replace("ς", "σ").replace("i\u0307", "i"))
 
 
