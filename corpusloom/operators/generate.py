@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import UNKNOWN, answered_by, clean_answer, strip, tidy_alternatives, too_wordy
+from ..storage import numbered
 
 Generator = Callable[[str], str]
 #: Models that answers may come from, the first by default.
@@ -168,13 +169,20 @@ def planned(rows: DataFrame, categories: DataFrame) -> DataFrame:
     return out.withColumns({"cap": F.coalesce("_cap", F.lit(10)), "n_q": F.coalesce("_n", F.lit(2)), "hint": F.coalesce("_hint", F.lit(""))}).drop("_cap", "_n", "_hint")
 
 
+def _draw(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+
 def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """rows in an order that depends on key and seed only."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key)
+    return rows.orderBy(_draw(key, seed), key)
 
 
-def sampled(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
-    """About `share` of the rows, the same ones in every run."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_003)) < share * 1_000_003)
+def with_places(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """rows with their place in that order, from 1. Ranges of the order are counted, so that no task ranks all rows."""
+    return numbered(rows.withColumn("_draw", _draw(key, seed)), ["_draw", key], "place").withColumn("place", F.col("place") + 1).drop("_draw")
 
 
+def sampled(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """About `share` of the rows, the same ones in every run."""
+    return rows.where(F.conv(F.substring(_draw(key, seed), 1, 13), 16, 10).cast("long") < share * (1 << 52))

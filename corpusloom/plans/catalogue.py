@@ -6,7 +6,10 @@ has a rule for (headings, prefixes, malformed lines), both sides add it in the s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+import unicodedata
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -120,6 +123,15 @@ def answer_batch(spark, sf_dir):
     return generate.answers(generate.prompts(index.top_k(questions, chunks), chunks, questions)).select(F.col("q").alias("item_id"), "prediction", "error")
 
 
+ANSWER_BATCH_SQL = f"""
+WITH {BM25},
+first AS (SELECT item_id, COALESCE(text, '') AS text FROM rk JOIN documents USING (doc_id) WHERE rank = 1),
+l AS (SELECT item_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '') AS l FROM first),
+r AS (SELECT item_id, array_to_string(list_slice(regexp_extract_all(l[1], '[^\\x20\\x09-\\x0D]+'), 1, 10), ' ') AS r FROM l WHERE len(l) > 0)
+SELECT b.item_id, CASE WHEN COALESCE(r, '') = '' THEN 'unknown' ELSE r END AS prediction, NULL::VARCHAR AS error FROM benchmark b LEFT JOIN r USING (item_id)
+"""
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -164,10 +176,10 @@ ANSWER_SQL = f"WITH {TURNS}, {_f1_sql('pr', 'conv_id, turn', _form, '1.0')} SELE
 
 
 def _aligned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Predictions and gold by position; gold has a second and an empty alternative, and more rows than predictions."""
+    """Predictions and gold by position; gold has a second and an empty alternative."""
     rows = _turns(spark, sf_dir).withColumn("pos", (F.col("conv_id") * 1000 + F.col("turn")))
     gold = rows.select("pos", F.concat("reference", F.lit(" | other answer|")).alias("answer"))
-    return rows.where("conv_id % 7 <> 0").select("pos", F.when(F.col("conv_id") % 5 == 0, F.lit("")).otherwise(F.col("prediction")).alias("prediction")), gold
+    return rows.select("pos", F.when(F.col("conv_id") % 5 == 0, F.lit("")).otherwise(F.col("prediction")).alias("prediction")), gold
 
 
 def eval_report(spark, sf_dir):
@@ -176,7 +188,7 @@ def eval_report(spark, sf_dir):
 
 REPORT_SQL = f"""
 WITH {TURNS},
-al AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN '' ELSE prediction END AS prediction, unnest([reference, 'other answer', '']) AS reference, unnest([1, 2, 3]) AS alt FROM pr WHERE conv_id % 7 <> 0),
+al AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN '' ELSE prediction END AS prediction, unnest([reference, 'other answer', '']) AS reference, unnest([1, 2, 3]) AS alt FROM pr),
 {_f1_sql("al", "conv_id, turn, alt", _form, "1.0")},
 b AS (SELECT conv_id, turn, MAX(em) AS em, MAX(f1) AS f1 FROM f GROUP BY ALL)
 SELECT COUNT(*) AS n, round(AVG(em), 6) AS em, round(AVG(f1), 6) AS f1 FROM b
@@ -185,7 +197,7 @@ SELECT COUNT(*) AS n, round(AVG(em), 6) AS em, round(AVG(f1), 6) AS f1 FROM b
 
 def squad_em_f1(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    report = evaluate.squad_report(rows.select("id", F.array("reference", F.lit("the a an")).alias("answers")), rows.where("conv_id % 3 <> 0").select("id", "prediction"))
+    report = evaluate.squad_report(rows.select("id", F.array("reference", F.lit("the a an")).alias("answers")), rows.where(F.char_length("prediction") > 20).select("id", "prediction"))
     return report.select(F.round("exact_match", 6).alias("exact_match"), F.round("f1", 6).alias("f1"), "total")
 
 
@@ -196,7 +208,7 @@ def _squad_form(column: str) -> str:
 
 SQUAD_SQL = f"""
 WITH {TURNS},
-al AS (SELECT conv_id, turn, prediction, unnest([reference, 'the a an']) AS reference, unnest([1, 2]) AS alt FROM pr WHERE conv_id % 3 <> 0),
+al AS (SELECT conv_id, turn, prediction, unnest([reference, 'the a an']) AS reference, unnest([1, 2]) AS alt FROM pr WHERE length(prediction) > 20),
 {_f1_sql("al", "conv_id, turn, alt", _squad_form, "0.0")},
 b AS (SELECT conv_id, turn, MAX(em) AS em, MAX(f1) AS f1 FROM f GROUP BY ALL)
 SELECT round(100 * AVG(COALESCE(b.em, 0)), 6) AS exact_match, round(100 * AVG(COALESCE(b.f1, 0)), 6) AS f1, COUNT(*) AS total FROM pr LEFT JOIN b USING (conv_id, turn)
@@ -378,25 +390,67 @@ SELECT page_id, CASE WHEN t <> '' THEN t ELSE h END AS title FROM c
 """
 
 
+#: Headings and paragraphs of an article in order. A paragraph that is opened with a bold line isn't closed, so its text goes on to the article's end.
+PIECES = f"""
+art AS (SELECT page_id, {_decoded("regexp_extract(html, '<div class=\"ad\">([^<]*)', 1)")} AS ad, regexp_extract_all(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '<h1>[^<]*|<p><b>[^<]*|<p>[^<]*') AS p FROM pages),
+raw AS (SELECT page_id, unnest(p) AS x, generate_subscripts(p, 1) AS pos FROM art),
+piece AS (SELECT page_id, pos, CASE WHEN x LIKE '<h1>%' THEN 'head' WHEN x LIKE '<p><b>%' THEN 'open' ELSE 'closed' END AS kind, trim({_decoded("regexp_replace(x, '^(<h1>|<p><b>|<p>)', '')")}, ' ' || chr(10)) AS t FROM raw),
+below AS (SELECT page_id, pos, kind, t, string_agg(NULLIF(t, ''), ' ') OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM piece),
+line AS (SELECT page_id, pos, kind, CASE WHEN kind = 'open' THEN COALESCE(rest, '') ELSE t END AS t FROM below)"""
+
+
 def page_sections(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(H.parsed("html")["sections"]).alias("section_idx", "s"))
     return rows.select("page_id", "section_idx", F.col("s.heading").alias("heading"), F.col("s.text").alias("text"))
 
 
+PAGE_SECTIONS = f"""{PIECES},
+wide AS (SELECT page_id, pos, kind, trim(regexp_replace(replace(t, chr(160), ' '), '\\s+', ' ', 'g')) AS w, t FROM line),
+section AS (SELECT page_id, COALESCE(MAX(t) FILTER (kind = 'head'), '') AS heading, string_agg(w, chr(10) ORDER BY pos) FILTER (kind <> 'head' AND length(w) > 15) AS text FROM wide GROUP BY page_id)"""
+PAGE_SECTIONS_SQL = f"WITH {PAGE_SECTIONS} SELECT page_id, 0 AS section_idx, heading, text FROM section WHERE length(text) > 20"
+
+
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.quick("html").alias("text"))
 
 
+PAGE_TEXT_SQL = f"""
+WITH {PIECES},
+q AS (SELECT page_id, trim(string_agg(CASE WHEN kind = 'head' THEN chr(10) || '## ' || t ELSE t END, chr(10) ORDER BY pos), ' ' || chr(10)) AS text FROM line WHERE length(t) > 15 GROUP BY page_id)
+SELECT page_id, COALESCE(text, '') AS text FROM pages LEFT JOIN q USING (page_id)
+"""
+
+
 def page_question_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.for_questions("html").alias("text")).where(F.char_length("text") >= generate.PAGE_CHARS)
 
 
+QUESTION_TEXT_SQL = f"""
+WITH {PIECES},
+every AS (SELECT page_id, pos, t FROM line UNION ALL SELECT page_id, 0, trim(ad, ' ' || chr(10)) FROM art),
+q AS (SELECT page_id, string_agg(t, chr(10) ORDER BY pos) AS text FROM every WHERE length(t) > 15 GROUP BY page_id)
+SELECT page_id, text FROM q WHERE length(text) >= {generate.PAGE_CHARS}
+"""
+
+
 def page_chunks(spark, sf_dir):
     """Pages to passages: parsed once, then cut."""
     parsed = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", H.parsed("html").alias("p")).select("doc_id", "url", "p.*")
     return chunk.chunks(parsed, sectioned=F.col("sections")).select(F.col("doc_id").alias("page_id"), "section_idx", "part_idx", "section", "text")
 
 
+PAGE_CHUNKS_SQL = f"""
+WITH {PAGE_SECTIONS},
+ti AS ({TITLE_SQL.strip().replace("WITH t AS", "WITH t0 AS").replace("FROM t)", "FROM t0)")}),
+d AS (SELECT page_id, title, trim(CASE WHEN heading <> '' THEN '## ' || heading || chr(10) ELSE '' END || text, ' ' || chr(10)) AS text FROM section JOIN ti USING (page_id) WHERE length(text) > 20),
+w AS (SELECT *, regexp_extract_all(text, '[^\\s]+') AS w FROM d WHERE length(text) >= 50),
+x AS ({_windows_sql("w", 400, "page_id, title")}),
+y AS (SELECT page_id, title, (i // 350)::INT AS part_idx, list_slice(w, i + 1, i + 400) AS w FROM x)
+SELECT page_id, 0 AS section_idx, part_idx, 'part ' || (part_idx + 1) AS section, title || ' (part ' || (part_idx + 1) || ')' || chr(10) || array_to_string(w, ' ') AS text FROM y WHERE len(w) >= 30
+UNION ALL SELECT page_id, 0, 0, '', title || chr(10) || text FROM w WHERE len(w) <= 400
+"""
+
+
 # --- merging and progress ----------------------------------------------------------------------------------------
 
 
@@ -474,7 +528,6 @@ COUNTERS_SQL = "SELECT COUNT(*) AS total, COUNT(quality) AS done, COUNT(*) FILTE
 
 # --- questions and generation ------------------------------------------------------------------------------------
 
-ASCII_TITLES = "ascii_titles"
 
 
 def _titles(spark, sf_dir) -> DataFrame:
@@ -482,48 +535,59 @@ def _titles(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), title.alias("question"))
 
 
-def neardup_pairs(spark, sf_dir):
-    rows = _titles(spark, sf_dir).where("not question rlike '[^ -~]'")
-    return neardup.pairs(rows, form=T.ascii_question_form).select(F.col("ord_a").alias("page_a"), F.col("ord_b").alias("page_b"), F.round("ratio", 6).alias("ratio"))
+#: Latin letters that decompose to a letter and one mark; the mark becomes a space in question form.
+MARKED = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) == 2 and unicodedata.combining(d[1])}
+TITLE_PAIRS = f"""
+t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS q FROM pages),
+f AS (SELECT page_id, translate(regexp_replace(lower(q), '([{"".join(MARKED)}])', '\\1 ', 'g'), '{"".join(MARKED)}', '{"".join(MARKED.values())}') AS q FROM t),
+w AS (SELECT page_id, list_distinct(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM f),
+p AS (SELECT a.page_id AS page_a, b.page_id AS page_b, len(list_intersect(a.w, b.w))::DOUBLE / LEAST(len(a.w), len(b.w)) AS ratio FROM w a JOIN w b ON a.page_id < b.page_id WHERE len(a.w) > 0 AND len(b.w) > 0),
+dup AS (SELECT page_a, page_b, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.8)"""
 
 
-def neardup_pairs_all(spark, sf_dir):
-    """Near-duplicate pairs among all titles, by the full form; neardup_pairs is the part that DuckDB can follow."""
+def neardup_pairs(spark, sf_dir):
     return neardup.pairs(_titles(spark, sf_dir)).select(F.col("ord_a").alias("page_a"), F.col("ord_b").alias("page_b"), F.round("ratio", 6).alias("ratio"))
 
 
-PAIRS_SQL = """
-WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS q FROM pages),
-w AS (SELECT page_id, list_distinct(regexp_extract_all(lower(q), '[a-z0-9_]+')) AS w FROM t WHERE NOT regexp_matches(q, '[^ -~]')),
-p AS (SELECT a.page_id AS page_a, b.page_id AS page_b, len(list_intersect(a.w, b.w))::DOUBLE / LEAST(len(a.w), len(b.w)) AS ratio FROM w a JOIN w b ON a.page_id < b.page_id WHERE len(a.w) > 0 AND len(b.w) > 0)
-SELECT page_a, page_b, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.8
-"""
+PAIRS_SQL = f"WITH {TITLE_PAIRS} SELECT page_a, page_b, ratio FROM dup"
 
 
 def neardup_kept(spark, sf_dir):
     return neardup.kept(_titles(spark, sf_dir)).select(F.col("ord").alias("page_id"), "question")
 
 
+#: One row at a time, in order, with the list of those kept so far.
+KEPT_SQL = f"""
+WITH RECURSIVE {TITLE_PAIRS},
+n AS (SELECT page_id, q, row_number() OVER (ORDER BY page_id) AS k, (SELECT list(page_a) FROM dup WHERE page_b = page_id) AS earlier FROM t),
+g(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+               SELECT n.k, CASE WHEN n.earlier IS NOT NULL AND list_has_any(g.kept, n.earlier) THEN g.kept ELSE list_append(g.kept, n.page_id) END FROM g JOIN n ON n.k = g.k + 1),
+last AS (SELECT kept FROM g ORDER BY k DESC LIMIT 1)
+SELECT page_id, q AS question FROM n, last WHERE list_contains(kept, page_id)
+"""
+
+
 def qa_validate(spark, sf_dir):
+    """Answers of every item against the whole text of its page; pages of twelve words or fewer are missing."""
     items = table(spark, sf_dir, "benchmark")
     w = T.words(F.col("text"))
     answer = F.when(F.col("item_id") % 3 == 0, F.concat(F.element_at(w, 1), F.lit(" |nowhere| "))).when(F.col("item_id") % 3 == 1, F.concat(F.lit(" |"), F.array_join(F.slice(w, 1, 11), " "))).otherwise(F.lit("zzz | yyy"))
-    pairs = items.select("item_id", F.concat(F.lit("u"), (F.col("item_id") % 30).cast("string")).alias("url"), answer.alias("answer"))
-    texts = items.where("item_id < 20").select(F.concat(F.lit("u"), F.col("item_id").cast("string")).alias("url"), "text")
+    pairs = items.select("item_id", F.concat(F.lit("u"), F.col("item_id").cast("string")).alias("url"), answer.alias("answer"))
+    texts = items.where(F.size(w) > 12).select(F.concat(F.lit("u"), F.col("item_id").cast("string")).alias("url"), "text")
     return generate.validated(pairs, texts).select("item_id", "url", "answer")
 
 
 QA_SQL = """
-WITH i AS (SELECT item_id, text, 'u' || (item_id % 30) AS url, regexp_extract_all(text, '[^\\s]+') AS w FROM benchmark),
+WITH i AS (SELECT item_id, text, 'u' || item_id AS url, regexp_extract_all(text, '[^\\s]+') AS w FROM benchmark),
 a AS (SELECT item_id, url, CASE item_id % 3 WHEN 0 THEN [w[1], 'nowhere'] WHEN 1 THEN [array_to_string(w[1:11], ' ')] ELSE ['zzz', 'yyy'] END AS parts FROM i),
-t AS (SELECT 'u' || item_id AS url, ' ' || regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g') AS t FROM benchmark WHERE item_id < 20),
+t AS (SELECT url, ' ' || regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g') AS t FROM i WHERE len(w) > 12),
 h AS (SELECT a.item_id, a.url, parts, t.t, len(list_filter(parts, lambda p: contains(t.t, trim(regexp_replace(lower(p), '[^a-z0-9_]+', ' ', 'g'))))) AS hits FROM a LEFT JOIN t ON a.url = t.url WHERE NOT list_bool_or(list_transform(parts, lambda p: len(string_split(p, ' ')) > 10)))
 SELECT item_id, url, array_to_string(parts, '|') AS answer FROM h WHERE t IS NULL OR hits >= GREATEST(1, len(parts) // 2)
 """
 
 
 def clean_answers(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.substring(F.regexp_replace("text", "[\\n'\"]", " "), 1, 60).alias("t"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.regexp_replace("text", "[\\n'\"]", " ").alias("t"))
     m = F.col("conv_id") % 6
     raw = F.when(m == 0, F.concat(F.lit('Answer: The answer is: "'), "t", F.lit('"'))).when(m == 1, F.concat(F.lit("the answer is Answer: "), "t")).when(m == 2, F.concat(F.lit("based on the context, \n"), "t")).when(m == 3, F.lit("''")).when(m == 4, F.lit(None).cast("string")).otherwise(F.concat(F.lit("  '"), "t", F.lit("'\n")))
     return rows.select("conv_id", "turn", T.clean_answer(raw).alias("answer"))
@@ -531,7 +595,7 @@ def clean_answers(spark, sf_dir):
 
 CLEAN_SQL = """
 SELECT conv_id, turn, CASE WHEN conv_id % 6 IN (3, 4) OR x = '' THEN 'unknown' WHEN conv_id % 6 = 1 THEN 'Answer: ' || x ELSE x END AS answer
-FROM (SELECT conv_id, turn, CASE conv_id % 6 WHEN 1 THEN rtrim(s) ELSE trim(s) END AS x FROM (SELECT conv_id, turn, substr(regexp_replace(text, '[\\n''"]', ' ', 'g'), 1, 60) AS s FROM conversations WHERE role = 'assistant'))
+FROM (SELECT conv_id, turn, CASE conv_id % 6 WHEN 1 THEN rtrim(s) ELSE trim(s) END AS x FROM (SELECT conv_id, turn, regexp_replace(text, '[\\n''"]', ' ', 'g') AS s FROM conversations WHERE role = 'assistant'))
 """
 
 
@@ -544,10 +608,24 @@ def llm_gate(spark, sf_dir):
 GATE_SQL = "SELECT doc_id, length(COALESCE(text, '')) < 50 AS passes, md5(substr(COALESCE(text, ''), 1, 8000)) AS input_md5 FROM documents"
 
 
+def _first_words(prompt: str) -> str:
+    """A generator for tests of the rewriting: the first forty words of the text in the prompt."""
+    text = prompt.split("\n\n", 2)[-1]
+    return " ".join(re.findall(r"[^ \t-\r]+", text)[:40])
+
+
 def rewrite_batch(spark, sf_dir):
-    """Documents through the gate and the stub generator."""
+    """Documents through the gate and a generator that keeps their first forty words."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.lit("").alias("title"), "text")
-    return generate.rewritten(docs, generate.stub).select("url", "llm_cleaned", F.md5("text").alias("text_md5"))
+    return generate.rewritten(docs, _first_words).select("url", "llm_cleaned", F.md5("text").alias("text_md5"), F.md5("text_original").alias("original_md5"))
+
+
+REWRITE_SQL = f"""
+WITH d AS (SELECT doc_id::VARCHAR AS url, COALESCE(text, '') AS t FROM documents),
+r AS (SELECT url, t, array_to_string(list_slice(regexp_extract_all(substr(t, 1, {generate.REWRITE_CHARS}), '[^\\x20\\x09-\\x0D]+'), 1, 40), ' ') AS raw FROM d),
+g AS (SELECT *, length(t) >= {generate.LEAST_CHARS} AND length(raw) > {generate.LEAST_REWRITE} AS good FROM r)
+SELECT url, good AS llm_cleaned, md5(CASE WHEN good THEN raw ELSE t END) AS text_md5, CASE WHEN good THEN md5(t) END AS original_md5 FROM g
+"""
 
 
 def parse_llm_jsonl(spark, sf_dir):
@@ -587,11 +665,18 @@ SELECT lang AS category, CASE lang WHEN 'en' THEN 25 WHEN 'fr' THEN 5 ELSE 10 EN
 
 def shuffled_items(spark, sf_dir):
     """Items with their place in a seeded order."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.concat(F.lit("7:"), F.col("item_id").cast("string"))).alias("draw"))
-    return rows.select("item_id", F.row_number().over(Window.orderBy("draw", "item_id")).alias("place"))
+    return generate.with_places(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 7)
+
+
+SHUFFLE_SQL = "SELECT item_id, row_number() OVER (ORDER BY md5('7:' || item_id), item_id) AS place FROM benchmark"
+
+
+def sampled_items(spark, sf_dir):
+    """Two fifths of the items: the operator draws a share of the rows."""
+    return generate.sampled(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 0.4, 7)
 
 
-SHUFFLE_SQL = "SELECT item_id, row_number() OVER (ORDER BY md5('7:' || item_id), item_id)::INT AS place FROM benchmark"
+SAMPLE_SQL = "SELECT item_id FROM benchmark WHERE ('0x' || substr(md5('7:' || item_id), 1, 13))::BIGINT < 0.4 * 4503599627370496"
 
 
 def bfs_levels(spark, sf_dir):
@@ -615,7 +700,7 @@ QUERIES = {
         bm25_top5, term_stats, doc_lengths, postings, recall_at_5, topk_ablation, rag_prompts, answer_batch, answer_em_f1, eval_report, squad_em_f1, zero_f1_breakdown, agreement_rate, normal_forms,
         sliding_chunks, section_chunks, chunk_size_ablation, url_normalize, url_admit, url_filename, link_extract, page_links, page_title, page_sections, page_text, page_question_text, page_chunks,
         merge_priority, pending_docs, finished_docs, assemble_with_fallback, missing_urls, latest_progress, first_progress, run_counters,
-        neardup_pairs, neardup_pairs_all, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, bfs_levels,
+        neardup_pairs, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, sampled_items, bfs_levels,
     )
 }
 
@@ -630,5 +715,6 @@ SQL = {
     "url_normalize": URL_SQL, "url_admit": ADMIT_SQL, "url_filename": "SELECT page_id, substr(md5(url), 1, 16) || '.html' AS filename FROM pages", "page_title": TITLE_SQL, "link_extract": LINK_SQL, "page_links": PAGE_LINKS_SQL,
     "merge_priority": MERGE_SQL, "pending_docs": PENDING_SQL, "finished_docs": FINISHED_SQL, "assemble_with_fallback": ASSEMBLE_SQL, "missing_urls": MISSING_SQL,
     "latest_progress": LATEST_SQL, "first_progress": FIRST_SQL, "run_counters": COUNTERS_SQL,
-    "neardup_pairs": PAIRS_SQL, "qa_validate": QA_SQL, "clean_answers": CLEAN_SQL, "llm_gate": GATE_SQL, "parse_llm_jsonl": PARSE_SQL, "retry_delays": RETRY_SQL, "category_plan": CATEGORY_SQL, "shuffled_items": SHUFFLE_SQL, "bfs_levels": BFS_SQL,
+    "neardup_pairs": PAIRS_SQL, "qa_validate": QA_SQL, "clean_answers": CLEAN_SQL, "llm_gate": GATE_SQL, "parse_llm_jsonl": PARSE_SQL, "retry_delays": RETRY_SQL, "category_plan": CATEGORY_SQL, "shuffled_items": SHUFFLE_SQL, "sampled_items": SAMPLE_SQL, "bfs_levels": BFS_SQL,
+    "answer_batch": ANSWER_BATCH_SQL, "rewrite_batch": REWRITE_SQL, "neardup_kept": KEPT_SQL, "page_sections": PAGE_SECTIONS_SQL, "page_text": PAGE_TEXT_SQL, "page_question_text": QUESTION_TEXT_SQL, "page_chunks": PAGE_CHUNKS_SQL,
 }
