@@ -28,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_revisits": warc.OP5_SQL,
         "op6_suffix_array": suffixarray.OP6_SQL,
         "op8_fm_index": fmindex.OP8_SQL,
+        "op9_main_text": wrapper.OP9_SQL,
         "op10_decontamination": decontaminate.OP10_SQL,
     }

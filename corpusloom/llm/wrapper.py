@@ -695,3 +695,19 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _decoded(x: str) -> str:
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{entity};?', '{char}', 'g')"
+    return x
+
+
+#: The same for pages as the shared tables have them, of one article of headings and paragraphs, none of it constant on a host.
+OP9_SQL = f"""
+WITH a AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '(?:<h1>|<p><b>|<p>)([^<]*)', 1) AS p FROM pages),
+b AS (SELECT page_id, unnest(p) AS x, generate_subscripts(p, 1) AS pos FROM a),
+c AS (SELECT page_id, pos, trim(regexp_replace({_decoded("x")}, '\\s+', ' ', 'g')) AS t FROM b),
+t AS (SELECT page_id, string_agg(t, chr(10) ORDER BY pos) AS text FROM c WHERE t <> '' GROUP BY page_id)
+SELECT page_id, url, COALESCE(text, '') AS text, length(COALESCE(text, '')) AS n_chars FROM pages LEFT JOIN t USING (page_id)
+"""
