@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import exploded, tokens
+from ..storage import numbered, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP = 5
@@ -77,7 +78,7 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = TOP, index=None) ->
     """(q, rank, chunk_id, score): the k best of all chunks for each question, ties by chunk_id.
 
     Chunks without a shared token score 0. Where they can be among the best (fewer than k chunks above 0), the ones with
-    the smallest ids are put in before ranking; questions without a token have no result. The best are kept (k rows a
+    the smallest ids are put in before ranking; questions without a token have no result. The best are written (k rows a
     question) while it is looked up which questions need that; their scores alone are computed again.
     """
     best = Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id")
@@ -86,15 +87,15 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = TOP, index=None) ->
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "rank", "chunk_id", "score")
 
     found = scores(questions, chunks, index).withColumn("score", F.round("score", 6))
-    lead = leaders(found).persist()
+    lead = written(leaders(found), "lead")
     good = lead.groupBy("q").agg(F.count_if(F.col("score") > 0).alias("good"))
     asking = questions.where(F.size(tokens(F.col("question"))) > 0)
-    short = asking.join(good.where(F.col("good") >= k), "q", "left_anti").persist()
+    short = written(asking.join(good.where(F.col("good") >= k), "q", "left_anti"), "short")
     if short.isEmpty():
         return lead
-    found = scores(short, chunks, index).withColumn("score", F.round("score", 6)).persist()
-    most = found.groupBy("q").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    # k of the first k + n ids are unmatched for a question with n matches
-    pool = chunks.select("chunk_id").orderBy("chunk_id").limit(k + most)
-    pads = short.select("q").crossJoin(pool).join(found, ["q", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return lead.join(short, "q", "left_anti").unionByName(leaders(found.select("q", "chunk_id", "score").unionByName(pads)))
+    found = written(scores(short, chunks, index).withColumn("score", F.round("score", 6)).select("q", "chunk_id", "score"), "found")
+    # k of the first k + n ids are unmatched for a question with n matches: each question asks for these places only
+    matches = short.select("q").join(found.groupBy("q").agg(F.count("*").alias("n")), "q", "left")
+    asked = matches.select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(0)) + k - 1)).alias("place"))
+    pads = asked.join(numbered(chunks.select("chunk_id"), ["chunk_id"], "place"), "place").select("q", "chunk_id").join(found, ["q", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return lead.join(short, "q", "left_anti").unionByName(leaders(found.unionByName(pads)))

@@ -24,13 +24,13 @@ def first_wins(rows: DataFrame, *key: str, order: str = "ord") -> DataFrame:
 
 
 def by_priority(primary: DataFrame, secondary: DataFrame, *key: str, order: str = "ord") -> DataFrame:
-    """The last row of each key of the primary corpus; and of keys that it lacks, the first of the secondary.
-
-    One aggregation over both: rows are ranked so that the primary's last comes first.
-    """
-    rank = lambda df, n, sign: df.withColumn("_rank", F.struct(F.lit(n).alias("corpus"), (sign * F.col(order)).alias("place")))
-    both = rank(primary, 0, -1).unionByName(rank(secondary, 1, 1))
-    return first_wins(both, *key, order="_rank").drop("_rank")
+    """The last row of each key of the primary corpus; and of keys that it lacks, the first of the secondary. One aggregation over both; `order` may be of any type that has an order."""
+    rest = [c for c in primary.columns if c not in key]
+    both = primary.withColumn("_first", F.lit(True)).unionByName(secondary.withColumn("_first", F.lit(False)))
+    row = F.struct(*rest)
+    last, first = F.max_by(row, F.when(F.col("_first"), F.col(order))), F.min_by(row, F.when(~F.col("_first"), F.col(order)))
+    best = both.groupBy(*key).agg(F.coalesce(last, first).alias("_row"))
+    return best.select(*key, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def pending(docs: DataFrame, done: DataFrame, *key: str) -> DataFrame:

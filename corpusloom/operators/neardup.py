@@ -2,16 +2,18 @@
 
 Questions are compared by the overlap of their word sets, by the size of the smaller. In order, a question is dropped if the overlap with
 one that is kept exceeds the threshold. Candidate pairs share a word: of the word sets' rarest words, as many as a pair beyond the
-threshold must share one of. Only candidates that pass travel on; the greedy pass is per connected group of them.
+threshold must share one of. Only candidates that pass travel on.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import question_form, words
+from ..storage import removed, written
 
 THRESHOLD = 0.80
 
@@ -35,38 +37,23 @@ def pairs(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, tex
     return found.join(left, "ord_a").join(right, "ord_b").select("ord_a", "ord_b", ratio.alias("ratio")).where(F.col("ratio") > threshold)
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    earlier: dict[int, list[int]] = {}
-    for a, b in zip(pdf.ord_a, pdf.ord_b, strict=True):
-        earlier.setdefault(int(b), []).append(int(a))
-    dropped: set[int] = set()
-    for b in sorted(earlier):
-        if any(a not in dropped for a in earlier[b]):
-            dropped.add(b)
-    return pd.DataFrame({"ord": sorted(dropped)}, dtype="int64")
-
-
-def kept(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, text: str = "question", rounds: int = 100) -> DataFrame:
+def kept(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, text: str = "question") -> DataFrame:
     """rows that the greedy pass keeps; rows without words always are.
 
     Resolved in rounds, without gathering pairs: a row all of whose earlier partners are dropped is kept, one with a kept
-    earlier partner is dropped, and decided rows leave. A chain of n rows takes n rounds at most; what is left after
-    `rounds` goes to one task.
+    earlier partner is dropped, and decided rows leave. A chain of n rows takes n rounds at most; in an order that has nothing to do
+    with likeness, a number of rounds that grows with the logarithm of the rows.
     """
-    links = pairs(rows, threshold, form, text).select("ord_a", "ord_b").persist()
-    undecided, dropped = links, None
-    for _ in range(rounds):
-        if undecided.isEmpty():
-            break
+    undecided, gone = written(pairs(rows, threshold, form, text).select("ord_a", "ord_b"), "links"), []
+    while not undecided.isEmpty():
         # kept for sure: no undecided earlier partner
         waiting = undecided.select(F.col("ord_b").alias("ord")).distinct()
         sure = undecided.select(F.col("ord_a").alias("ord")).distinct().join(waiting, "ord", "left_anti")
-        gone = undecided.join(sure, F.col("ord_a") == F.col("ord"), "left_semi").select(F.col("ord_b").alias("ord")).distinct()
-        gone = gone.persist()
-        dropped = gone if dropped is None else dropped.union(gone)
-        rest = undecided.join(gone, F.col("ord_b") == F.col("ord"), "left_anti").join(gone, F.col("ord_a") == F.col("ord"), "left_anti")
-        undecided = rest.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rest.persist()
-    else:
-        late = undecided.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: _greedy(pdf), "ord long")
-        dropped = late if dropped is None else dropped.union(late)
-    return rows if dropped is None else rows.join(dropped.distinct(), "ord", "left_anti")
+        now = written(undecided.join(sure, F.col("ord_a") == F.col("ord"), "left_semi").select(F.col("ord_b").alias("ord")).distinct(), "gone")
+        gone.append(now)
+        rest = written(undecided.join(now, F.col("ord_b") == F.col("ord"), "left_anti").join(now, F.col("ord_a") == F.col("ord"), "left_anti"), "links")
+        removed(undecided)
+        undecided = rest
+        if len(gone) == 50:  # plans stay short
+            gone = [written(reduce(DataFrame.union, gone), "gone")]
+    return rows.join(reduce(DataFrame.union, gone), "ord", "left_anti") if gone else rows

@@ -5,7 +5,8 @@ Each takes paths and leaves its result at a path, so that runs are coupled throu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..functions.urls import normalise
 from ..operators import chunk, crawl, evaluate, generate, index, merge, neardup
 from ..schemas import DOCUMENT, PROGRESS, QA
 from ..sources import fetch, jsonl
+from ..storage import numbered, removed, written
 
 
 def with_chunk_ids(rows: DataFrame) -> DataFrame:
@@ -24,32 +26,29 @@ def with_chunk_ids(rows: DataFrame) -> DataFrame:
 
 
 def with_doc_ids(docs: DataFrame) -> DataFrame:
-    """docs with a doc_id by order of URL. Sums over partitions stand in for a sort in one task."""
-    rows = docs.repartitionByRange("url").sortWithinPartitions("url").withColumn("_part", F.spark_partition_id()).persist()
-    before, offset = {}, 0
-    for r in rows.groupBy("_part").count().orderBy("_part").collect():  # one row for each partition
-        before[r["_part"]] = offset
-        offset += r["count"]
-    start = F.create_map(*[F.lit(x) for p in before.items() for x in p])[F.col("_part")] if before else F.lit(0)
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("url")) - 1
-    return rows.withColumn("doc_id", (start + within).cast("long")).drop("_part")
+    """docs with a doc_id by order of URL, written once."""
+    return numbered(docs, ["url"], "doc_id")
 
 
-def crawl_site(spark: SparkSession, seeds: list[str], domain: str, out: str, fetcher: fetch.Fetcher, budget: int = 5000, resume: bool = False) -> None:
-    """Pages of a site as a table of (url, html)."""
-    stored = spark.read.parquet(out) if resume else None
-    pages = crawl.crawl(spark, seeds, fetcher, domain, budget, stored)
-    fresh = pages.join(stored.select("url"), "url", "left_anti") if resume else pages
-    jsonl.write_pages(fresh, out)
+def in_batches(rows: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
+    """rows in parts of about `size`, dealt out by a hash of the key: what is done of one part is on record before the next begins."""
+    n = -(-rows.count() // size)
+    for i in range(n):
+        yield rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else rows
+
+
+def crawl_site(spark: SparkSession, seeds: list[str], domain: str, out: str, fetcher: fetch.Fetcher, budget: int = 5000, resume: bool = False, batch: int = 500) -> None:
+    """Pages of a site as a table of (url, html). Every batch is added to it when it is fetched, so that a run that broke off can go on."""
+    stored = spark.read.parquet(out) if resume and _exists(spark, out) else None
+    crawl.crawl(spark, seeds, fetcher, domain, budget, stored, batch=batch, each=lambda got: jsonl.write_pages(got, out))
 
 
 def build_corpus(spark: SparkSession, pages: DataFrame, corpus: str, chunks: str, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP) -> None:
     """Parses each of (url, html) once; writes documents of 50 characters or more, and their passages."""
     parsed = pages.select("url", H.parsed("html").alias("p")).select("url", "p.*").where(F.char_length("text") >= chunk.LEAST_CHARS)
-    docs = with_doc_ids(parsed).persist()
+    docs = with_doc_ids(parsed)
     jsonl.write_jsonl(docs.select("url", "title", "text"), corpus)
     jsonl.write_jsonl(with_chunk_ids(chunk.chunks(docs, size, overlap, F.col("sections"))).select("chunk_id", "url", "title", "section", "text"), chunks)
-    docs.unpersist()
 
 
 def chunk_corpus(spark: SparkSession, corpus: str, chunks: str, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP) -> None:
@@ -58,36 +57,39 @@ def chunk_corpus(spark: SparkSession, corpus: str, chunks: str, size: int = chun
     jsonl.write_jsonl(with_chunk_ids(chunk.chunks(docs, size, overlap)).select("chunk_id", "url", "title", "section", "text"), chunks)
 
 
-def rewrite_corpus(spark: SparkSession, corpus: str, log: str, out: str, generator: Callable[[str], str | None], workers: int = 10, retry_failed: bool = False) -> DataFrame:
-    """Rewrites the documents that the log lacks, adds them to it, and writes the corpus with the log's texts. Returns the counters."""
+def rewrite_corpus(spark: SparkSession, corpus: str, log: str, out: str, generator: Callable[[str], str | None], workers: int = 10, retry_failed: bool = False, batch: int = 1000) -> DataFrame:
+    """Rewrites the documents that the log lacks, adds each batch of them to it, and writes the corpus with the log's texts. Returns the counters. A run that broke off goes on after its last batch."""
     docs = jsonl.read_tolerant(spark, corpus, DOCUMENT)
     done = _log(spark, log)
     if retry_failed:
         done = done.where("llm_cleaned")
-    jsonl.append_log(generate.rewritten(merge.pending(docs, done, "url"), generator, workers), log)
+    for part in in_batches(written(merge.pending(docs, done, "url"), "pending"), "url", batch):
+        jsonl.append_log(generate.rewritten(part, generator, workers), log)
     done = _log(spark, log)
     jsonl.write_jsonl(merge.assembled(docs, done, "url", ("title", "text")).select("url", "title", "text"), out)
     known = merge.finished(docs, done, "url").withColumn("cut", F.char_length(F.coalesce("text_original", F.lit(""))) > generate.REWRITE_CHARS)
     return merge.counters(known, done="true", cleaned="llm_cleaned", failed="not llm_cleaned", cut_off="cut")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def _log(spark: SparkSession, path: str) -> DataFrame:
     """The last entry of each URL of a progress log, which may not exist yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not _exists(spark, path):
         return spark.createDataFrame([], PROGRESS)
-    rows = jsonl.read_tolerant(spark, path, PROGRESS)
-    # of two entries the successful one is the later: a failed document is only tried again by a retry
-    return merge.last_wins(rows.withColumn("_order", F.col("llm_cleaned").cast("int")), "url", order="_order").drop("_order")
+    rows = jsonl.read_tolerant(spark, path, PROGRESS, placed="_order")
+    return merge.last_wins(rows, "url", order="_order").drop("_order")
 
 
 def merge_corpora(spark: SparkSession, ours: str, theirs: str, out: str, extra_urls: DataFrame | None = None, fetcher: fetch.Fetcher | None = None, keep_title: bool = True) -> None:
     """Our documents, theirs of other URLs, and pages of extra URLs that neither has; texts of 30 characters or fewer go."""
 
     def read(path: str) -> DataFrame:
-        rows = jsonl.read_tolerant(spark, path, DOCUMENT)
-        # a corpus has no line numbers here: of rows with one key the order is that of the file's blocks
-        return rows.select(normalise(F.col("url"), True).alias("key"), "url", "title", "text", F.monotonically_increasing_id().alias("ord"))
+        rows = jsonl.read_tolerant(spark, path, DOCUMENT, placed="ord")
+        return rows.select(normalise(F.col("url"), True).alias("key"), "url", "title", "text", "ord")
 
     merged = merge.by_priority(read(ours), read(theirs), "key").select("url", "title", "text")
     if extra_urls is not None and fetcher is not None:
@@ -135,25 +137,37 @@ def formatted(report: DataFrame) -> str:
     return "\n".join(f"{k}: {v:.4f}" if isinstance(v, float) else f"{k}: {v}" for k, v in row.items() if v is not None)
 
 
+#: Fixed value: the version of the dataset that the scorer is for.
+SQUAD_VERSION = "1.1"
+
+
 def score_squad(spark: SparkSession, dataset: str, predictions: str) -> DataFrame:
+    """(exact_match, f1, total) in percent. A dataset of another version is scored, with a warning."""
+    version = jsonl.read_squad_version(spark, dataset)
+    if version != SQUAD_VERSION:
+        warnings.warn(f"scores are for version {SQUAD_VERSION} of the dataset, this is {version}", stacklevel=2)
     return evaluate.squad_report(jsonl.read_squad(spark, dataset), jsonl.read_predictions(spark, predictions))
 
 
-def generate_questions(spark: SparkSession, categories: DataFrame, domain: str, log: str, out: str, fetcher: fetch.Fetcher, generator: Callable[[str], str | None], seed: int = 0) -> DataFrame:
-    """Crawls each category, asks for questions on pages that the log lacks, adds them to it, and writes the ones that hold up, shuffled. Returns counts by category."""
-    pages = crawl.crawl_categories(spark, categories, fetcher, domain).select("category", "url", H.for_questions("html").alias("text")).persist()
+def generate_questions(
+    spark: SparkSession, categories: DataFrame, domain: str, log: str, out: str, fetcher: fetch.Fetcher, generator: Callable[[str], str | None], seed: int = 0, batch: int = 1000
+) -> DataFrame:
+    """Crawls each category, asks for questions on pages that the log lacks, adds each batch of them to it, and writes the ones that hold up, shuffled. Returns counts by category."""
+    pages = written(crawl.crawl_categories(spark, categories, fetcher, domain).select("category", "url", H.for_questions("html").alias("text")), "pages")
     schema = QA + ", category string, ord long"
-    where = spark._jvm.org.apache.hadoop.fs.Path(log)
-    done = jsonl.read_tolerant(spark, log, schema) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else spark.createDataFrame([], schema)
+    done = jsonl.read_tolerant(spark, log, schema) if _exists(spark, log) else spark.createDataFrame([], schema)
     fresh = merge.pending(pages.where(F.char_length("text") >= generate.PAGE_CHARS), done, "url")
     asked = generate.planned(fresh, categories.select("category", "cap", "n_q", "hint"))
-    asked = asked.withColumn("prompt", generate.question_prompt(F.col("text"), F.col("url"), F.col("hint"), F.col("n_q")))
-    raw = generate.generated(asked.select("category", "url", "prompt"), "prompt", generator).where("raw is not null").persist()
-    pairs = generate.parsed_pairs(raw).join(raw.select("url", "category").distinct(), "url")
-    jsonl.append_log(pairs.select("question", "answer", "url", "category", F.xxhash64("url", "line_no").alias("ord")), log)
+    asked = written(asked.withColumn("prompt", generate.question_prompt(F.col("text"), F.col("url"), F.col("hint"), F.col("n_q"))).select("category", "url", "prompt"), "asked")
+    for part in in_batches(asked, "url", batch):
+        raw = written(generate.generated(part, "prompt", generator).where("raw is not null"), "raw")
+        pairs = generate.parsed_pairs(raw).join(raw.select("url", "category").distinct(), "url")
+        jsonl.append_log(pairs.select("question", "answer", "url", "category", F.xxhash64("url", "line_no").alias("ord")), log)
+        removed(raw)
+    if not _exists(spark, log):
+        jsonl.append_log(spark.createDataFrame([], schema), log)
     logged = jsonl.read_tolerant(spark, log, schema)
     good = generate.validated(logged, pages.select("url", "text").dropDuplicates(["url"]))
     kept = neardup.kept(good, form=question_form)
     jsonl.write_jsonl(generate.shuffled(kept.select("question", "answer", "url"), "question", seed), out)
     return logged.groupBy("category").agg(F.count("*").alias("n"))
-

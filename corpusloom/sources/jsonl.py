@@ -11,11 +11,22 @@ from pyspark.sql import functions as F
 
 from ..schemas import DOCUMENT, MANIFEST, QA, SQUAD
 
+#: Fixed value: what ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-def read_tolerant(spark: SparkSession, path: str, schema: str = DOCUMENT, required: str = "url") -> DataFrame:
-    """Rows of the lines that parse and have the required field."""
+
+def place():
+    """Where a line of text files is: files in the order in which they were written, then the place in the file, whichever task reads it."""
+    return F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def read_tolerant(spark: SparkSession, path: str, schema: str = DOCUMENT, required: str = "url", placed: str | None = None) -> DataFrame:
+    """Rows of the lines that parse and have the required field; with a column `placed` that orders them as the lines are."""
     row = F.from_json(F.trim("value"), schema, {"mode": "PERMISSIVE"})
-    return spark.read.text(path).where(F.trim("value") != "").select(row.alias("r")).where(F.col(f"r.{required}").isNotNull()).select("r.*")
+    lines = spark.read.text(path)
+    kept = lines.select("value", place().alias("_at")) if placed else lines
+    out = kept.where(F.trim("value") != "").withColumn("r", row).where(F.col(f"r.{required}").isNotNull())
+    return out.select("r.*", F.col("_at").alias(placed)) if placed else out.select("r.*")
 
 
 def read_strict(spark: SparkSession, path: str, schema: str = QA) -> DataFrame:
@@ -24,8 +35,8 @@ def read_strict(spark: SparkSession, path: str, schema: str = QA) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, column: str, strip: bool = False) -> DataFrame:
-    """(pos, column): the lines of one file with their numbers from 0. The file is read whole, as its order is its key."""
-    lines = F.split(F.regexp_replace(F.col("value"), "\r?\n$", ""), "\r\n|\n|\r")
+    """(pos, column): the lines of one file with their numbers from 0. The file is read whole, as its order is its key. All of Unicode's line ends end one."""
+    lines = F.split(F.regexp_replace(F.col("value"), f"(?:{LINE_END})\\z", ""), LINE_END)
     rows = spark.read.text(path, wholetext=True).where("value <> ''").select(F.posexplode(lines).alias("pos", column))
     value = F.regexp_replace(column, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "") if strip else F.col(column)
     return rows.select(F.col("pos").cast("long"), value.alias(column))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage is cut, it isn't computed again, and it survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str, few_files: bool = False) -> DataFrame:
+    """df, written to the shared folder and read back: its lineage is cut, it isn't computed again, and it survives the loss of executors.
+
+    few_files: rebalances thin rows first, so that there are as many files as their size asks for, not one for each task of a wide stage.
+    """
+    path = fresh_path(df.sparkSession, tag)
+    (df.hint("rebalance") if few_files else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
@@ -38,8 +45,8 @@ def removed(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with a long `name`: how many rows come before in the order of these columns. Ranges are dealt to partitions; the driver sees a count of each."""
+def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """rows with a long `name`: how many rows come before in the order of these columns, ties in any. Ranges are dealt to partitions; the driver sees a count of each."""
     placed = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     starts, before = [], 0
     for r in placed.groupBy("_part").count().orderBy("_part").collect():

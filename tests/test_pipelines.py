@@ -99,3 +99,91 @@ def test_squad_command(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"version": "1.1", "data": [{"paragraphs": [{"qas": [{"id": "1", "answers": [{"text": "the x"}]}, {"id": "2", "answers": [{"text": "y"}]}]}]}]}))
     (tmp_path / "p.json").write_text('{"1": "X!"}')
     assert json.loads(main(["squad", str(tmp_path / "d.json"), str(tmp_path / "p.json")], spark)) == {"exact_match": 50.0, "f1": 50.0, "total": 2}
+
+
+def test_a_rewriting_that_breaks_off_repeats_no_call(spark, tmp_path, monkeypatch):
+    at = lambda x: str(tmp_path / x)
+    corpus = write(at("c.jsonl"), [{"url": f"u{i:02d}", "title": "t", "text": "word " * 20 + f"u{i:02d}"} for i in range(30)])
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def model(prompt):
+        name = prompt.rstrip()[-3:]
+        (calls / f"{name}-{len(list(calls.glob(name + '*')))}").touch()
+        return f"a clean text of more than thirty characters {name}"
+
+    append, done = P.jsonl.append_log, []
+
+    def broken(rows, path):
+        append(rows, path)
+        done.append(1)
+        if len(done) == 3:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(P.jsonl, "append_log", broken)
+    with pytest.raises(KeyboardInterrupt):
+        P.rewrite_corpus(spark, corpus, at("log"), at("out"), model, batch=5)
+    before = len(list(calls.iterdir()))
+    assert 0 < before < 30
+    counters = P.rewrite_corpus(spark, corpus, at("log"), at("out"), model, batch=5).first()
+    assert counters.done == 30 and sorted(f.name for f in calls.iterdir()) == [f"u{i:02d}-0" for i in range(30)]
+    assert len(lines(at("out"))) == 30 and all("clean" in r["text"] for r in lines(at("out")))
+
+
+def test_a_crawl_that_breaks_off_has_its_pages(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def fetcher(url):
+        i = int(url.rsplit("/", 1)[1])
+        (asked / f"{i}-{len(list(asked.glob(f'{i}-*')))}").touch()
+        if i == 7 and len(list(asked.glob("7-*"))) == 1:
+            raise KeyboardInterrupt
+        return f'<a href="/{2 * i}">x</a><a href="/{2 * i + 1}">y</a>' if i < 10 else "leaf"
+
+    out = str(tmp_path / "pages")
+    with pytest.raises(Exception):
+        P.crawl_site(spark, ["http://s.org/1"], "s.org", out, fetcher, budget=15, batch=2)
+    stored = {r.url for r in spark.read.parquet(out).collect()}
+    assert {"http://s.org/1", "http://s.org/2", "http://s.org/3"} <= stored and len(stored) < 8
+    P.crawl_site(spark, ["http://s.org/1"], "s.org", out, fetcher, budget=15, resume=True, batch=2)
+    urls = [r.url for r in spark.read.parquet(out).collect()]
+    assert len(urls) == len(set(urls)) == 15
+    assert all(len(list(asked.glob(f"{u.rsplit('/', 1)[1]}-*"))) == 1 for u in stored)
+
+
+def test_the_last_line_of_a_log_counts_and_the_first_of_another_corpus(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    log = Path(at("log"))
+    log.mkdir()
+    for k, text in enumerate(["first try", "second try", "third try"]):  # names in the other order
+        write(log / f"part-{9 - k}.json", [{"url": "a", "title": "", "text": text, "text_original": "o", "llm_cleaned": k < 2}])
+        import os
+
+        os.utime(log / f"part-{9 - k}.json", (1000 + k, 1000 + k))
+    assert [(r.text, r.llm_cleaned) for r in P._log(spark, str(log)).collect()] == [("third try", False)]
+    ours, theirs = Path(at("ours")), Path(at("theirs"))
+    for folder in (ours, theirs):
+        folder.mkdir()
+        for k in range(4):
+            write(folder / f"part-{k}.json", [{"url": "http://x/1", "title": "", "text": f"{folder.name} {k} " + "and some more text to keep" * (9 - k)}] + [{"url": f"http://{folder.name}/{k}", "title": "", "text": "y" * 40}])
+            os.utime(folder / f"part-{k}.json", (2000 + k, 2000 + k))
+    P.merge_corpora(spark, str(ours), str(theirs), at("out"))
+    got = {r["url"]: r["text"] for r in lines(at("out"))}
+    assert got["http://x/1"].startswith("ours 3 ") and len(got) == 9
+    P.merge_corpora(spark, write(at("none.jsonl"), [{"url": "http://y/1", "title": "", "text": "z" * 40}]), str(theirs), at("out2"))
+    assert {r["url"]: r["text"] for r in lines(at("out2"))}["http://x/1"].startswith("theirs 0 ")
+
+
+def test_other_versions_of_the_dataset_are_warned_of(spark, tmp_path):
+    data = {"version": "2.0", "data": [{"paragraphs": [{"qas": [{"id": "1", "answers": [{"text": "yes"}]}]}]}]}
+    (tmp_path / "d.json").write_text(json.dumps(data))
+    (tmp_path / "p.json").write_text(json.dumps({"1": "Yes"}))
+    with pytest.warns(UserWarning, match="2.0"):
+        assert P.score_squad(spark, str(tmp_path / "d.json"), str(tmp_path / "p.json")).first().exact_match == 100
+
+
+def test_lines_end_as_unicode_has_it(spark, tmp_path):
+    text = "a\u2028b\x0bc\r\nd\x85\x1ce\r\rf\n"
+    (tmp_path / "t.txt").write_text(text, newline="")
+    assert [r.line for r in P.jsonl.read_lines(spark, str(tmp_path / "t.txt"), "line").orderBy("pos").collect()] == text.splitlines()
