@@ -1,14 +1,14 @@
-"""Helpers shared by the training-data operators: materialised tables, size-checked broadcasts, row hashes, components."""
+"""Helpers shared by the training-data operators: size-checked broadcasts, row identities, components; and tables in the shared folder."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path, numbered  # noqa: F401  for the operators
+from ..storage import removed as discard
+from ..storage import written as materialize
+
 #: Most bytes of a join side that may be broadcast; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Bits in each of the two words of a row hash.
@@ -17,42 +17,6 @@ WORD = 60
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one only where the session names none and all runs on one machine; elsewhere that is an error."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or getattr(spark, "_loom_dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = spark._loom_dir = "file://" + tempfile.mkdtemp(prefix="loom-")
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str, few_files: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors.
-
-    few_files: rebalances thin rows first, so that there are as many files as their size asks for, not one for each task of a wide stage.
-    """
-    path = fresh_path(df.sparkSession, tag)
-    (df.hint("rebalance") if few_files else df).write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._loom_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table that materialize() wrote."""
-    path = getattr(df, "_loom_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """A broadcast hint if `rows` rows of `row_bytes` are within the bound, else df as it is (a shuffle join)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -85,23 +49,6 @@ def identified(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.join(again, ["_loom_h1", "_loom_h2"], "left_anti").select(*rows.columns).unionByName(placed.withColumn("_loom_h2", told).select(*rows.columns))
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str, copies: str | None = None) -> DataFrame:
-    """rows, written, with a long `name`: how many rows (or the sum of `copies` of the rows) come before in a global order, ties in any.
-
-    Ranges of the order are dealt to partitions, so no task sees all rows; the driver sees one number a partition.
-    """
-    placed = materialize(rows.repartitionByRange(*order).withColumn("_loom_part", F.spark_partition_id()), "ranges")
-    each = F.col(copies) if copies else F.lit(1)
-    before, offsets = 0, []
-    for r in placed.groupBy("_loom_part").agg(F.sum(each).alias("n")).orderBy("_loom_part").collect():
-        offsets += [F.lit(r["_loom_part"]), F.lit(before)]
-        before += r["n"]
-    if not offsets:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    upto = F.sum(each).over(Window.partitionBy("_loom_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn(name, (F.create_map(*offsets)[F.col("_loom_part")] + upto - each).cast("long")).drop("_loom_part")
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table of longs: (node, root) with root the smallest node reachable.
 
