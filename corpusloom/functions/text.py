@@ -141,9 +141,11 @@ def clean_answer(c: Column) -> Column:
     return F.when(out == "", F.lit(UNKNOWN)).otherwise(out)
 
 
+#: How services say when to call again.
+RETRY_FORMS = (r"(?i)retry in ([\d.]+)s", r"retryDelay.*?(\d+)s")
+
+
 def retry_delay(message: Column, most: float = 120.0) -> Column:
     """Seconds that a quota error asks to wait, and two more, no more than `most`; null if it names none."""
-    asked = F.regexp_extract(message, r"(?i)retry in ([\d.]+)s", 1)
-    listed = F.regexp_extract(message, r"retryDelay.*?(\d+)s", 1)
-    seconds = F.coalesce(F.nullif(asked, F.lit("")).try_cast("double"), F.nullif(listed, F.lit("")).try_cast("double"))
+    seconds = F.coalesce(*[F.nullif(F.regexp_extract(message, form, 1), F.lit("")).try_cast("double") for form in RETRY_FORMS])
     return F.when(seconds.isNotNull(), F.least(seconds + 2, F.lit(most)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -46,16 +47,24 @@ def extension(url: Column) -> Column:
     return F.regexp_extract(F.lower(path(url)), r"[^/.][^/]*(\.[^./]*)$", 1)
 
 
+def on_site(url: Column, domain: str) -> Column:
+    """Whether the URL is of the domain or one of its www hosts, without a port."""
+    return part(url, 1).isin("http", "https") & part(url, 2).rlike(f"^(www[0-9]*[.])?{re.escape(domain)}$")
+
+
 def admitted(url: Column, domain: str, sign_in: str = "login", sign_in_host: str | None = None) -> Column:
-    """Whether a crawl of the domain (its www hosts included) takes the URL: a page, and not a sign-in."""
-    on_site = url.rlike(rf"^https?://(?:www\d*\.)?{re.escape(domain)}(?:/\S*)?$")
-    ok = on_site & ~extension(url).isin(*BINARY) & ~F.contains(F.lower(path(url)), F.lit(sign_in))
+    """Whether a crawl of the domain takes the URL: a page without white space in it or a query right behind the host, and not a sign-in."""
+    whole = ~url.rlike(r"\s") & (part(url, 3).startswith("/") | (F.length(part(url, 1)) + F.length(part(url, 2)) + 3 == F.length(url)))
+    ok = on_site(url, domain) & whole & ~extension(url).isin(*BINARY) & ~F.contains(F.lower(path(url)), F.lit(sign_in))
     return ok & ~F.contains(url, F.lit(sign_in_host)) if sign_in_host else ok
 
 
 def admitted_loose(url: Column, domain: str) -> Column:
-    """The looser rule: anything that begins on the domain, but for a few extensions."""
-    return url.rlike(rf"^https?://(?:www\d*\.)?{re.escape(domain)}") & ~F.lower(path(url)).rlike("(" + "|".join(map(re.escape, BINARY_LOOSE)) + ")$")
+    """The looser rule: anything that begins on the domain, but for a few extensions at the path's end."""
+    ends = F.lower(path(url))
+    binary = reduce(lambda a, b: a | b, (F.endswith(ends, F.lit(x)) for x in BINARY_LOOSE))
+    begins = part(url, 1).isin("http", "https") & part(url, 2).rlike(f"^(www[0-9]*[.])?{re.escape(domain)}")
+    return begins & ~binary
 
 
 def filename(url: Column) -> Column:

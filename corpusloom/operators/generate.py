@@ -12,6 +12,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,31 +56,50 @@ def chat_model(endpoint: str, model: str = MODELS[0], system: str = "", max_toke
     return generate
 
 
-def with_retries(generators: list[Generator], tries: int, quota_wait: Callable[[int], float], other_wait: Callable[[int], float], give_up: int, delay_of: Callable[[str], float | None], otherwise: str | None, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
-    """Calls the generators in turn. Quota errors wait as long as they ask (delay_of) or quota_wait(try); after
-    `give_up` other errors in a row the next one is tried. `otherwise` is the result if all fail."""
+#: What marks an error of a service as one of quota.
+QUOTA_MARKS = ("429", "RESOURCE_EXHAUSTED")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """For one kind of error: how long to wait after the n-th call, and how many in a row end the calls of a generator (0: any number)."""
+
+    wait: Callable[[int, str], float]
+    most: int = 0
+
+
+def with_retries(generators: list[Generator], tries: int, quota: Rule, other: Rule, otherwise: str | None, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
+    """Calls the generators in turn, each up to `tries` times, by the rules for the kinds of errors. `otherwise` is the result if all fail."""
+    rules = {True: quota, False: other}
+
+    def calls(generate: Generator, prompt: str) -> Iterator[str | Exception]:
+        for _ in range(tries):
+            try:
+                yield generate(prompt).strip()
+            except Exception as e:  # whatever a service raises
+                yield e
 
     def run(prompt: str) -> str | None:
         for generate in generators:
-            row = 0
-            for n in range(tries):
-                try:
-                    return generate(prompt).strip()
-                except Exception as e:  # whatever a service raises
-                    message = str(e)
-                    if "429" in message or "RESOURCE_EXHAUSTED" in message:
-                        row = 0
-                        sleep(delay_of(message) or quota_wait(n))
-                    else:
-                        row += 1
-                        if row >= give_up:
-                            break
-                        sleep(other_wait(n))
+            streak, kind = 0, None
+            for n, said in enumerate(calls(generate, prompt)):
+                if isinstance(said, str):
+                    return said
+                was, kind = kind, any(mark in str(said) for mark in QUOTA_MARKS)
+                streak = streak + 1 if kind == was else 1
+                if streak == rules[kind].most:
+                    break
+                sleep(rules[kind].wait(n, str(said)))
         return otherwise
 
     return run
 
 
+def asked_or(delay_of: Callable[[str], float | None], wait: Callable[[int], float]) -> Callable[[int, str], float]:
+    """The delay that a message asks for, or else wait(n)."""
+    return lambda n, message: delay_of(message) or wait(n)
+
+
 def answer_prompt(passages: Column, question: Column) -> Column:
     """Numbered passages (url, text) and a question."""
     blocks = F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(p["url"], F.lit("")), F.lit("\n"), F.coalesce(p["text"], F.lit(""))))

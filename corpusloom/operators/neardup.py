@@ -18,13 +18,22 @@ from ..storage import removed, written
 THRESHOLD = 0.80
 
 
+def word_sets(rows: DataFrame, form=question_form, text: str = "question") -> DataFrame:
+    """(ord, w): the sorted words of each row that has any."""
+    return rows.select("ord", F.array_sort(F.array_distinct(words(form(F.col(text))))).alias("w")).where(F.size("w") > 0)
+
+
 def pairs(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, text: str = "question") -> DataFrame:
-    """(ord_a, ord_b, ratio) with ord_a < ord_b and an overlap above the threshold.
+    """(ord_a, ord_b, ratio) with ord_a < ord_b and an overlap above the threshold."""
+    return alike(word_sets(rows, form, text), threshold)
+
+
+def alike(sets: DataFrame, threshold: float) -> DataFrame:
+    """The same of word sets.
 
     Overlap above t of the smaller set, of size m, leaves out fewer than (1 - t) m of its words. So among any
     floor((1 - t) m) + 1 words of it one is shared: sets are indexed whole, and probed by that many of their rarest words.
     """
-    sets = rows.select("ord", F.array_distinct(words(form(F.col(text)))).alias("w")).where(F.size("w") > 0)
     df = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     each = sets.select("ord", F.size("w").alias("m"), F.explode("w").alias("word"))
     rare = each.join(df, "word").groupBy("ord", "m").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by"))
@@ -40,11 +49,14 @@ def pairs(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, tex
 def kept(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, text: str = "question") -> DataFrame:
     """rows that the greedy pass keeps; rows without words always are.
 
-    Resolved in rounds, without gathering pairs: a row all of whose earlier partners are dropped is kept, one with a kept
+    Of rows with one word set only the first can be kept, as what drops it drops the others, so only first ones are compared. Resolved in rounds, without gathering pairs: a row all of whose earlier partners are dropped is kept, one with a kept
     earlier partner is dropped, and decided rows leave. A chain of n rows takes n rounds at most; in an order that has nothing to do
     with likeness, a number of rounds that grows with the logarithm of the rows.
     """
-    undecided, gone = written(pairs(rows, threshold, form, text).select("ord_a", "ord_b"), "links"), []
+    sets = word_sets(rows, form, text)
+    firsts = written(sets.groupBy("w").agg(F.min("ord").alias("ord")), "firsts")
+    later = sets.select("ord").join(firsts.select("ord"), "ord", "left_anti")
+    undecided, gone = written(alike(firsts, threshold).select("ord_a", "ord_b"), "links"), [written(later, "later")]
     while not undecided.isEmpty():
         # kept for sure: no undecided earlier partner
         waiting = undecided.select(F.col("ord_b").alias("ord")).distinct()
@@ -56,4 +68,4 @@ def kept(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, text
         undecided = rest
         if len(gone) == 50:  # plans stay short
             gone = [written(reduce(DataFrame.union, gone), "gone")]
-    return rows.join(reduce(DataFrame.union, gone), "ord", "left_anti") if gone else rows
+    return rows.join(reduce(DataFrame.union, gone), "ord", "left_anti")

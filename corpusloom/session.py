@@ -20,10 +20,15 @@ def build_session(app: str = "corpusloom", cpus: int | str = "*", shuffle_partit
     )
 
 
+#: Bytes of a table up to which it is worth a shuffle to have it on all cores.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it is read in fewer splits than there are cores: a small file of one row group is read by one task.
+    """df over all cores, if it is small and read in fewer splits than there are cores: a file of one row group is read by one task.
 
-    Large inputs have more splits than that, and are left as they are.
+    Larger inputs are left as they are: their splits are work enough for a task each.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES and df._jdf.rdd().getNumPartitions() < cores else df

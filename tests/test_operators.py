@@ -205,11 +205,14 @@ def test_retries():
 
         return run
 
-    run = generate.with_retries([failing("429", 2)], 5, lambda n: 15 * (n + 1), lambda n: 3, 5, lambda m: None, None, waits.append)
+    run = generate.with_retries([failing("429", 2)], 5, generate.Rule(generate.asked_or(lambda m: None, lambda n: 15 * (n + 1))), generate.Rule(lambda n, m: 3, 5), None, waits.append)
     assert run("p") == "ok" and waits == [15, 30]
     calls.clear(), waits.clear()
-    run = generate.with_retries([failing("x", 99), failing("y", 3)], 6, lambda n: 60, lambda n: 5 * (n + 1), 3, lambda m: None, "", waits.append)
+    run = generate.with_retries([failing("x", 99), failing("y", 3)], 6, generate.Rule(lambda n, m: 60), generate.Rule(lambda n, m: 5 * (n + 1), 3), "", waits.append)
     assert run("p") == "ok" and waits == [5, 10]
+    waits.clear()
+    run = generate.with_retries([failing("RESOURCE_EXHAUSTED, wait 7", 99)], 3, generate.Rule(generate.asked_or(lambda m: 7.0, lambda n: 60)), generate.Rule(lambda n, m: 5, 3), None, waits.append)
+    assert run("p") is None and waits == [7.0, 7.0, 7.0]
 
 
 def test_generated_pairs(spark):
