@@ -17,7 +17,6 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import chunk, crawl, evaluate, generate, index, merge, neardup
 from ..session import spread
-from ..storage import written
 
 DOMAIN = "ththhe.example.com"
 
@@ -77,7 +76,7 @@ def postings(spark, sf_dir):
 
 def _recall(spark, sf_dir, sizes) -> DataFrame:
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
-    ranked = written(index.top_k(questions, chunks, max(sizes)), "ranked")
+    ranked = index.top_k(questions, chunks, max(sizes))  # a few rows a question, of written tables
     gold = questions.select("q", F.array("question").alias("answers"))
     out = None
     for k in sizes:

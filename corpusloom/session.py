@@ -30,5 +30,5 @@ def spread(df: DataFrame) -> DataFrame:
     Larger inputs are left as they are: their splits are work enough for a task each.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES and df._jdf.rdd().getNumPartitions() < cores else df

@@ -264,3 +264,25 @@ def test_pairs_of_all_titles_against_brute_force(spark, tmp_path):
     want = sorted((a, b) for a, b in combinations(range(len(titles)), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) > 0.8)
     got = sorted((r.page_a, r.page_b) for r in catalogue.neardup_pairs(spark, str(tmp_path)).collect())
     assert got == want and {(0, 1), (2, 3), (4, 5)} <= set(got)
+
+
+def test_tables_need_a_shared_folder_off_one_machine():
+    from types import SimpleNamespace
+
+    from corpusloom import storage
+
+    session = lambda master, path: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": path} if path else {}))
+    assert storage.shared_dir(session("spark://x:7077", "hdfs://a/b/")) == "hdfs://a/b"
+    assert storage.shared_dir(session("local[4]", None)).startswith("file:///")
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_dir(session(master, None))
+
+
+def test_questions_short_of_matches_are_padded_by_the_smallest_ids(spark):
+    chunks = spark.createDataFrame([(i, "common words here" if i % 2 else f"rare{i} common") for i in range(12)], "chunk_id long, text string")
+    questions = spark.createDataFrame([(1, "rare4"), (2, "nothing known"), (3, "!!"), (4, "rare2 rare8 rare10")], "q long, question string")
+    got = {}
+    for r in index.top_k(questions, chunks, 4).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.chunk_id)
+    assert got == {1: [4, 0, 1, 2], 2: [0, 1, 2, 3], 4: [2, 8, 10, 0]}
