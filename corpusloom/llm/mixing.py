@@ -107,7 +107,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """df with _loom_size, _loom_source_size, _loom_target, and _loom_copies: how often the mix takes the row."""
     rows = sized(df, key, text, source)
     thin = materialize(rows.select("_loom_source", "_loom_size", "_loom_h1", "_loom_h2"), "sizes", few_files=True)
-    goal, n = thresholds(thin, materialize(targets(thin), "targets"))
+    goal, n = thresholds(thin, targets(thin))
     goal = goal.toDF("_loom_s", "_loom_source_size", "_loom_target", "_loom_whole", "_loom_t1", "_loom_t2")
     out = rows.join(small(goal, n, 128), F.col("_loom_source").eqNullSafe(F.col("_loom_s")))
     below = (F.col("_loom_h1") < F.col("_loom_t1")) | ((F.col("_loom_h1") == F.col("_loom_t1")) & (F.col("_loom_h2") < F.col("_loom_t2")))
