@@ -67,7 +67,7 @@ def words_of(text: str | None) -> list[str]:
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

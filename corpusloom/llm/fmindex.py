@@ -36,7 +36,7 @@ SHAPE = Shape(SPAN, 16, hot=500, digits=(6, 29))
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
