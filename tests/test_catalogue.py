@@ -13,9 +13,8 @@ def test_matches_sql(name, same):
     same(catalogue.QUERIES[name], catalogue.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
-def test_runs(name, spark):
-    assert catalogue.QUERIES[name](spark, SMALL).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.SQL)
 
 
 def test_entry_point(spark):
