@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, fmindex, langid, mixing, sharding, simhash, suffixarray, warc, wrapper
+from . import bpe, decontaminate, exactdedup, fmindex, langid, mixing, sharding, simhash, suffixarray, vectorcodes, warc, wrapper
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_fm_index": fmindex.op8_fm_index,
         "op9_main_text": wrapper.op9_main_text,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op11_bpe": bpe.op11_bpe,
+        "op12_vector_codes": vectorcodes.op12_vector_codes,
     }
 
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_fm_index": fmindex.OP8_SQL,
         "op9_main_text": wrapper.OP9_SQL,
         "op10_decontamination": decontaminate.OP10_SQL,
+        "op12_vector_codes": vectorcodes.OP12_SQL,
     }

@@ -13,6 +13,6 @@ def test_matches_sql(name, same):
     same(queries.queries()[name], queries.oracle_sql()[name])
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_all_twelve_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 13))
     assert SMALL
