@@ -49,23 +49,23 @@ def sections(text: Column) -> Column:
     return F.aggregate(lines, start, step, flushed)
 
 
-def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, sectioned: Column | None = None) -> DataFrame:
-    """(doc_id, url, title, section_idx, part_idx, section, text) of (doc_id, url, title, text).
+def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, sectioned: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, url, title, section_idx, part_idx, section, text) of (doc_id, url, title, text), and further columns to keep.
 
     With more than one section each is a passage, else the whole text is; those of more than `size` words are cut to windows.
     """
     check_sizes(size, overlap)
-    title = F.coalesce("title", F.lit(""))
+    title, own = F.coalesce("title", F.lit("")), ("doc_id", "url", "title", *keep)
     # outer explodes: inner ones would have the arrays computed twice, once for an inferred filter on their size
     found = sectioned if sectioned is not None else sections(F.col("text"))
-    rows = docs.where(F.char_length("text") >= LEAST_CHARS).select("doc_id", "url", title.alias("title"), F.col("text").alias("body"), found.alias("sections"))
+    rows = docs.where(F.char_length("text") >= LEAST_CHARS).select("doc_id", "url", title.alias("title"), *keep, F.col("text").alias("body"), found.alias("sections"))
     whole = F.array(F.struct(F.lit("").alias("heading"), F.col("body").alias("text")))
-    rows = rows.select("doc_id", "url", "title", F.posexplode_outer(F.when(F.size("sections") > 1, F.col("sections")).otherwise(whole)).alias("section_idx", "s"))
-    rows = rows.select("doc_id", "url", "title", "section_idx", F.col("s.heading").alias("heading"), F.col("s.text").alias("body"), words(F.col("s.text")).alias("w"))
+    rows = rows.select(*own, F.posexplode_outer(F.when(F.size("sections") > 1, F.col("sections")).otherwise(whole)).alias("section_idx", "s"))
+    rows = rows.select(*own, "section_idx", F.col("s.heading").alias("heading"), F.col("s.text").alias("body"), words(F.col("s.text")).alias("w"))
     cut = F.size("w") > size
     parts = F.when(cut, F.transform(windows(F.col("w"), size, overlap), lambda x: F.array_join(x, " "))).otherwise(F.array("body"))
-    rows = rows.select("doc_id", "url", "title", "section_idx", "heading", cut.alias("cut"), F.posexplode_outer(parts).alias("part_idx", "part")).where("part is not null")
+    rows = rows.select(*own, "section_idx", "heading", cut.alias("cut"), F.posexplode_outer(parts).alias("part_idx", "part")).where("part is not null")
     number = F.concat(F.lit("part "), (F.col("part_idx") + 1).cast("string"))
     section = F.when(F.col("cut") & (F.col("heading") != ""), F.concat("heading", F.lit(" ("), number, F.lit(")"))).when(F.col("cut"), number).otherwise(F.col("heading"))
     prefix = F.concat("title", F.when(F.col("heading") != "", F.concat(F.lit(" > "), "heading")).otherwise(F.lit("")), F.when(F.col("cut"), F.concat(F.lit(" ("), number, F.lit(")"))).otherwise(F.lit("")), F.lit("\n"))
-    return rows.select("doc_id", "url", "title", "section_idx", "part_idx", section.alias("section"), F.concat(prefix, "part").alias("text"))
+    return rows.select("doc_id", "url", "title", "section_idx", "part_idx", section.alias("section"), F.concat(prefix, "part").alias("text"), *keep)

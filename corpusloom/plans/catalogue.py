@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import chunk, crawl, evaluate, generate, index, merge, neardup
+from ..operators import chunk, crawl, evaluate, generate, index, merge, neardup, timejoins
 from ..session import spread
 
 DOMAIN = "ththhe.example.com"
@@ -537,9 +537,10 @@ def _titles(spark, sf_dir) -> DataFrame:
 
 #: Latin letters that decompose to a letter and one mark; the mark becomes a space in question form.
 MARKED = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) == 2 and unicodedata.combining(d[1])}
+LETTER_FORM = f"""translate(regexp_replace(lower({{0}}), '([{"".join(MARKED)}])', '\\1 ', 'g'), '{"".join(MARKED)}', '{"".join(MARKED.values())}')"""
 TITLE_PAIRS = f"""
 t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS q FROM pages),
-f AS (SELECT page_id, translate(regexp_replace(lower(q), '([{"".join(MARKED)}])', '\\1 ', 'g'), '{"".join(MARKED)}', '{"".join(MARKED.values())}') AS q FROM t),
+f AS (SELECT page_id, {LETTER_FORM.format("q")} AS q FROM t),
 w AS (SELECT page_id, list_distinct(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM f),
 p AS (SELECT a.page_id AS page_a, b.page_id AS page_b, len(list_intersect(a.w, b.w))::DOUBLE / LEAST(len(a.w), len(b.w)) AS ratio FROM w a JOIN w b ON a.page_id < b.page_id WHERE len(a.w) > 0 AND len(b.w) > 0),
 dup AS (SELECT page_a, page_b, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.8)"""
@@ -694,13 +695,43 @@ m AS (SELECT node, MIN(depth) AS depth FROM r GROUP BY node)
 SELECT depth, COUNT(*) AS n FROM m GROUP BY depth
 """
 
+# --- joins over time ---------------------------------------------------------------------------------------------
+
+
+def interval_join(spark, sf_dir):
+    """All events of a user that fall into the time after an error of theirs, which is as long as the error's value says."""
+    events = table(spark, sf_dir, "events")
+    end = F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 100).cast("long").cast("decimal(18,6)"))
+    spans = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("since"), end.alias("until"))
+    points = events.select("user_id", "event_id", "ts")
+    return timejoins.within_spans(points, spans, "user_id", "ts", "since", "until").select("user_id", "event_id", "error_id")
+
+
+INTERVAL_SQL = """
+WITH s AS (SELECT user_id, event_id AS error_id, ts AS since, ts + to_seconds(round(value * 100)::BIGINT) AS until FROM events WHERE event_type = 'error')
+SELECT e.user_id, e.event_id, s.error_id FROM events e JOIN s ON e.user_id = s.user_id AND e.ts >= s.since AND e.ts < s.until
+"""
+
+
+def asof_join(spark, sf_dir):
+    """Every event with the last click of its user at that time or before."""
+    events = table(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"), F.col("value").alias("click_value"))
+    return timejoins.as_of(events.select("user_id", "event_id", "ts"), clicks, "user_id", "ts", "click_ts", tie=["click_id"]).select("event_id", "click_id", "click_value")
+
+
+ASOF_SQL = """
+WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_id) AS click_value FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT e.event_id, c.click_id, c.click_value FROM events e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_top5, term_stats, doc_lengths, postings, recall_at_5, topk_ablation, rag_prompts, answer_batch, answer_em_f1, eval_report, squad_em_f1, zero_f1_breakdown, agreement_rate, normal_forms,
         sliding_chunks, section_chunks, chunk_size_ablation, url_normalize, url_admit, url_filename, link_extract, page_links, page_title, page_sections, page_text, page_question_text, page_chunks,
         merge_priority, pending_docs, finished_docs, assemble_with_fallback, missing_urls, latest_progress, first_progress, run_counters,
-        neardup_pairs, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, sampled_items, bfs_levels,
+        neardup_pairs, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, sampled_items, bfs_levels, interval_join, asof_join,
     )
 }
 
@@ -715,6 +746,6 @@ SQL = {
     "url_normalize": URL_SQL, "url_admit": ADMIT_SQL, "url_filename": "SELECT page_id, substr(md5(url), 1, 16) || '.html' AS filename FROM pages", "page_title": TITLE_SQL, "link_extract": LINK_SQL, "page_links": PAGE_LINKS_SQL,
     "merge_priority": MERGE_SQL, "pending_docs": PENDING_SQL, "finished_docs": FINISHED_SQL, "assemble_with_fallback": ASSEMBLE_SQL, "missing_urls": MISSING_SQL,
     "latest_progress": LATEST_SQL, "first_progress": FIRST_SQL, "run_counters": COUNTERS_SQL,
-    "neardup_pairs": PAIRS_SQL, "qa_validate": QA_SQL, "clean_answers": CLEAN_SQL, "llm_gate": GATE_SQL, "parse_llm_jsonl": PARSE_SQL, "retry_delays": RETRY_SQL, "category_plan": CATEGORY_SQL, "shuffled_items": SHUFFLE_SQL, "sampled_items": SAMPLE_SQL, "bfs_levels": BFS_SQL,
+    "neardup_pairs": PAIRS_SQL, "qa_validate": QA_SQL, "clean_answers": CLEAN_SQL, "llm_gate": GATE_SQL, "parse_llm_jsonl": PARSE_SQL, "retry_delays": RETRY_SQL, "category_plan": CATEGORY_SQL, "shuffled_items": SHUFFLE_SQL, "sampled_items": SAMPLE_SQL, "bfs_levels": BFS_SQL, "interval_join": INTERVAL_SQL, "asof_join": ASOF_SQL,
     "answer_batch": ANSWER_BATCH_SQL, "rewrite_batch": REWRITE_SQL, "neardup_kept": KEPT_SQL, "page_sections": PAGE_SECTIONS_SQL, "page_text": PAGE_TEXT_SQL, "page_question_text": QUESTION_TEXT_SQL, "page_chunks": PAGE_CHUNKS_SQL,
 }
