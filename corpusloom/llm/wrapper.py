@@ -13,7 +13,8 @@ each slot is judged (`judge`):
   element counts for more, and a sibling with the page's heading keeps the level above. What is outside the main slot belongs to the template.
 
 Each page is then aligned once more, and each of its nodes gets its slot's judgement. Nodes without a slot are judged by
-their own element and classes. So are pages of hosts without a template and pages without the main slot: of these the article
+their own element and classes. Within an article a class counts only if all its words do, as others speak of what the article is about
+(`related-work`), and words in a line of text go only if they are hidden or an advert's. So are pages of hosts without a template and pages without the main slot: of these the article
 element, or else the main element, or else all is read, without what elements and classes mark as no part of an article.
 
 Trees of SAMPLE pages bound a template: the sample gives its slots and the texts that are counted, those on two or more
@@ -76,6 +77,11 @@ ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
 READER_WORDS = {"comment", "comments", "commentlist", "disqus"}
 COMMENT_WORDS = {"ad", "ads", "advert", "sponsored", "promo", "related", "recommended", "teaser"}
 ARTICLE_WORDS = {"article", "entry", "post", "content", "story", "section"}
+#: Words that name no content, beside which the words above keep their sense: `related-posts` names a list, `related-work` a section of an article.
+PLAIN_WORDS = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cards", "center", "col", "column", "container", "content", "desktop", "div", "entry", "entries", "fixed", "form", "global", "grid", "group", "header", "holder", "icon", "icons", "inline", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "mobile", "module", "news", "outer", "page", "pane", "panel", "placeholder", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "small", "sticky", "stories", "story", "articles", "article", "text", "title", "top", "unit", "ul", "wrap", "wrapper", "zone", "to", "us", "me", "this"}
+#: Of these the ones that hide words in a line; and classes of elements that are an article's body without being an article element.
+ADVERT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "adsbygoogle"}
+ARTICLE_NAMES = {"article", "article-body", "article-content", "article-text", "entry-content", "post-body", "post-content", "story-body"}
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
 _attribute = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
@@ -107,15 +113,27 @@ def _closes(tag: str, opened: str) -> bool:
 def _aside(tag: str, words: set[str], names: dict[str, str], stack: list[Node]) -> int:
     if tag == "header" and any(n.tag in ("article", "main") for n in stack):
         return 0  # the article's own
-    if tag in ASIDE_TAGS or (words & READER_WORDS and tag not in ("html", "body", "main")) or "hidden" in names or "display:none" in names.get("style", "").replace(" ", ""):
+    if tag in ASIDE_TAGS or (words & READER_WORDS and tag not in ("html", "body", "main")) or _hidden(names):
         return 2
     if tag in ("html", "body", "main") or not words:
         return 0
     if tag == "article":
         return int(bool(words & COMMENT_WORDS))
+    if any(n.tag == "article" or ARTICLE_NAMES & set(n.sign.split(".")[1:]) for n in stack):
+        # within an article a name counts only as a whole: other words in it speak of what the article is about
+        return int(any(part & ASIDE_WORDS and part <= ASIDE_WORDS | PLAIN_WORDS for part in _names(names)))
     return int(bool(words & ASIDE_WORDS) or ("header" in words and not words & ARTICLE_WORDS))
 
 
+def _names(names: dict[str, str]) -> list[set[str]]:
+    """The words of each class, id and role of an element."""
+    return [set(_word.findall(x)) for a in ("class", "id", "role") for x in names.get(a, "").split()]
+
+
+def _hidden(names: dict[str, str]) -> bool:
+    return "hidden" in names or "display:none" in names.get("style", "").replace(" ", "")
+
+
 def parse(html: str) -> Node:
     """The tree of block elements of a page, however broken."""
     root = Node("#root")
@@ -179,8 +197,10 @@ def parse(html: str) -> Node:
             if tag in ("br", "img", "wbr"):
                 runs.append(" " if tag == "br" and not hidden else "")
             elif not raw.rstrip().endswith("/"):
-                inline.append((tag, bool(aside)))
-                hidden += bool(aside)
+                # words in a line go if they are hidden or an advert's, by no other class
+                gone = _hidden(names) or any(part <= ADVERT_WORDS for part in _names(names) if part)
+                inline.append((tag, gone))
+                hidden += gone
             continue
         flush()
         inline, hidden = [], 0

@@ -348,3 +348,30 @@ def test_deep_and_long_pages(spark):
     got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, PAGES).withColumns({"host": F.lit("own"), "template": F.lit("own"), "draw": F.lit("own")})).collect()}
     assert all(got[i] == f"Body {i} of {i * 7}\nand {i}" for i in range(10))
     assert all(got[100 + i].split("\n") == [f"Row {i} {k}" for k in range(700 + i)] for i in range(9))
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<p>a</p><section class='related-work'><h2>Related work</h2><p>b</p></section>", "a\nRelated work\nb"),
+        ("<p>By <span class='social'>me</span> and <b class='search-hit'>you</b></p>", "By me and you"),
+        ("<p>a</p><div id='share-price'>b</div><p class='cookie-recipe notice-of-motion'>c</p>", "a\nb\nc"),
+        ("<table class='menu-of-the-day'><tr><td>soup</td></tr></table>", "soup"),
+        # names as a whole still speak
+        ("<p>a</p><div class='related'>b</div><div class='share-buttons'>c</div><div class='related posts-list'>d</div><ul id='related-posts'><li>e</ul>", "a"),
+        ("<p>a <span class='ad'>b</span><a class='sponsored'>c</a> <span hidden>d</span><i style='display: none'>e</i>f</p>", "a f"),
+    ],
+)
+def test_words_of_an_article_do_not_go_by_parts_of_names(inner, text):
+    """Within an article, and with or without an article element around it."""
+    assert wrapper.extract(f"<body><nav>n</nav><article>{inner}</article></body>", None) == text
+    assert wrapper.extract(f"<body><nav>n</nav><div class='post-content wide'>{inner}</div></body>", None) == text
+
+
+def test_template_keeps_sections_with_telling_names(spark, table):
+    """The same on a host with a template, where slots are judged."""
+    page = lambda i: f"<body><nav><a href=1>n</a></nav><article><p>Body {i} of words that vary</p><section class='related-work'><p>Work {i}</p></section><p>By <span class='social'>me{i}</span></p><div class='share-buttons'>Share {i}</div></article></body>"
+    rows = [(i, f"https://one.example/{i}", page(i)) for i in range(12)]
+    folder = table("pages", rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.op9_main_text(spark, folder).collect()}
+    assert got == {i: f"Body {i} of words that vary\nWork {i}\nBy me{i}" for i in range(12)}
