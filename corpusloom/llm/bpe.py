@@ -4,7 +4,7 @@ A merge only ever builds tokens of the vocabulary. So between two neighbouring s
 no merge can happen: a cut there is certain, and what lies between cuts can be encoded by itself, in any order, and concatenated. A
 symbol is a byte, or a byte that ends a word; as nothing follows a word's end inside a token, all words are cut apart by the same rule. The
 table of pairs has 512 x 512 bits, and is looked up for all bytes of a block at once. Fragments are encoded by merges in order of rank,
-leftmost first, from a heap, so that long ones take n log n steps; short ones are remembered by the worker, MEMORY of them at most.
+leftmost first: short ones many together, a merge of each in every step, and remembered by the worker, about MEMORY of them; long ones from a heap, in n log n steps.
 
 Texts are first split at the special tokens, which stand for themselves; the rest is NFC, white space becomes a space, and every character
 is lower-cased by itself. Text is taken in blocks of about BLOCK characters that begin at white space, where none of this reaches across.
@@ -13,7 +13,7 @@ One pass, no shuffle: a row's ids need its text only. The driver reads the vocab
 
 Defined cases: null and empty texts have no ids and decode to an empty string; null ids decode to null; very long texts are encoded whole;
 repeated rows are encoded alike; there are no ties, as equal ranks go leftmost first; empty tables give empty results; extra columns are kept, whatever their names, but for those with the
-names of the results, which are replaced.
+names of the results, which are replaced, and _loom_coded.
 """
 
 from __future__ import annotations
@@ -22,18 +22,19 @@ import json
 import re
 import struct
 import unicodedata
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: Characters of a block; and fragments of at most SHORT bytes that a worker remembers.
-BLOCK = 1 << 20
-MEMORY, SHORT = 1 << 18, 48
+BLOCK = 1 << 19
+MEMORY, SHORT = 1 << 16, 48
 #: What marks the end of a word; and the words of a text.
 WORD_END = "</w>"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,6 +44,10 @@ INNER = b"\xff"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 OTHER, SPACE, LETTER, NUMBER = range(4)
 NEW = 4
+#: Rows of an Arrow batch that are turned into Python's objects at a time.
+SLICE = 500
+#: The rank of pairs that don't merge.
+NONE = (1 << 31) - 1
 
 _space = re.compile(r"[ \n]")
 
@@ -102,6 +107,8 @@ class Vocabulary:
         self.ranks = {ids[a] << 20 | ids[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.made = [ids[a + b] for a, b in pairs]
         self.classes = character_classes()
+        keys = np.array(sorted(self.ranks), np.int64)
+        self.keys, self.key_ranks = keys, np.array([self.ranks[k] for k in keys.tolist()], np.int64)
         # symbols that are neighbours inside a token
         byte = {x: b for b, x in enumerate(letters)}
         self.joined = np.zeros((512, 512), bool)
@@ -111,6 +118,59 @@ class Vocabulary:
                 symbols[-1] += 256
             self.joined[symbols[:-1], symbols[1:]] = True
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, NONE for those that don't merge."""
+        wanted = (left << 20) | right
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == wanted, self.key_ranks[at], NONE)
+
+    def merged_together(self, fragments: list[list[int]]) -> tuple[bytes, np.ndarray]:
+        """The ids of many short fragments after all merges, one after the other as packed integers, and where each ends.
+
+        Every round does the next merge of each fragment that has one, so there are as many rounds as merges in one fragment at most.
+        """
+        sizes = np.array([len(f) for f in fragments], np.int64)
+        ids = np.fromiter((i for f in fragments for i in f), np.int64, int(sizes.sum()))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        done = np.zeros(len(ids), np.int64)
+        place = np.arange(len(ids))  # where each symbol began; it stays there in the result
+        gone = np.zeros(len(ids), bool)
+        done[:] = ids
+        made = np.array(self.made, np.int64)
+        rank = np.full(len(ids), NONE)
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        rank[inner] = self._ranks(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(ids)), starts)
+            at = best[(best >> 32) != NONE] & 0xFFFFFFFF
+            ids[at] = made[rank[at]]
+            done[place[at]] = ids[at]
+            gone[place[at + 1]] = True
+            # what was merged goes, and so do fragments without a further merge
+            stays = np.zeros(of[-1] + 1, bool)
+            stays[of[at]] = True
+            keep = stays[of]
+            keep[at + 1] = False
+            changed = np.zeros(len(ids), bool)
+            changed[at] = True
+            changed[np.maximum(at - 1, 0)] = True
+            ids, of, place, rank, changed = ids[keep], of[keep], place[keep], rank[keep], np.flatnonzero(changed[keep])
+            if len(ids):
+                paired = changed[changed + 1 < len(ids)]
+                rank[changed] = NONE
+                paired = paired[of[paired] == of[paired + 1]]
+                rank[paired] = self._ranks(ids[paired], ids[paired + 1])
+        left = ~gone
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[left], minlength=len(sizes)))
+        return done[left].astype("<u4").tobytes(), ends
+
+
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
 
 class Coder:
     """Encodes and decodes texts of a worker."""
@@ -118,39 +178,69 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.known: dict = {}
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned integers of 32 bits."""
-        out = []
-        for n, part in enumerate(self.special.split(text) if self.special else [text]) if text else ():
-            if n % 2:
-                out.append(self.v.special[part].to_bytes(4, "little"))
-            else:
-                out.extend(self._plain(block) for block in blocks(part))
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts) -> list[bytes]:
+        """The ids of each text. Texts are taken together up to about BLOCK characters, and long ones in blocks."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, size = [], 0
+        for n, text in enumerate(texts):
+            for i, part in enumerate(self.special.split(text) if self.special else [text]) if text else ():
+                if i % 2:
+                    out[n].append(self.v.special[part].to_bytes(4, "little"))
+                    continue
+                for block in blocks(part):
+                    out[n].append(b"")
+                    waiting.append((out[n], len(out[n]) - 1, self.normal(block)))
+                    size += len(block)
+                    if size >= BLOCK:
+                        self._place(waiting)
+                        waiting, size = [], 0
+        self._place(waiting)
+        return [b"".join(parts) for parts in out]
 
     def decode(self, ids: bytes | None) -> str | None:
         """The ids' tokens with a space between, which is what decoding is without a decoder."""
         return None if ids is None else " ".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def _plain(self, text: str) -> bytes:
-        known, out = self.known, []
-        raw, starts, ends, last = self.fragments(text)
-        for a, b, word_end in zip(starts, ends, last):
-            piece = raw[a:b] if word_end else raw[a:b] + INNER
-            out.append(known.get(piece) or self._encoded(piece, word_end))
-        return b"".join(out)
-
-    def fragments(self, text: str) -> tuple[bytes, list, list, list]:
-        """The normalised text's bytes; where its fragments begin and end; and whether each one's end is a word's."""
-        if not text.isascii() and (self.v.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)] & NEW).any():
-            text = _newer(text)
-        else:  # characters are lower-cased by themselves: a last sigma isn't another letter
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def _place(self, waiting: list) -> None:
+        """Encodes the normalised texts of (list, place, text) together, a space between, and puts the ids in their places."""
+        if not waiting:
+            return
+        raw, starts, ends, last = self.fragments(" ".join(text for *_, text in waiting))
+        pieces = [raw[a:b] if word_end else raw[a:b] + INNER for a, b, word_end in zip(starts.tolist(), ends.tolist(), last.tolist())]
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        known = self.known
+        new = list({p for p in pieces if p not in known})
+        known.update(zip(new, self._encoded(new)))
+        ids = [known[p] for p in pieces]
+        at = np.cumsum([len(text.encode()) + 1 for *_, text in waiting])
+        begin = 0
+        for (parts, place, _), end in zip(waiting, np.searchsorted(starts, at).tolist()):
+            parts[place] = b"".join(ids[begin:end])
+            begin = end
+        for p in new:
+            if len(p) > SHORT:
+                del known[p]
+
+    def normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if (self.v.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)] & NEW).any():
+            return _newer(text)
+        # characters are lower-cased by themselves: a last sigma isn't another letter
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def fragments(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """A normalised text's bytes; where its fragments begin and end; and whether each one's end is a word's."""
         raw = text.encode()
         if not raw:
-            return raw, [], [], []
+            return raw, *np.zeros((3, 0), np.int64)
         kind = self.v.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)] & (NEW - 1)
         # a word ends where the class changes, after each number, and after a contraction
         end = np.append(kind[1:] != kind[:-1], True) | (kind == NUMBER)
@@ -159,29 +249,42 @@ class Coder:
                 end[m.start() : m.end() - 1] = False
                 end[m.end() - 1] = True
         octets = np.frombuffer(raw, np.uint8)
-        lead = (octets & 0xC0) != 0x80
-        of = np.cumsum(lead) - 1
-        ends_word = np.append(lead[1:], True) & end[of]
+        if len(raw) == len(text):
+            ends_word, solid = end, kind != SPACE
+        else:
+            lead = (octets & 0xC0) != 0x80
+            of = np.cumsum(lead) - 1
+            ends_word, solid = np.append(lead[1:], True) & end[of], (kind != SPACE)[of]
         symbols = octets + ends_word * np.int32(256)
-        solid = (kind != SPACE)[of]
         cut = ~self.v.joined[symbols[:-1], symbols[1:]] | ~solid[:-1] | ~solid[1:]
         at = np.flatnonzero(np.append(cut, True)) + 1  # ends of fragments, white space included
         begin = np.append(0, at[:-1])
         keep = solid[begin]
-        return raw, begin[keep].tolist(), at[keep].tolist(), ends_word[at[keep] - 1].tolist()
-
-    def _encoded(self, piece: bytes, word_end: bool) -> bytes:
-        ids = [self.v.first[b] for b in (piece if word_end else piece[:-1])]
-        if word_end:
-            ids[-1] = self.v.first[256 + piece[-1]]
-        ids = merged(ids, self.v.ranks, self.v.made)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= SHORT:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[piece] = out
+        return raw, begin[keep], at[keep], ends_word[at[keep] - 1]
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each fragment; INNER ends those that don't end a word."""
+        out = [b""] * len(pieces)
+        short = [i for i, p in enumerate(pieces) if len(p) <= SHORT]
+        flat, ends = self.v.merged_together([self._symbols(pieces[i]) for i in short])
+        begin = 0
+        for i, end in zip(short, (4 * ends).tolist()):
+            out[i] = flat[begin:end]
+            begin = end
+        for i, p in enumerate(pieces):
+            if len(p) > SHORT:
+                ids = merged(self._symbols(p), self.v.ranks, self.v.made)
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
+    def _symbols(self, piece: bytes) -> list[int]:
+        first = self.v.first
+        if piece[-1:] == INNER:
+            return [first[b] for b in piece[:-1]]
+        ids = [first[b] for b in piece]
+        ids[-1] = first[256 + piece[-1]]
+        return ids
+
 
 def blocks(text: str):
     """The text in parts of about BLOCK characters, each but the first beginning at a space or line feed."""
@@ -232,41 +335,53 @@ def _coder(shared) -> Coder:
     return _coders[shared.id]
 
 
+def _by_slices(column: pa.Array, kind: pa.DataType, each) -> pa.Array:
+    """each() over an Arrow column, SLICE rows at a time: a batch is never whole in Python's objects."""
+    parts = [pa.array(each(column.slice(at, SLICE).to_pylist()), kind) for at in range(0, len(column), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 class _Shared:
     """A broadcast vocabulary, and a name for it that is the same in every task."""
 
     def __init__(self, spark, path: str):
-        self.broadcast, self.id = spark.sparkContext.broadcast(Vocabulary(path)), path
+        self.broadcast, self.id = spark.sparkContext.broadcast(vocabulary(path)), path
 
     @property
     def value(self) -> Vocabulary:
         return self.broadcast.value
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """df with the text's ids as one binary of little-endian unsigned 32-bit integers, never null."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """df with the text's ids as one binary of little-endian unsigned 32-bit integers, never null; and, under the name `decoded`, what decode() makes of these, by the same workers."""
     shared = _Shared(df.sparkSession, path or default_vocabulary())
+    kind = pa.struct([("ids", pa.binary()), *([("decoded", pa.string())] if decoded else [])])
+
+    def both(texts: list) -> list[dict]:
+        coder = _coder(shared)
+        return [{"ids": x, "decoded": coder.decode(x)} if decoded else {"ids": x} for x in coder.encode_all(texts)]
 
-    @F.pandas_udf("binary")
-    def encoded(texts: pd.Series) -> pd.Series:
-        return texts.map(_coder(shared).encode)
+    @F.arrow_udf("ids binary, decoded string" if decoded else "ids binary")
+    def encoded(texts: pa.Array) -> pa.Array:
+        return _by_slices(texts, kind, both)
 
     # not deterministic for the optimiser, or every use of the column would encode anew
-    return df.withColumn(ids, encoded.asNondeterministic()(F.col(text)))
+    got = df.withColumn("_loom_coded", encoded.asNondeterministic()(F.col(text)))
+    return got.withColumns({ids: F.col("_loom_coded.ids")} | ({decoded: F.col("_loom_coded.decoded")} if decoded else {})).drop("_loom_coded")
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
     """df with the text that such ids stand for."""
     shared = _Shared(df.sparkSession, path or default_vocabulary())
 
-    @F.pandas_udf("string")
-    def decoded(packed: pd.Series) -> pd.Series:
-        return packed.map(_coder(shared).decode)
+    @F.arrow_udf("string")
+    def decoded(packed: pa.Array) -> pa.Array:
+        return _by_slices(packed, pa.string(), lambda some: map(_coder(shared).decode, some))
 
     return df.withColumn(text, decoded.asNondeterministic()(F.col(ids)))
 
 
 def op11_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode(encode(docs).drop("text"))
+    coded = encode(docs, decoded="decoded")
     return coded.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
