@@ -10,6 +10,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -113,31 +115,26 @@ def compatible(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).split())
 
 
-def sections_of(page: Element) -> list[dict[str, str]]:
-    """Text under each heading, in document order. Elements within elements give their text again."""
-    out: list[dict[str, str]] = []
-    heading, lines = "", []
-
-    def end() -> None:
-        text = "\n".join(lines).strip()
-        if len(text) > SECTION:
-            out.append({"heading": heading, "text": text})
-        lines.clear()
-
+def pieces_of(page: Element) -> Iterator[tuple[int, str]]:
+    """(number of headings so far, text) of every heading and every line or row that is long enough, in document order. Elements within elements give their text again."""
+    n = 0
     for e in page.walk():
+        n += e.tag in HEADINGS
         if e.tag in HEADINGS:
-            end()
-            heading = e.text()
-        elif e.tag == "tr":
-            text = row_text(e)
-            if len(text) > ROW:
-                lines.append(text)
-        elif e.tag in LINE_TAGS:
-            text = compatible(e.text())
-            if len(text) > LINE:
-                lines.append(text)
-    end()
-    return out
+            yield n, e.text()
+        elif e.tag == "tr" and len(row := row_text(e)) > ROW:
+            yield n, row
+        elif e.tag in LINE_TAGS and len(line := compatible(e.text())) > LINE:
+            yield n, line
+
+
+def sections_of(page: Element) -> list[dict[str, str]]:
+    """Pieces with one number are one section: the first is its heading, but for those before any heading."""
+    out = []
+    for n, group in groupby(pieces_of(page), key=itemgetter(0)):
+        heading, *lines = ([] if n else [""]) + [text for _, text in group]
+        out.append({"heading": heading, "text": "\n".join(lines).strip()})
+    return [s for s in out if len(s["text"]) > SECTION]
 
 
 def document(html: str | None) -> dict:

@@ -90,9 +90,16 @@ def compatible(c: Column) -> Column:
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two bags of strings."""
-    count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    """Size of the intersection of two bags of strings: both are sorted together, and each word's runs are counted in one pass."""
+    tagged = lambda bag, n_a, n_b: F.transform(bag, lambda w: F.struct(w.alias("w"), F.lit(n_a).alias("a"), F.lit(n_b).alias("b")))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+    shared = lambda x: x["n"] + F.least(x["a"], x["b"])
+
+    def step(x: Column, y: Column) -> Column:
+        more = F.struct(y["w"].alias("w"), (x["a"] + y["a"]).alias("a"), (x["b"] + y["b"]).alias("b"), x["n"].alias("n"))
+        return F.when(x["w"] == y["w"], more).otherwise(F.struct(y["w"].alias("w"), y["a"].alias("a"), y["b"].alias("b"), shared(x).alias("n")))
+
+    return F.aggregate(F.array_sort(F.concat(tagged(a, 1, 0), tagged(b, 0, 1))), start, step, shared)
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:

@@ -117,7 +117,7 @@ def prompts(ranked: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataF
 def rewrite_prompt(title: Column, url: Column, text: Column) -> Column:
     """Asks for a clean version of a page's text, no facts added or lost."""
     ask = "Rewrite the text of this web page so that it reads well. Drop menus and repeated lines, mend broken sentences, mark headings with ##, and keep every name, number, date and address. Add nothing."
-    return F.concat(F.lit(ask + "\n\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nAddress: "), F.coalesce(url, F.lit("")), F.lit("\n\n"), F.substring(text, 1, REWRITE_CHARS))
+    return F.concat(F.lit(ask + "\n\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nAddress: "), F.coalesce(url, F.lit("")), F.lit("\n\n"), rewrite_input(text))
 
 
 def question_prompt(text: Column, url: Column, hint: Column, n: Column) -> Column:
@@ -155,15 +155,25 @@ def answers(prompted: DataFrame, generator: Generator = stub, partitions: int |
     return done.unionByName(prompted.where(blank).select("q", F.lit(UNKNOWN).alias("prediction"), F.lit(None).cast("string").alias("error")))
 
 
+def gate(text: Column) -> Column:
+    """Whether a text is too short to be rewritten: it passes as it is."""
+    return F.char_length(F.coalesce(text, F.lit(""))) < LEAST_CHARS
+
+
+def rewrite_input(text: Column) -> Column:
+    """What of a text is put into a prompt."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, REWRITE_CHARS)
+
+
 def rewritten(docs: DataFrame, generator: Callable[[str], str | None], partitions: int | None = None) -> DataFrame:
     """(url, title, text, text_original, llm_cleaned) of (url, title, text). Short texts pass; a rewrite of 30 characters or fewer is refused."""
     rows = docs.select("url", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    gate = F.char_length("text") < LEAST_CHARS
-    asked = generated(rows.where(~gate).withColumn("prompt", rewrite_prompt(F.col("title"), F.col("url"), F.col("text"))), "prompt", generator, partitions)
+    passes = gate(F.col("text"))
+    asked = generated(rows.where(~passes).withColumn("prompt", rewrite_prompt(F.col("title"), F.col("url"), F.col("text"))), "prompt", generator, partitions)
     good = F.coalesce(F.char_length("raw") > LEAST_REWRITE, F.lit(False))
     none = F.lit(None).cast("string")
     done = asked.select("url", "title", F.when(good, F.col("raw")).otherwise(F.col("text")).alias("text"), F.when(good, F.col("text")).otherwise(none).alias("text_original"), good.alias("llm_cleaned"))
-    return rows.where(gate).select("url", "title", "text", none.alias("text_original"), F.lit(False).alias("llm_cleaned")).unionByName(done)
+    return rows.where(passes).select("url", "title", "text", none.alias("text_original"), F.lit(False).alias("llm_cleaned")).unionByName(done)
 
 
 def parsed_pairs(rows: DataFrame, raw: str = "raw", url: str = "url") -> DataFrame:

@@ -28,6 +28,22 @@ def pairs(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, tex
     return alike(word_sets(rows, form, text), threshold)
 
 
+def links(rows: DataFrame, threshold: float = THRESHOLD, form=question_form, text: str = "question") -> DataFrame:
+    """(ord, class_id, links): one row each. Rows of one word set are a class, named by its first; links counts the other rows with an overlap above the threshold.
+
+    Only the first ones of classes are compared, and their classes' sizes added up, so copies are never expanded to pairs. Rows without words are classes of their own.
+    """
+    sets = written(word_sets(rows, form, text), "sets")
+    classes = written(sets.groupBy("w").agg(F.min("ord").alias("ord"), F.count("*").alias("n")), "classes")
+    near = alike(classes.select("ord", "w"), threshold).select("ord_a", "ord_b")
+    near = near.unionByName(near.select(F.col("ord_b").alias("ord_a"), F.col("ord_a").alias("ord_b")))
+    sizes = near.join(classes.select(F.col("ord").alias("ord_b"), "n"), "ord_b").groupBy(F.col("ord_a").alias("class_id")).agg(F.sum("n").alias("near"))
+    totals = classes.select("w", F.col("ord").alias("class_id"), "n").join(sizes, "class_id", "left")
+    found = sets.join(totals, "w").select("ord", "class_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    wordless = rows.select("ord").join(sets.select("ord"), "ord", "left_anti").select("ord", F.col("ord").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return found.unionByName(wordless)
+
+
 def alike(sets: DataFrame, threshold: float) -> DataFrame:
     """The same of word sets.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import chunk, crawl, evaluate, generate, index, merge, neardup, timejoins
 from ..session import spread
+from ..sources import files
+from ..storage import fresh_path
+from ..streaming import eventtime, progress
 
 DOMAIN = "ththhe.example.com"
 
@@ -197,7 +201,7 @@ SELECT COUNT(*) AS n, round(AVG(em), 6) AS em, round(AVG(f1), 6) AS f1 FROM b
 
 def squad_em_f1(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    report = evaluate.squad_report(rows.select("id", F.array("reference", F.lit("the a an")).alias("answers")), rows.where(F.char_length("prediction") > 20).select("id", "prediction"))
+    report = evaluate.squad_report(rows.select("id", F.array("reference", F.lit("the a an")).alias("answers")), rows.select("id", "prediction"))
     return report.select(F.round("exact_match", 6).alias("exact_match"), F.round("f1", 6).alias("f1"), "total")
 
 
@@ -208,7 +212,7 @@ def _squad_form(column: str) -> str:
 
 SQUAD_SQL = f"""
 WITH {TURNS},
-al AS (SELECT conv_id, turn, prediction, unnest([reference, 'the a an']) AS reference, unnest([1, 2]) AS alt FROM pr WHERE length(prediction) > 20),
+al AS (SELECT conv_id, turn, prediction, unnest([reference, 'the a an']) AS reference, unnest([1, 2]) AS alt FROM pr),
 {_f1_sql("al", "conv_id, turn, alt", _squad_form, "0.0")},
 b AS (SELECT conv_id, turn, MAX(em) AS em, MAX(f1) AS f1 FROM f GROUP BY ALL)
 SELECT round(100 * AVG(COALESCE(b.em, 0)), 6) AS exact_match, round(100 * AVG(COALESCE(b.f1, 0)), 6) AS f1, COUNT(*) AS total FROM pr LEFT JOIN b USING (conv_id, turn)
@@ -547,10 +551,15 @@ dup AS (SELECT page_a, page_b, round(ratio, 6) AS ratio FROM p WHERE ratio > 0.8
 
 
 def neardup_pairs(spark, sf_dir):
-    return neardup.pairs(_titles(spark, sf_dir)).select(F.col("ord_a").alias("page_a"), F.col("ord_b").alias("page_b"), F.round("ratio", 6).alias("ratio"))
+    """Every title with its class, and how many other titles it overlaps with: classes are compared, their members are not expanded."""
+    return neardup.links(_titles(spark, sf_dir)).select(F.col("ord").alias("page_id"), F.col("class_id").alias("class_page"), "links")
 
 
-PAIRS_SQL = f"WITH {TITLE_PAIRS} SELECT page_a, page_b, ratio FROM dup"
+PAIRS_SQL = f"""
+WITH {TITLE_PAIRS},
+n AS (SELECT page_id, COUNT(*) AS links FROM (SELECT unnest([page_a, page_b]) AS page_id FROM dup) GROUP BY page_id)
+SELECT page_id, CASE WHEN len(w) = 0 THEN page_id ELSE min(page_id) OVER (PARTITION BY list_sort(w)) END AS class_page, COALESCE(links, 0) AS links FROM w LEFT JOIN n USING (page_id)
+"""
 
 
 def neardup_kept(spark, sf_dir):
@@ -601,9 +610,8 @@ FROM (SELECT conv_id, turn, CASE conv_id % 6 WHEN 1 THEN rtrim(s) ELSE trim(s) E
 
 
 def llm_gate(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.char_length(text) < generate.LEAST_CHARS).alias("passes"), F.md5(F.substring(text, 1, generate.REWRITE_CHARS)).alias("input_md5"))
-    return rows
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", generate.gate(text).alias("passes"), F.md5(generate.rewrite_input(text)).alias("input_md5"))
 
 
 GATE_SQL = "SELECT doc_id, length(COALESCE(text, '')) < 50 AS passes, md5(substr(COALESCE(text, ''), 1, 8000)) AS input_md5 FROM documents"
@@ -725,13 +733,74 @@ WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_i
 SELECT e.event_id, c.click_id, c.click_value FROM events e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts
 """
 
+# --- windows of event time ---------------------------------------------------------------------------------------
+
+
+def _event_windows(spark, sf_dir, windows: eventtime.Windows, key: str) -> DataFrame:
+    """A stream over the events: counts and sums of the windows that a watermark ten minutes behind the last event has closed."""
+    path, where = f"{sf_dir}/events.parquet", fresh_path(spark, "windows")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema if f.name in ("ts", "value", key))
+    rows = files.stream(spark, path, schema)
+    rows = rows.select(key, F.timestamp_micros(timejoins.ticks(rows, "ts")).alias("at"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    eventtime.run(spark, rows, windows, f"{where}/out", f"{where}/checkpoint", "at", [key], "cents", "10 minutes")
+    return eventtime.closed(spark, f"{where}/out").select(key, F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.col("total").alias("cents"))
+
+
+def event_tumbling(spark, sf_dir):
+    return _event_windows(spark, sf_dir, eventtime.Windows(size="1 hour"), "event_type")
+
+
+def event_sliding(spark, sf_dir):
+    return _event_windows(spark, sf_dir, eventtime.Windows(size="1 hour", slide="15 minutes"), "event_type")
+
+
+def event_sessions(spark, sf_dir):
+    return _event_windows(spark, sf_dir, eventtime.Windows(gap="30 minutes"), "user_id")
+
+
+def _window_sql(rows: str, key: str) -> str:
+    """Windows (key, s, e) of `rows` (key, s, e, value), and of these the closed ones."""
+    return f"""
+WITH m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS mark FROM events),
+r AS ({rows})
+SELECT {key}, epoch_us(s) AS start_us, epoch_us(e) AS end_us, COUNT(*) AS n, SUM(round(value * 100)::BIGINT)::BIGINT AS cents FROM r, m WHERE e <= mark GROUP BY {key}, s, e
+"""
+
+
+def _sliding_sql(minutes: int, n: int) -> str:
+    start = f"time_bucket(INTERVAL {minutes} MINUTE, ts, TIMESTAMP '1970-01-01') - k * INTERVAL {minutes} MINUTE"
+    return f"SELECT event_type, {start} AS s, {start} + INTERVAL {n * minutes} MINUTE AS e, value FROM events, range({n}) AS k(k)"
+
+
+SESSION_SQL = """
+SELECT user_id, value, min(ts) OVER w AS s, max(ts) OVER w + INTERVAL 30 MINUTE AS e
+FROM (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+      FROM (SELECT *, COALESCE(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE, TRUE)::INT AS fresh FROM events))
+WINDOW w AS (PARTITION BY user_id, session)
+"""
+
+def progress_state(spark, sf_dir):
+    """The events as a log that a stream follows: the last one of every user, and whether a day has gone by since."""
+    path, where = f"{sf_dir}/events.parquet", fresh_path(spark, "progress")
+    names = ("ts", "user_id", "event_id", "event_type", "value")
+    rows = files.stream(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema if f.name in names))
+    rows = rows.withColumn("ts", F.timestamp_micros(timejoins.ticks(rows, "ts")))
+    progress.follow(spark, rows, f"{where}/out", f"{where}/checkpoint", "user_id", "ts", timedelta(days=1), rank="event_id")
+    return progress.state(spark, f"{where}/out", "event_id long, event_type string, value double").select(F.col("key").alias("user_id"), "event_id", "event_type", "value", "expired")
+
+
+STATE_SQL = """
+SELECT user_id, event_id, event_type, value, epoch_ms(ts) + 86400000 <= (SELECT epoch_ms(max(ts)) FROM events) AS expired
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_top5, term_stats, doc_lengths, postings, recall_at_5, topk_ablation, rag_prompts, answer_batch, answer_em_f1, eval_report, squad_em_f1, zero_f1_breakdown, agreement_rate, normal_forms,
         sliding_chunks, section_chunks, chunk_size_ablation, url_normalize, url_admit, url_filename, link_extract, page_links, page_title, page_sections, page_text, page_question_text, page_chunks,
         merge_priority, pending_docs, finished_docs, assemble_with_fallback, missing_urls, latest_progress, first_progress, run_counters,
-        neardup_pairs, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, sampled_items, bfs_levels, interval_join, asof_join,
+        neardup_pairs, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, sampled_items, bfs_levels, interval_join, asof_join, event_tumbling, event_sliding, event_sessions, progress_state,
     )
 }
 
@@ -747,5 +816,6 @@ SQL = {
     "merge_priority": MERGE_SQL, "pending_docs": PENDING_SQL, "finished_docs": FINISHED_SQL, "assemble_with_fallback": ASSEMBLE_SQL, "missing_urls": MISSING_SQL,
     "latest_progress": LATEST_SQL, "first_progress": FIRST_SQL, "run_counters": COUNTERS_SQL,
     "neardup_pairs": PAIRS_SQL, "qa_validate": QA_SQL, "clean_answers": CLEAN_SQL, "llm_gate": GATE_SQL, "parse_llm_jsonl": PARSE_SQL, "retry_delays": RETRY_SQL, "category_plan": CATEGORY_SQL, "shuffled_items": SHUFFLE_SQL, "sampled_items": SAMPLE_SQL, "bfs_levels": BFS_SQL, "interval_join": INTERVAL_SQL, "asof_join": ASOF_SQL,
+    "event_tumbling": _window_sql(_sliding_sql(60, 1), "event_type"), "event_sliding": _window_sql(_sliding_sql(15, 4), "event_type"), "event_sessions": _window_sql(SESSION_SQL, "user_id"), "progress_state": STATE_SQL,
     "answer_batch": ANSWER_BATCH_SQL, "rewrite_batch": REWRITE_SQL, "neardup_kept": KEPT_SQL, "page_sections": PAGE_SECTIONS_SQL, "page_text": PAGE_TEXT_SQL, "page_question_text": QUESTION_TEXT_SQL, "page_chunks": PAGE_CHUNKS_SQL,
 }

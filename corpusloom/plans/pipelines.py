@@ -8,7 +8,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -21,8 +21,8 @@ from ..storage import numbered, removed, written
 
 
 def with_chunk_ids(rows: DataFrame) -> DataFrame:
-    """rows with a chunk_id in the order of document, section and part, each of the latter below 2 ** 16."""
-    return rows.withColumn("chunk_id", F.col("doc_id") * (1 << 32) + F.col("section_idx") * (1 << 16) + F.col("part_idx"))
+    """rows with a chunk_id by order of document, section and part, however many a document has; written once."""
+    return numbered(rows, ["doc_id", "section_idx", "part_idx"], "chunk_id")
 
 
 def with_doc_ids(docs: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def score_answers(spark: SparkSession, predictions: str, gold: str, where: str |
     """(n, em, f1, recall) of answers by line; recall is of the index's passages, and null without one."""
     guessed = jsonl.read_lines(spark, predictions, "prediction")
     lines = jsonl.read_lines(spark, gold, "line").where("trim(line) <> ''")
-    known = lines.select(F.row_number().over(Window.orderBy("pos")).alias("n"), F.from_json("line", QA, {"mode": "FAILFAST"}).alias("r")).select((F.col("n") - 1).cast("long").alias("pos"), "r.*")
+    known = numbered(lines, ["pos"], "n").select("n", F.from_json("line", QA, {"mode": "FAILFAST"}).alias("r")).select(F.col("n").alias("pos"), "r.*")
     report = evaluate.report(evaluate.scored(guessed, known))
     if where is None:
         return report.withColumn("recall", F.lit(None).cast("double"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunk
+from corpusloom.sources import files
 from corpusloom.storage import fresh_path
 
 from . import common
@@ -77,7 +78,7 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, size: int =
         wrote.coalesce(1).write.mode("overwrite").json(f"{out}/log/batch={number}")
         log.info("batch %d: %s", number, wrote.first().asDict())
 
-    stream = common.as_stream(spark, source, ", ".join(f"{k} {v}" for k, v in types.items()), files_per_batch)
+    stream = files.stream(spark, source, ", ".join(f"{k} {v}" for k, v in types.items()), files_per_batch)
     stream = stream.select("*", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_file"))
     log.info("reading what is new of %s into %s", source, out)
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

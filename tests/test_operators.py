@@ -262,8 +262,11 @@ def test_pairs_of_all_titles_against_brute_force(spark, tmp_path):
         (r,) = spark.createDataFrame([(t,)], "t string").select(T.words(T.question_form(F.col("t"))).alias("w")).collect()
         sets.append(set(r.w))
     want = sorted((a, b) for a, b in combinations(range(len(titles)), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) > 0.8)
-    got = sorted((r.page_a, r.page_b) for r in catalogue.neardup_pairs(spark, str(tmp_path)).collect())
+    got = sorted((r.ord_a, r.ord_b) for r in neardup.pairs(catalogue._titles(spark, str(tmp_path))).collect())
     assert got == want and {(0, 1), (2, 3), (4, 5)} <= set(got)
+    # the query gives the same by classes: no link is lost, and none is expanded
+    rows = {r.page_id: (r.class_page, r.links) for r in catalogue.neardup_pairs(spark, str(tmp_path)).collect()}
+    assert rows == {i: (next(j for j in range(i + 1) if i == j or (sets[i] and sets[j] == sets[i])), sum(i in pair for pair in want)) for i in range(len(titles))}
 
 
 def test_tables_need_a_shared_folder_off_one_machine():
@@ -286,3 +289,29 @@ def test_questions_short_of_matches_are_padded_by_the_smallest_ids(spark):
     for r in index.top_k(questions, chunks, 4).orderBy("q", "rank").collect():
         got.setdefault(r.q, []).append(r.chunk_id)
     assert got == {1: [4, 0, 1, 2], 2: [0, 1, 2, 3], 4: [2, 8, 10, 0]}
+
+
+def test_links_of_classes_are_those_of_all_pairs(spark):
+    texts = ["what is a loom", "is a loom what", "What is a loom?", "what is a big loom", "who knows", "", "?!", None, "who knows", "what is a very big red loom"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, question string")
+    degree = {i: 0 for i in range(len(texts))}
+    for p in neardup.pairs(rows).collect():
+        degree[p.ord_a] += 1
+        degree[p.ord_b] += 1
+    got = {r.ord: (r.class_id, r.links) for r in neardup.links(rows).collect()}
+    assert {i: n for i, (_, n) in got.items()} == degree
+    assert [got[i][0] for i in range(len(texts))] == [0, 0, 0, 3, 4, 5, 6, 7, 4, 9]
+
+
+def test_overlap_of_long_bags_is_one_pass(spark):
+    """Two texts of 30,000 words: a count of every word in both bags would be a thousand million comparisons."""
+    from corpusloom.functions.text import bag_overlap
+
+    n = 30000
+    row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i % 20000).cast("string")).alias("a"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i % 15001 + 5).cast("string")).alias("b"))
+    from collections import Counter
+
+    a, b = Counter(i % 20000 for i in range(1, n + 1)), Counter(i % 15001 + 5 for i in range(1, n + 1))
+    assert row.select(bag_overlap(F.col("a"), F.col("b"))).first()[0] == sum((a & b).values())
+    few = spark.createDataFrame([(["x", "y", "x"], ["x", "x", "z"]), ([], ["x"]), ([], [])], "a array<string>, b array<string>")
+    assert [r[0] for r in few.select(bag_overlap(F.col("a"), F.col("b"))).collect()] == [2, 0, 0]
