@@ -4,7 +4,7 @@ Vectors become integers, are cut into PARTS parts, and each part is stood for by
 distance of two vectors is at least the difference of their norms. So entries are sorted by norm; the entry of nearest norm gives a first
 distance, a binary search the ring of entries whose norms are within that distance, and only the ring is evaluated, exactly, inclusively at
 its edges, on all parts of a batch at once. Norms are floats, so the ring is taken a little wider: that evaluates more, and never leaves out
-an entry. Distances are integers, so results do not depend on how rows are cut into partitions.
+an entry. It is searched anew whenever a nearer entry has been met. Distances are integers, so results do not depend on how rows are cut into partitions.
 
 A round is one pass over the vectors in Arrow batches: each task keeps one sum for each place, entry and component, and Spark adds up the
 sums. The driver sees codebooks only: entries times components, whatever the number of rows. No row is shuffled but in thin form, for the
@@ -71,19 +71,27 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, in
     right = np.searchsorted(sorted_norms, own).clip(1, max(len(book) - 1, 1))
     at = np.where(own - sorted_norms[right - 1] <= sorted_norms[np.minimum(right, len(book) - 1)] - own, right - 1, np.minimum(right, len(book) - 1))
     best, least = order[at], ((x - book[order[at]]) ** 2).sum(axis=1)
-    # the ring it allows, a little wider than rounding can be wrong by
-    reach = np.sqrt(least.astype(np.float64))
-    slack = (own + reach + sorted_norms[-1] + 1) * 1e-12
-    low = np.searchsorted(sorted_norms, own - reach - slack, "left")
-    high = np.searchsorted(sorted_norms, own + reach + slack, "right")
+    low, high = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+
+    def ring(rows) -> None:
+        """The entries that the distance of these rows allows so far, a little wider than rounding can be wrong by."""
+        reach = np.sqrt(least[rows].astype(np.float64))
+        slack = (own[rows] + reach + sorted_norms[-1] + 1) * 1e-12
+        low[rows] = np.searchsorted(sorted_norms, own[rows] - reach - slack, "left")
+        high[rows] = np.searchsorted(sorted_norms, own[rows] + reach + slack, "right")
+
+    ring(np.arange(len(x)))
     computed = len(x)
-    for place, entry in enumerate(order):
-        rows = np.flatnonzero((low <= place) & (place < high) & (at != place))
-        computed += len(rows)
-        far = ((x[rows] - book[entry]) ** 2).sum(axis=1)
-        nearer = (far < least[rows]) | ((far == least[rows]) & (entry < best[rows]))
-        rows, far = rows[nearer], far[nearer]
-        best[rows], least[rows] = entry, far
+    for step in range(1, len(book)):  # outwards from the nearest norm; the ring narrows as distances do
+        for place in (at - step, at + step):
+            rows = np.flatnonzero((low <= place) & (place < high))
+            entry = order[place[rows]]
+            computed += len(rows)
+            far = ((x[rows] - book[entry]) ** 2).sum(axis=1)
+            nearer = (far < least[rows]) | ((far == least[rows]) & (entry < best[rows]))
+            rows = rows[nearer]
+            best[rows], least[rows] = entry[nearer], far[nearer]
+            ring(rows)
     return best, least, computed
 
 
