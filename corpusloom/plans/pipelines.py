@@ -63,8 +63,9 @@ def rewrite_corpus(spark: SparkSession, corpus: str, log: str, out: str, generat
     done = _log(spark, log)
     if retry_failed:
         done = done.where("llm_cleaned")
-    for part in in_batches(written(merge.pending(docs, done, "url"), "pending"), "url", batch):
-        jsonl.append_log(generate.rewritten(part, generator, workers), log)
+    first = jsonl.next_batch(spark, log) if _exists(spark, log) else 1
+    for n, part in enumerate(in_batches(written(merge.pending(docs, done, "url"), "pending"), "url", batch), first):
+        jsonl.append_log(generate.rewritten(part, generator, workers).withColumn("batch", F.lit(n).cast("long")), log)
     done = _log(spark, log)
     jsonl.write_jsonl(merge.assembled(docs, done, "url", ("title", "text")).select("url", "title", "text"), out)
     known = merge.finished(docs, done, "url").withColumn("cut", F.char_length(F.coalesce("text_original", F.lit(""))) > generate.REWRITE_CHARS)
@@ -77,10 +78,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
-    """The last entry of each URL of a progress log, which may not exist yet."""
+    """The last entry of each URL of a progress log, which may not exist yet: of the last batch, then by place. Entries without a batch come first."""
     if not _exists(spark, path):
         return spark.createDataFrame([], PROGRESS)
-    rows = jsonl.read_tolerant(spark, path, PROGRESS, placed="_order")
+    rows = jsonl.read_tolerant(spark, path, PROGRESS + ", batch long", placed="_at")
+    rows = rows.withColumn("_order", F.struct(F.coalesce("batch", F.lit(0)).alias("batch"), "_at")).drop("batch", "_at")
     return merge.last_wins(rows, "url", order="_order").drop("_order")
 
 

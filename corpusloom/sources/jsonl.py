@@ -73,9 +73,15 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log. With a column `batch`, the number of their batch, they are in order whatever times the store gives to files."""
     rows.write.mode("append").json(path)
 
 
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number after the last batch of a log; rows without one come before all."""
+    return (spark.read.schema("batch long").json(path).agg(F.max("batch")).first()[0] or 0) + 1
+
+
 def logged_keys(spark: SparkSession, path: str, schema: str, key: str = "url") -> DataFrame:
     """Distinct keys of a log."""
     return read_tolerant(spark, path, schema, key).select(key).distinct()

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.__main__ import main
 from corpusloom.plans import pipelines as P
@@ -187,3 +189,21 @@ def test_lines_end_as_unicode_has_it(spark, tmp_path):
     text = "a\u2028b\x0bc\r\nd\x85\x1ce\r\rf\n"
     (tmp_path / "t.txt").write_text(text, newline="")
     assert [r.line for r in P.jsonl.read_lines(spark, str(tmp_path / "t.txt"), "line").orderBy("pos").collect()] == text.splitlines()
+
+
+def test_batches_of_a_log_are_in_order_whatever_the_times_of_files(spark, tmp_path):
+    """A copied log: all files of one time, names that sort the other way. Rows without a batch come first."""
+    entry = lambda text: [("a", "", text, None, True)]
+    frame = lambda text: spark.createDataFrame(entry(text), "url string, title string, text string, text_original string, llm_cleaned boolean").coalesce(1)
+    log = tmp_path / "log"
+    for k, text in enumerate(["first", "second", "third"]):
+        number = P.jsonl.next_batch(spark, str(log)) if log.exists() else None
+        assert number == (None if k == 0 else k)
+        P.jsonl.append_log(frame(text) if number is None else frame(text).withColumn("batch", F.lit(number)), str(log))
+        new = [f for f in log.glob("part-*.json") if not f.name.startswith("part-x")]
+        new[0].rename(log / f"part-x{9 - k}.json")
+    for f in log.glob("part-x*"):
+        os.utime(f, (1000, 1000))
+    for crc in log.glob(".*.crc"):
+        crc.unlink()
+    assert [r.text for r in P._log(spark, str(log)).collect()] == ["third"]
