@@ -18,7 +18,8 @@ An item of fewer than five words has one shingle, all its words; it is found as
 
 Defined cases: null and empty texts hold nothing, and items without words are held by nothing; very long texts are read whole; ids
 may be of any type, null included; repeated rows, of either side, give repeated results only if their ids differ; extra columns do no
-harm, whatever their names; without items nothing is held.
+harm, whatever their names; without items nothing is held. There are no ties: an item is held or not, and a document may
+hold several.
 """
 
 from __future__ import annotations

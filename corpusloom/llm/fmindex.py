@@ -12,7 +12,7 @@ stay together in a part.
 A word is removed if a window that covers it occurs anywhere else, in the same or another document.
 
 Defined cases: null, empty and blank texts have no words; documents shorter than SPAN words lose none; very long ones are hashed in
-parts, with the same result; ids may be of any type that has an order; a repeated row is another document; an empty table gives an
+parts, with the same result; ids may be of any type that has an order, null included; a repeated row is another document; an empty table gives an
 empty result; extra columns, whatever their names, aren't read.
 """
 

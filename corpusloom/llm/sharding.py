@@ -8,7 +8,7 @@ Rows are hashed by key. Rows that share a key (null keys, repeated ids, a hot ke
 apart by their content and, if that is the same, by a place that is written once (`common.identified`), after the
 key's bits: all passes see the same rows.
 
-Defined cases: null or empty text has 0 bytes; an empty table gives an empty result; one row
+Defined cases: null or empty text has 0 bytes; very long texts are counted whole, by their bytes; an empty table gives an empty result; one row
 above the limit is a shard of its own, and so are rows that agree in all BITS of the hash (by chance, 2 ** -120 a pair);
 repeated rows are rows like others; extra columns are kept, except that columns with the
 names of the result's are replaced (names that begin with _loom_ are the operators' own).

@@ -375,3 +375,11 @@ def test_template_keeps_sections_with_telling_names(spark, table):
     folder = table("pages", rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in wrapper.op9_main_text(spark, folder).collect()}
     assert got == {i: f"Body {i} of words that vary\nWork {i}\nBy me{i}" for i in range(12)}
+
+
+def test_archives_of_tables_with_clashing_columns(spark, table):
+    """Extra columns, named as the results and the operator's own are, change nothing."""
+    rows = [(1, "http://h/1", "x" * 1200), (2, "http://h/2", "x" * 1200), (3, "http://h/3", None)]
+    plain = sorted(map(tuple, warc.op5_warc_revisits(spark, table("pages", rows, PAGES)).collect()))
+    folder = table("pages", [(*r, "a", 7, "b", 9, "c") for r in rows], PAGES + ", payload_digest string, payload_bytes int, record_type string, refers_to long, record string")
+    assert sorted(map(tuple, warc.op5_warc_revisits(spark, folder).collect())) == plain == brute_warc(rows)
