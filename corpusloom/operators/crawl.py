@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import admitted, admitted_loose, links, normalise
-from ..sources.fetch import Fetcher, fetch
+from ..sources.fetch import Archive, Fetcher, fetch
 from ..storage import removed, written
 
 
@@ -36,7 +36,7 @@ def _first(found: DataFrame, *key: str) -> DataFrame:
 
 
 def crawl(
-    spark, seeds: list[str], fetcher: Fetcher, domain: str, budget: int = 5000, stored: DataFrame | None = None, parallel: int | None = None, batch: int = 500, each: Callable[[DataFrame], None] | None = None
+    spark, seeds: list[str], fetcher: Fetcher | Archive, domain: str, budget: int = 5000, stored: DataFrame | None = None, parallel: int | None = None, batch: int = 500, each: Callable[[DataFrame], None] | None = None
 ) -> DataFrame:
     """(url, html) of at most `budget` pages of a domain, those stored by earlier runs included.
 
@@ -77,7 +77,7 @@ def _links(pages: DataFrame, domain: str) -> DataFrame:
     return found.where(admitted(F.col("url"), domain))
 
 
-def crawl_categories(spark, categories: DataFrame, fetcher: Fetcher, domain: str, default_cap: int = 10) -> DataFrame:
+def crawl_categories(spark, categories: DataFrame, fetcher: Fetcher | Archive, domain: str, default_cap: int = 10) -> DataFrame:
     """(category, url, html): for (category, seeds, cap), a crawl of each in the order of a queue, all at once, level by level; failures count against the cap."""
     caps = categories.select("category", F.coalesce("cap", F.lit(default_cap)).alias("cap"))
     trim = F.rtrim(F.col("url"), F.lit("/"))

@@ -37,7 +37,7 @@ def in_batches(rows: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
         yield rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else rows
 
 
-def crawl_site(spark: SparkSession, seeds: list[str], domain: str, out: str, fetcher: fetch.Fetcher, budget: int = 5000, resume: bool = False, batch: int = 500) -> None:
+def crawl_site(spark: SparkSession, seeds: list[str], domain: str, out: str, fetcher: fetch.Fetcher | fetch.Archive, budget: int = 5000, resume: bool = False, batch: int = 500) -> None:
     """Pages of a site as a table of (url, html). Every batch is added to it when it is fetched, so that a run that broke off can go on."""
     stored = spark.read.parquet(out) if resume and _exists(spark, out) else None
     crawl.crawl(spark, seeds, fetcher, domain, budget, stored, batch=batch, each=lambda got: jsonl.write_pages(got, out))
@@ -60,13 +60,13 @@ def chunk_corpus(spark: SparkSession, corpus: str, chunks: str, size: int = chun
 def rewrite_corpus(spark: SparkSession, corpus: str, log: str, out: str, generator: Callable[[str], str | None], workers: int = 10, retry_failed: bool = False, batch: int = 1000) -> DataFrame:
     """Rewrites the documents that the log lacks, adds each batch of them to it, and writes the corpus with the log's texts. Returns the counters. A run that broke off goes on after its last batch."""
     docs = jsonl.read_tolerant(spark, corpus, DOCUMENT)
-    done = _log(spark, log)
+    done = progress_log(spark, log)
     if retry_failed:
         done = done.where("llm_cleaned")
     first = jsonl.next_batch(spark, log) if _exists(spark, log) else 1
     for n, part in enumerate(in_batches(written(merge.pending(docs, done, "url"), "pending"), "url", batch), first):
         jsonl.append_log(generate.rewritten(part, generator, workers).withColumn("batch", F.lit(n).cast("long")), log)
-    done = _log(spark, log)
+    done = progress_log(spark, log)
     jsonl.write_jsonl(merge.assembled(docs, done, "url", ("title", "text")).select("url", "title", "text"), out)
     known = merge.finished(docs, done, "url").withColumn("cut", F.char_length(F.coalesce("text_original", F.lit(""))) > generate.REWRITE_CHARS)
     return merge.counters(known, done="true", cleaned="llm_cleaned", failed="not llm_cleaned", cut_off="cut")
@@ -77,7 +77,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def _log(spark: SparkSession, path: str) -> DataFrame:
+def progress_log(spark: SparkSession, path: str) -> DataFrame:
     """The last entry of each URL of a progress log, which may not exist yet: of the last batch, then by place. Entries without a batch come first."""
     if not _exists(spark, path):
         return spark.createDataFrame([], PROGRESS)
@@ -86,7 +86,7 @@ def _log(spark: SparkSession, path: str) -> DataFrame:
     return merge.last_wins(rows, "url", order="_order").drop("_order")
 
 
-def merge_corpora(spark: SparkSession, ours: str, theirs: str, out: str, extra_urls: DataFrame | None = None, fetcher: fetch.Fetcher | None = None, keep_title: bool = True) -> None:
+def merge_corpora(spark: SparkSession, ours: str, theirs: str, out: str, extra_urls: DataFrame | None = None, fetcher: fetch.Fetcher | fetch.Archive | None = None, keep_title: bool = True) -> None:
     """Our documents, theirs of other URLs, and pages of extra URLs that neither has; texts of 30 characters or fewer go."""
 
     def read(path: str) -> DataFrame:
@@ -152,7 +152,7 @@ def score_squad(spark: SparkSession, dataset: str, predictions: str) -> DataFram
 
 
 def generate_questions(
-    spark: SparkSession, categories: DataFrame, domain: str, log: str, out: str, fetcher: fetch.Fetcher, generator: Callable[[str], str | None], seed: int = 0, batch: int = 1000
+    spark: SparkSession, categories: DataFrame, domain: str, log: str, out: str, fetcher: fetch.Fetcher | fetch.Archive, generator: Callable[[str], str | None], seed: int = 0, batch: int = 1000
 ) -> DataFrame:
     """Crawls each category, asks for questions on pages that the log lacks, adds each batch of them to it, and writes the ones that hold up, shuffled. Returns counts by category."""
     pages = written(crawl.crawl_categories(spark, categories, fetcher, domain).select("category", "url", H.for_questions("html").alias("text")), "pages")

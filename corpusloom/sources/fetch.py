@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,8 +27,17 @@ def http_fetcher(timeout: float = 10.0) -> Fetcher:
     return fetch
 
 
-def fetch(urls: DataFrame, fetcher: Fetcher, partitions: int | None = None) -> DataFrame:
-    """(url, html) for (url): one request a row; html is null if it failed. partitions bounds the requests at one time."""
+@dataclass(frozen=True)
+class Archive:
+    """Pages that are there already as a table (url, html), one row a URL, in place of a fetcher: they are looked up by a join."""
+
+    pages: DataFrame
+
+
+def fetch(urls: DataFrame, fetcher: Fetcher | Archive, partitions: int | None = None) -> DataFrame:
+    """(url, html) for (url): one request a row, or one join; html is null if it failed. partitions bounds the requests at one time."""
+    if isinstance(fetcher, Archive):
+        return urls.select("url").join(fetcher.pages.select("url", "html"), "url", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

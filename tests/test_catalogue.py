@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from .conftest import SMALL
 
-from corpusloom.plans import catalogue
+from corpusloom.plans import catalogue, runs
 from jobs import queries as job_queries
 
 
@@ -16,6 +16,7 @@ def test_matches_sql(name, same):
 
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.SQL)
+    assert set(runs.QUERIES) == set(runs.SQL)
 
 
 def test_entry_point(spark):
@@ -45,4 +46,4 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
     shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "copy")}, capture_output=True, text=True, check=True)
-    assert said.stdout.split("\n")[0] == f"{len(catalogue.QUERIES | job_queries.QUERIES)} {len(catalogue.SQL | job_queries.SQL)} []"
+    assert said.stdout.split("\n")[0] == f"{len(catalogue.QUERIES | runs.QUERIES | job_queries.QUERIES)} {len(catalogue.SQL | runs.SQL | job_queries.SQL)} []"

@@ -163,7 +163,7 @@ def test_the_last_line_of_a_log_counts_and_the_first_of_another_corpus(spark, tm
         import os
 
         os.utime(log / f"part-{9 - k}.json", (1000 + k, 1000 + k))
-    assert [(r.text, r.llm_cleaned) for r in P._log(spark, str(log)).collect()] == [("third try", False)]
+    assert [(r.text, r.llm_cleaned) for r in P.progress_log(spark, str(log)).collect()] == [("third try", False)]
     ours, theirs = Path(at("ours")), Path(at("theirs"))
     for folder in (ours, theirs):
         folder.mkdir()
@@ -206,4 +206,4 @@ def test_batches_of_a_log_are_in_order_whatever_the_times_of_files(spark, tmp_pa
         os.utime(f, (1000, 1000))
     for crc in log.glob(".*.crc"):
         crc.unlink()
-    assert [r.text for r in P._log(spark, str(log)).collect()] == ["third"]
+    assert [r.text for r in P.progress_log(spark, str(log)).collect()] == ["third"]

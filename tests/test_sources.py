@@ -59,6 +59,8 @@ def test_fetch(spark):
     rows = spark.createDataFrame([("a",), ("b",)], "url string")
     assert sorted((r.url, r.html) for r in fetch.fetch(rows, pages.get, 2).collect()) == [("a", "A"), ("b", None)]
     assert fetch.http_fetcher(0.01)("not a url") is None
+    archive = fetch.Archive(spark.createDataFrame([("a", "A"), ("c", "C")], "url string, html string"))
+    assert sorted((r.url, r.html) for r in fetch.fetch(rows, archive).collect()) == [("a", "A"), ("b", None)]
 
 
 def test_incremental_index(spark, tmp_path):
