@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import chunk, crawl, evaluate, generate, index, merge, neardup, timejoins
+from ..operators import chunk, crawl, evaluate, generate, index, merge, neardup, ranks, timejoins
 from ..session import spread
 from ..sources import files
 from ..storage import fresh_path
@@ -733,6 +733,57 @@ WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_i
 SELECT e.event_id, c.click_id, c.click_value FROM events e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts
 """
 
+# --- values over one order of all rows ---------------------------------------------------------------------------
+
+
+def global_ranks(spark, sf_dir):
+    """Every line of an order among all, by the day on which it was shipped: many tie."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    got = ranks.ranked(lines, ["l_shipdate"], ["l_shipdate"])
+    return got.select("l_orderkey", "l_linenumber", "rank", "dense_rank", F.round("percent_rank", 9).alias("percent_rank"), F.round("cume_dist", 9).alias("cume_dist"))
+
+
+RANKS_SQL = """
+SELECT l_orderkey, l_linenumber, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 9) AS percent_rank, round(cume_dist() OVER w, 9) AS cume_dist
+FROM lineitem WINDOW w AS (ORDER BY l_shipdate DESC NULLS LAST)
+"""
+
+
+def global_tiles(spark, sf_dir):
+    """Orders in hundredths of the range of their price."""
+    orders = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    return ranks.ranked(orders, ["o_totalprice", "o_orderkey"], tiles=100).select("o_orderkey", "row_number", "ntile")
+
+
+TILES_SQL = "SELECT o_orderkey, row_number() OVER w AS row_number, ntile(100) OVER w AS ntile FROM orders WINDOW w AS (ORDER BY o_totalprice NULLS FIRST, o_orderkey NULLS FIRST)"
+
+
+def running_totals(spark, sf_dir):
+    """What was shipped up to and with each day, for every line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.col("l_quantity").cast("long").alias("quantity"), "l_extendedprice")
+    got = ranks.running(lines, ["l_shipdate"], {"shipped": ("sum", "quantity"), "lines": ("count", "quantity"), "dearest": ("max", "l_extendedprice")})
+    return got.select("l_orderkey", "l_linenumber", "shipped", "lines", "dearest")
+
+
+TOTALS_SQL = """
+SELECT l_orderkey, l_linenumber, (SUM(l_quantity::BIGINT) OVER w)::BIGINT AS shipped, COUNT(l_quantity) OVER w AS lines, MAX(l_extendedprice) OVER w AS dearest
+FROM lineitem WINDOW w AS (ORDER BY l_shipdate NULLS FIRST)
+"""
+
+
+def moving_values(spark, sf_dir):
+    """Events in the order of time: sums over the thousand before and the ten behind, and the type of the event five hundred places earlier."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    order = ["ts", "event_id"]
+    moved = ranks.moving(events, order, {"cents_near": F.sum("cents"), "most_near": F.max("cents")}, 1000, 10)
+    return ranks.shifted(moved, order, {"type_before": ("event_type", 500)}).select("event_id", "cents_near", "most_near", "type_before")
+
+
+MOVING_SQL = """
+SELECT event_id, (SUM(round(value * 100)::BIGINT) OVER f)::BIGINT AS cents_near, MAX(round(value * 100)::BIGINT) OVER f AS most_near, lag(event_type, 500) OVER (ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS type_before
+FROM events WINDOW f AS (ORDER BY ts NULLS FIRST, event_id NULLS FIRST ROWS BETWEEN 1000 PRECEDING AND 10 FOLLOWING)
+"""
+
 # --- windows of event time ---------------------------------------------------------------------------------------
 
 
@@ -800,7 +851,7 @@ QUERIES = {
         bm25_top5, term_stats, doc_lengths, postings, recall_at_5, topk_ablation, rag_prompts, answer_batch, answer_em_f1, eval_report, squad_em_f1, zero_f1_breakdown, agreement_rate, normal_forms,
         sliding_chunks, section_chunks, chunk_size_ablation, url_normalize, url_admit, url_filename, link_extract, page_links, page_title, page_sections, page_text, page_question_text, page_chunks,
         merge_priority, pending_docs, finished_docs, assemble_with_fallback, missing_urls, latest_progress, first_progress, run_counters,
-        neardup_pairs, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, sampled_items, bfs_levels, interval_join, asof_join, event_tumbling, event_sliding, event_sessions, progress_state,
+        neardup_pairs, neardup_kept, qa_validate, clean_answers, llm_gate, rewrite_batch, parse_llm_jsonl, retry_delays, category_plan, shuffled_items, sampled_items, bfs_levels, interval_join, asof_join, global_ranks, global_tiles, running_totals, moving_values, event_tumbling, event_sliding, event_sessions, progress_state,
     )
 }
 
@@ -815,7 +866,7 @@ SQL = {
     "url_normalize": URL_SQL, "url_admit": ADMIT_SQL, "url_filename": "SELECT page_id, substr(md5(url), 1, 16) || '.html' AS filename FROM pages", "page_title": TITLE_SQL, "link_extract": LINK_SQL, "page_links": PAGE_LINKS_SQL,
     "merge_priority": MERGE_SQL, "pending_docs": PENDING_SQL, "finished_docs": FINISHED_SQL, "assemble_with_fallback": ASSEMBLE_SQL, "missing_urls": MISSING_SQL,
     "latest_progress": LATEST_SQL, "first_progress": FIRST_SQL, "run_counters": COUNTERS_SQL,
-    "neardup_pairs": PAIRS_SQL, "qa_validate": QA_SQL, "clean_answers": CLEAN_SQL, "llm_gate": GATE_SQL, "parse_llm_jsonl": PARSE_SQL, "retry_delays": RETRY_SQL, "category_plan": CATEGORY_SQL, "shuffled_items": SHUFFLE_SQL, "sampled_items": SAMPLE_SQL, "bfs_levels": BFS_SQL, "interval_join": INTERVAL_SQL, "asof_join": ASOF_SQL,
+    "neardup_pairs": PAIRS_SQL, "qa_validate": QA_SQL, "clean_answers": CLEAN_SQL, "llm_gate": GATE_SQL, "parse_llm_jsonl": PARSE_SQL, "retry_delays": RETRY_SQL, "category_plan": CATEGORY_SQL, "shuffled_items": SHUFFLE_SQL, "sampled_items": SAMPLE_SQL, "bfs_levels": BFS_SQL, "interval_join": INTERVAL_SQL, "asof_join": ASOF_SQL, "global_ranks": RANKS_SQL, "global_tiles": TILES_SQL, "running_totals": TOTALS_SQL, "moving_values": MOVING_SQL,
     "event_tumbling": _window_sql(_sliding_sql(60, 1), "event_type"), "event_sliding": _window_sql(_sliding_sql(15, 4), "event_type"), "event_sessions": _window_sql(SESSION_SQL, "user_id"), "progress_state": STATE_SQL,
     "answer_batch": ANSWER_BATCH_SQL, "rewrite_batch": REWRITE_SQL, "neardup_kept": KEPT_SQL, "page_sections": PAGE_SECTIONS_SQL, "page_text": PAGE_TEXT_SQL, "page_question_text": QUESTION_TEXT_SQL, "page_chunks": PAGE_CHUNKS_SQL,
 }

@@ -1,0 +1,97 @@
+"""Values over a global order equal DuckDB's windows without PARTITION BY, whatever the size of blocks."""
+
+from __future__ import annotations
+
+import random
+
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.operators import ranks
+
+from .conftest import rows_of
+
+SCHEMA = "id long, a long, b string, x long"
+
+
+def table(n, seed, hot=0.4):
+    """A value with a large part of all rows, nulls in every column, ties in both columns of the order."""
+    r = random.Random(seed)
+    return [(i, 3 if r.random() < hot else r.choice([None, *range(8)]), r.choice([None, "", "u", "v"]), r.choice([None, *range(-50, 50)])) for i in range(n)]
+
+
+def same(got, rows, sql):
+    t = pd.DataFrame(rows, columns=["id", "a", "b", "x"]).astype({"id": "Int64", "a": "Int64", "b": "string", "x": "Int64"})  # noqa: F841
+    want = duckdb.sql(sql).df()
+    got = got.toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got, sorted(got.columns)) == rows_of(want, sorted(got.columns))
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 1000])
+def test_ranks(spark, block):
+    rows = table(90, block)
+    got = ranks.ranked(spark.createDataFrame(rows, SCHEMA), ["a", "b"], ["b"], block=block)
+    w = "OVER (ORDER BY a NULLS FIRST, b DESC NULLS LAST)"
+    same(got.drop("row_number"), rows, f"SELECT *, rank() {w} AS rank, dense_rank() {w} AS dense_rank, percent_rank() {w} AS percent_rank, cume_dist() {w} AS cume_dist FROM t")
+    assert sorted(r.row_number for r in got.collect()) == list(range(1, 91))
+
+
+@pytest.mark.parametrize("tiles", [1, 7, 50, 60])
+def test_tiles(spark, tiles):
+    rows = table(50, tiles)
+    got = ranks.ranked(spark.createDataFrame(rows, SCHEMA), ["a", "id"], tiles=tiles, block=8).select("id", "row_number", "ntile")
+    w = "OVER (ORDER BY a NULLS FIRST, id)"
+    same(got, rows, f"SELECT id, row_number() {w} AS row_number, ntile({tiles}) {w} AS ntile FROM t")
+
+
+@pytest.mark.parametrize("block", [1, 5, 1000])
+def test_running_values(spark, block):
+    rows = table(80, block + 1)
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = {"s": ("sum", "x"), "n": ("count", "x"), "lo": ("min", "x"), "hi": ("max", F.col("x") * 2)}
+    values = "sum(x) {0} AS s, count(x) {0} AS n, min(x) {0} AS lo, max(x * 2) {0} AS hi"
+    for order, peers, frame in ((["a", "b"], True, "ORDER BY a NULLS FIRST, b NULLS FIRST"), (["b", "id"], False, "ORDER BY b NULLS FIRST, id ROWS UNBOUNDED PRECEDING")):
+        same(ranks.running(df, order, asked, peers=peers, block=block), rows, f"SELECT *, {values.format(f'OVER ({frame})')} FROM t")
+
+
+@pytest.mark.parametrize(("before", "after", "block"), [(0, 0, 4), (3, 0, 1), (2, 5, 4), (0, 30, 7), (100, 100, 8)])
+def test_moving_frames(spark, before, after, block):
+    rows = table(60, before + after)
+    got = ranks.moving(spark.createDataFrame(rows, SCHEMA), ["a", "id"], {"s": F.sum("x"), "n": F.count("*"), "hi": F.max("b")}, before, after, ["a"], block)
+    w = f"OVER (ORDER BY a DESC NULLS LAST, id ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+    same(got, rows, f"SELECT *, sum(x) {w} AS s, count(*) {w} AS n, max(b) {w} AS hi FROM t")
+
+
+def test_shifted(spark):
+    rows = table(60, 5)
+    got = ranks.shifted(spark.createDataFrame(rows, SCHEMA), ["x", "id"], {"p": ("b", 1), "far": ("id", 25), "q": ("x", -4)}, block=6)
+    w = "OVER (ORDER BY x NULLS FIRST, id)"
+    same(got, rows, f"SELECT *, lag(b) {w} AS p, lag(id, 25) {w} AS far, lead(x, 4) {w} AS q FROM t")
+
+
+def test_empty_and_repeated_rows(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert ranks.ranked(none, ["a"], tiles=3).count() == ranks.running(none, ["a"], {"s": ("sum", "x")}).count() == ranks.moving(none, ["a"], {"s": F.sum("x")}, 2, 2).count() == ranks.shifted(none, ["a"], {"p": ("x", 1)}).count() == 0
+    equal = spark.createDataFrame([(1, 1, "u", 1)] * 40, SCHEMA)
+    got = ranks.ranked(equal, ["a"], tiles=4, block=6).collect()
+    assert sorted(r.row_number for r in got) == list(range(1, 41)) and {(r.rank, r.dense_rank, r.cume_dist) for r in got} == {(1, 1, 1.0)}
+    assert {r.s for r in ranks.running(equal, ["a"], {"s": ("sum", "x")}, block=6).collect()} == {40}
+
+
+def test_wrong_calls(spark):
+    df = spark.createDataFrame([(1, 1, "u", 1)], SCHEMA)
+    for call in (lambda: ranks.ranked(df, []), lambda: ranks.ranked(df.withColumnRenamed("x", "_n"), ["a"]), lambda: ranks.moving(df, ["a"], {}, -1), lambda: ranks.ranked(df, ["a"], ["b"]), lambda: ranks.ranked(df.withColumnRenamed("x", "Rank"), ["a"]), lambda: ranks.running(df, ["a"], {"x": ("sum", "x")})):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_no_window_is_in_one_task(spark):
+    """Equal rows are spread over ranges, and no plan has all rows in a single partition."""
+    df = spark.range(4000).select(F.lit(1).alias("a"), (F.col("id") % 7).alias("x"))
+    for got in (ranks.ranked(df, ["a"], block=100), ranks.running(df, ["a"], {"s": ("sum", "x")}, block=100), ranks.moving(df, ["a"], {"s": F.sum("x")}, 3, block=100)):
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    placed = ranks._placed(df, ["a"], (), 100)
+    assert placed.groupBy("_block").count().where("count <> 100").isEmpty() and placed.select("_block").distinct().count() == 40
