@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from ..storage import numbered, written
 
 BLOCK = 1 << 16
+#: Blocks of frames have so many rows at least, if BLOCK has.
+LEAST_BLOCK = 1 << 12
 RANKS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
 #: How partial values are put together; nulls count for nothing.
 JOINED = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
@@ -129,7 +131,8 @@ def _with_neighbours(rows: DataFrame, order, descending, before: int, after: int
     """Placed rows, each copied to all blocks with rows that look back at it by `before` or ahead by `after`; `_own` marks the one that is its own."""
     if before < 0 or after < 0:
         raise ValueError("a frame reaches back and ahead by no row or more")
-    width = max(block, before + after)  # a row then is in two blocks, three at most
+    # wide frames cost each row as much, so that smaller blocks, for more tasks, are worth the rows that are in two of them; one is in three at most
+    width = max(min(block, max(LEAST_BLOCK, 16 * (before + after))), before + after)
     placed, n = _placed(rows, order, descending, width, added), F.col("_n")
     last = placed.agg(F.max("_block")).first()[0] or 0
     first_block = _div(F.greatest(n - after, F.lit(0)), width)
