@@ -143,6 +143,8 @@ def _with_neighbours(rows: DataFrame, order, descending, before: int, after: int
 def moving(rows: DataFrame, order: Sequence[str], values: dict[str, Column], before: int, after: int = 0, descending: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """rows with aggregates (name -> F.sum("x"), F.avg("x"), …) over the `before` rows before to the `after` rows behind each."""
     near = _with_neighbours(rows, order, descending, before, after, block, tuple(values))
+    # a number of its own keeps partitions apart that are small in bytes: the work is in the frames
+    near = near.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_in")
     frame = Window.partitionBy("_in").orderBy("_n").rowsBetween(-before, after)
     return near.select(*rows.columns, "_own", *[x.over(frame).alias(name) for name, x in values.items()]).where("_own").drop("_own")
 
