@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import merge, neardup
 from corpusloom.plans.catalogue import LETTER_FORM
-from corpusloom.storage import fresh_path, removed, written
+from corpusloom.storage import fresh_path, removed, shuffled_side, written
 
 from . import common
 
@@ -50,7 +50,7 @@ def questions(turns: DataFrame) -> DataFrame:
     one = merge.first_wins(turns.select("conv_id", "turn", "role", "text", F.coalesce("text", F.lit("")).alias("_order")), "conv_id", "turn", "role", order="_order")
     asked = one.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     replies = one.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast(turns.schema["turn"].dataType).alias("turn"), F.coalesce("text", F.lit("")).alias("reply"))
-    return asked.join(replies, ["conv_id", "turn"], "left")
+    return asked.join(shuffled_side(replies), ["conv_id", "turn"], "left")
 
 
 def judged(rows: DataFrame, threshold: float) -> DataFrame:
@@ -80,7 +80,7 @@ def run(spark: SparkSession, source: str, out: str, release: str, seed: int = 7,
     good = rows.where("outcome = 'kept'")
     kept = written(neardup.kept(good.select("ord", "question"), threshold).select("ord"), "kept").withColumn("_kept", F.lit(True))
     repeated = (F.col("outcome") == "kept") & F.col("_kept").isNull()
-    done = rows.join(kept, "ord", "left").withColumn("outcome", F.when(repeated, "repeated").otherwise(F.col("outcome"))).withColumn("split", split_of("conv_id", splits, seed))
+    done = rows.join(shuffled_side(kept), "ord", "left").withColumn("outcome", F.when(repeated, "repeated").otherwise(F.col("outcome"))).withColumn("split", split_of("conv_id", splits, seed))
     # the largest split may be most of the rows: a rebalanced one is written by as many tasks as it asks for
     pairs = done.where("outcome = 'kept'").select("conv_id", "turn", "question", "answer", "split").hint("rebalance", "split")
     pairs.write.mode("overwrite").partitionBy("split").json(f"{out}/pairs/release={release}")

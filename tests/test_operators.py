@@ -315,3 +315,14 @@ def test_overlap_of_long_bags_is_one_pass(spark):
     assert row.select(bag_overlap(F.col("a"), F.col("b"))).first()[0] == sum((a & b).values())
     few = spark.createDataFrame([(["x", "y", "x"], ["x", "x", "z"]), ([], ["x"]), ([], [])], "a array<string>, b array<string>")
     assert [r[0] for r in few.select(bag_overlap(F.col("a"), F.col("b"))).collect()] == [2, 0, 0]
+
+
+def test_near_duplicates_broadcast_nothing(spark, tmp_path):
+    """Written word sets are small on disk and large in memory: a broadcast of them is held by the driver."""
+    rows = spark.range(20).select(F.struct("id", F.lit(1).alias("turn")).alias("ord"), F.concat(F.lit("one two three four five six "), (F.col("id") % 3).cast("string")).alias("question"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for found in (neardup.pairs(rows), neardup.links(rows), neardup.kept(rows)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.links for r in neardup.links(rows).collect()} == {19}
+    assert [r.ord.id for r in neardup.kept(rows).collect()] == [0]
