@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import admitted, admitted_loose, links, normalise
 from ..sources.fetch import Archive, Fetcher, fetch
-from ..storage import removed, written
+from ..storage import numbered, removed, shuffled_side, written
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -43,6 +43,7 @@ def crawl(
     Pages are taken in the order of a queue: by the page that links to them first, then by place in it. Seeds are normalised, links
     also must be admitted. A page that fails counts as visited. A run that goes on rebuilds its frontier from the links of the
     stored pages, after the seeds. Up to `batch` pages are fetched at once, written, and given to `each`, so that a run that ends early has lost no more.
+    An archive costs no requests: there the whole frontier is looked up at once, so that a level of links is one pass.
     """
     urls = spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "url string, pos int").select(normalise(F.col("url")).alias("url"), F.lit(-1).cast("long").alias("parent"), "pos")
     pages = written(stored.select("url", "html"), "pages") if stored is not None else spark.createDataFrame([], "url string, html string")
@@ -50,6 +51,8 @@ def crawl(
     if stored is not None:
         urls = urls.unionByName(_links(pages.withColumn("parent", F.lit(0).cast("long")), domain))
     frontier = written(_first(urls, "url").join(visited, "url", "left_anti"), "frontier")
+    if isinstance(fetcher, Archive):
+        return _looked_up(pages, visited, frontier, fetcher, domain, budget, each)
     have, base, parts = pages.count(), 1, [pages]
     while have < budget and not frontier.isEmpty():
         queue = frontier.orderBy("parent", "pos", "url").limit(min(budget - have, batch))
@@ -71,6 +74,36 @@ def crawl(
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Most URLs of a level that are broadcast to the archive's pages; beyond it the pages are shuffled.
+LEVEL_URLS = 1 << 18
+
+
+def _looked_up(pages: DataFrame, visited: DataFrame, frontier: DataFrame, archive: Archive, domain: str, budget: int, each: Callable[[DataFrame], None] | None) -> DataFrame:
+    """crawl() of an archive, level by level. The queue's order decides which pages the budget has room for; pages beyond it end the crawl, so none is missed.
+
+    Only URLs are put in order; a page's text moves when it is looked up and written.
+    """
+    have, base, parts, levels = pages.count(), 1, [pages], [visited]
+    known = written(archive.pages.where("html is not null").select("url"), "known")
+    while have < budget and not frontier.isEmpty():
+        hits = numbered(frontier.join(shuffled_side(known), "url", "left_semi"), ["parent", "pos", "url"], "rank").where(F.col("rank") < budget - have)
+        now = written(hits.select("url", (F.col("rank") + base).alias("parent")), "queue")
+        n = now.count()
+        got = written(archive.pages.select("url", "html").join(F.broadcast(now) if n <= LEVEL_URLS else shuffled_side(now), "url"), "fetched")
+        fresh = got.select("url", "html")
+        if each is not None:
+            each(fresh)
+        have, base = have + n, base + n
+        parts.append(fresh)
+        levels.append(frontier.select("url"))
+        if len(parts) == 50:  # plans stay short
+            parts, levels = [written(reduce(DataFrame.unionByName, parts), "pages")], [written(reduce(DataFrame.unionByName, levels), "visited")]
+        if have < budget:
+            seen = shuffled_side(reduce(DataFrame.unionByName, levels))
+            frontier = written(_first(_links(got, domain), "url").join(seen, "url", "left_anti"), "frontier")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _links(pages: DataFrame, domain: str) -> DataFrame:
     """(url, parent, pos) of the admitted links of (url, html, parent)."""
     found = pages.select("parent", F.posexplode(links(F.coalesce("html", F.lit("")), "url")).alias("pos", "link")).select(normalise(F.col("link")).alias("url"), "parent", "pos")

@@ -12,7 +12,7 @@ from ..functions import html as H
 from ..operators import crawl, generate
 from ..schemas import CHUNK
 from ..sources import fetch, jsonl
-from ..storage import fresh_path, numbered
+from ..storage import fresh_path, numbered, written
 from . import catalogue as C
 from . import pipelines as P
 
@@ -131,6 +131,7 @@ def run_crawl(spark, sf_dir):
     """A crawl of all pages as one site that stops at its budget of half of them, and one that goes on from its table. Links that lead nowhere are tried, too."""
     path, k = fresh_path(spark, "crawl"), F.col("k")
     pages = _heap(spark, sf_dir, True).select(F.concat(F.lit(f"{SITE}/p/"), k.cast("string")).alias("url"), F.concat(_links(k, "/p/"), F.coalesce("html", F.lit(""))).alias("html"))
+    pages = written(pages, "archive")
     archive, n = fetch.Archive(pages), pages.count()
     P.crawl_site(spark, [f"{SITE}/p/1"], C.DOMAIN, f"{path}/run=1", archive, budget=n // 2)
     first = spark.read.parquet(f"{path}/run=1")

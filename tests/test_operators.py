@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunk, crawl, evaluate, generate, index, merge, neardup
+from corpusloom.sources.fetch import Archive
 
 
 def words(n, first=0):
@@ -155,6 +156,20 @@ def test_crawl_takes_pages_in_the_order_of_a_queue(spark):
         assert {r.url for r in crawl.crawl_categories(spark, cats, site.get, "s.org").collect()} == queue(budget)
 
 
+def test_crawl_of_an_archive_takes_a_level_at_once(spark):
+    site = {a: "".join(f'<a href="/{b}">x</a>' for b in links) for a, links in {"r": "0zya", "z": "1ba", "y": "2ncd", "a": "", "b": "r", "c": "e", "d": "", "e": ""}.items()} | {"n": None}
+    rows = spark.createDataFrame([(f"http://s.org/{a}", html) for a, html in site.items()], "url string, html string")
+    order = [f"http://s.org/{a}" for a in "rzyabcde"]
+    for budget in (1, 3, 4, 8, 20):
+        passes = []
+        got = crawl.crawl(spark, ["http://s.org/r"], Archive(rows), "s.org", budget, batch=1, each=passes.append)
+        assert sorted(r.url for r in got.collect()) == sorted(order[:budget])
+        assert len(passes) == {1: 1, 3: 2, 4: 2}.get(budget, 4)
+    part = crawl.crawl(spark, ["http://s.org/r"], Archive(rows), "s.org", 3)
+    on = crawl.crawl(spark, ["http://s.org/r"], Archive(rows), "s.org", 20, stored=part)
+    assert sorted(r.url for r in on.collect()) == sorted(order)
+
+
 def test_crawl_by_category(spark):
     cats = spark.createDataFrame([("x", ["http://s.org"], 3), ("y", ["http://s.org/b", "http://s.org/lost"], None)], "category string, seeds array<string>, cap int")
     got = crawl.crawl_categories(spark, cats, SITE.get, "s.org").groupBy("category").count().collect()
