@@ -65,3 +65,16 @@ def test_quick_and_question_text():
     assert H.quick_text(page) == f"## {'h' * 16}\n{LONG}\ncell one | cell two"
     assert H.question_text(page).split("\n") == ["cell one | cell two", "h" * 16, LONG, LONG]
     assert H.quick_text(None) == "" and H.question_text("") == ""
+
+
+def test_pages_of_a_batch_are_parsed_by_slices():
+    """A batch has up to 64 MiB of pages, whose texts may be many times as large: no more than a slice of them is held."""
+    import pyarrow as pa
+
+    from corpusloom.functions import html as H
+
+    pages = pa.array([f"<title>t{i}</title><p>some words of page {i}" for i in range(100)] + [None])
+    for udf, of in ((H.parsed, H.document), (H.titled, H.title), (H.sectioned, H.sections), (H.quick, H.quick_text), (H.for_questions, H.question_text)):
+        parts = list(udf.func(iter([pages, pages.slice(0, 3)])))
+        assert max(map(len, parts)) <= H.SLICE
+        assert [x for p in parts for x in p.to_pylist()] == [of(h) for h in [*pages.to_pylist(), *pages.to_pylist()[:3]]]
