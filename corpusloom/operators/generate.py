@@ -14,7 +14,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ Generator = Callable[[str], str]
 MODELS = ("meta-llama/llama-3.1-8b-instruct", "meta-llama/llama-3-8b-instruct", "qwen/qwen3-8b", "qwen/qwen-2.5-7b-instruct", "allenai/olmo-3-7b-instruct", "mistralai/mistral-7b-instruct")
 REWRITE_CHARS, QUESTION_CHARS, LEAST_CHARS, LEAST_REWRITE = 8000, 6000, 50, 30
 PAGE_CHARS = 200
+#: Prompts of a batch that are Python objects at one time.
+SLICE = 64
 
 
 def stub(prompt: str) -> str:
@@ -132,19 +134,22 @@ def generated(rows: DataFrame, prompt: str, generator: Callable[[str], str | Non
     """rows with `raw` and `error`: one call a row; a failure is an error, not the end of the job. partitions bounds calls at one time."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", raw string, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw, error = [], []
-            for p in pdf[prompt]:
-                try:
-                    raw.append(generator(p))
-                    error.append(None)
-                except Exception as e:  # whatever a service raises
-                    raw.append(None)
-                    error.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(raw=pd.Series(raw, dtype=object, index=pdf.index), error=pd.Series(error, dtype=object, index=pdf.index))
-
-    return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, schema)
+    def asked(p: str | None) -> tuple[str | None, str | None]:
+        try:
+            return generator(p), None
+        except Exception as e:  # whatever a service raises
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # all but a slice's prompts and answers stays in Arrow's memory, and a slice leaves before the next is asked for
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                said = [asked(p) for p in part.column(prompt).to_pylist()]
+                made = [pa.array([x[i] for x in said], pa.string()) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "raw", "error"])
+
+    return (rows.repartition(partitions) if partitions else rows).mapInArrow(run, schema)
 
 
 def answers(prompted: DataFrame, generator: Generator = stub, partitions: int | None = None) -> DataFrame:

@@ -207,3 +207,15 @@ def test_batches_of_a_log_are_in_order_whatever_the_times_of_files(spark, tmp_pa
     for crc in log.glob(".*.crc"):
         crc.unlink()
     assert [r.text for r in P.progress_log(spark, str(log)).collect()] == ["third"]
+
+
+def test_answers_leave_by_slices(spark):
+    """A failure of one prompt is its own, and a slice's answers leave before the next prompts of a batch are Python objects."""
+    from corpusloom.operators import generate
+
+    rows = spark.range(200).coalesce(1).select("id", F.when(F.col("id") != 7, F.col("id").cast("string")).alias("prompt"), F.current_timestamp().alias("at"))
+    got = generate.generated(rows, "prompt", lambda p: str(int(p) * 2))
+    made = {r.id: (r.raw, r.error) for r in got.collect()}
+    assert made.pop(7)[1].startswith("TypeError")
+    assert made == {i: (str(2 * i), None) for i in range(200) if i != 7}
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
