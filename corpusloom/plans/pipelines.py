@@ -53,7 +53,8 @@ def build_corpus(spark: SparkSession, pages: DataFrame, corpus: str, chunks: str
 
 def chunk_corpus(spark: SparkSession, corpus: str, chunks: str, size: int = chunk.SIZE, overlap: int = chunk.OVERLAP) -> None:
     """Passages of a stored corpus; malformed lines are skipped."""
-    docs = with_doc_ids(jsonl.read_tolerant(spark, corpus, DOCUMENT))
+    # passages are put in order by URL and place; documents aren't numbered first, as their texts would be sorted and written for it
+    docs = jsonl.read_tolerant(spark, corpus, DOCUMENT).withColumn("doc_id", F.struct("url", F.monotonically_increasing_id().alias("place")))
     jsonl.write_jsonl(with_chunk_ids(chunk.chunks(docs, size, overlap)).select("chunk_id", "url", "title", "section", "text"), chunks)
 
 
