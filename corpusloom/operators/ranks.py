@@ -24,12 +24,30 @@ from ..storage import numbered, written
 BLOCK = 1 << 16
 #: Blocks of frames have so many rows at least, if BLOCK has.
 LEAST_BLOCK = 1 << 12
+#: Rows of a task when rows are dealt out, whatever they compress to, and blocks up to which what a block has to know is broadcast.
+TASK_ROWS, BROADCAST_BLOCKS = 1 << 19, 1 << 16
 RANKS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
 #: How partial values are put together; nulls count for nothing.
 JOINED = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def _tasks(rows: DataFrame, n: int) -> int:
+    """Partitions for n rows. Sorted rows compress so well that partitions of a size in bytes would hold tens of millions."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+
+
+def _dealt(placed: DataFrame) -> tuple[DataFrame, int]:
+    """placed by block, in partitions that are not put together again; and the last block."""
+    n, last = placed.agg(F.count("*"), F.max("_block")).first()
+    return placed.repartition(_tasks(placed, n), "_block"), last or 0
+
+
+def _of_blocks(table: DataFrame, last: int) -> DataFrame:
+    """A table with a row a block as a side of a join by block."""
+    return F.broadcast(table) if last < BROADCAST_BLOCKS else table
+
+
 def _has_map(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return any(_has_map(f.dataType) for f in kind)
@@ -47,7 +65,7 @@ def _placed(rows: DataFrame, order: Sequence[str], descending: Sequence[str], bl
     plain = [f.name for f in rows.schema if not _has_map(f.dataType)]
     keyed = rows.select("*", F.xxhash64(*plain).alias("_h"), F.monotonically_increasing_id().alias("_i"))
     sort = [F.desc_nulls_last(c) if c in descending else F.asc_nulls_first(c) for c in order]
-    placed = numbered(keyed, [*sort, F.col("_h"), F.col("_i")], "_n").drop("_h", "_i")
+    placed = numbered(keyed, [*sort, F.col("_h"), F.col("_i")], "_n", _tasks(rows, rows.count())).drop("_h", "_i")
     return written(placed.select("*", _div(F.col("_n"), block).alias("_block"), F.struct(*order).alias("_o")), "placed")
 
 
@@ -67,37 +85,41 @@ def _before(totals: DataFrame, kinds: dict[str, str], backward: bool) -> DataFra
     return asked.join(nodes, ["level", "node"]).groupBy("_block").agg(*[AGGREGATES[k](name).alias(f"_c_{name}") for name, k in kinds.items()])
 
 
-def _scan(placed: DataFrame, values: dict[str, tuple[str, Column]], backward: bool = False) -> DataFrame:
-    """placed with each value aggregated (sum, min or max) over all rows up to its own, or from its own on."""
+def _scan(placed: DataFrame, values: dict[str, tuple[str, Column]], backward: bool = False, last: int | None = None) -> DataFrame:
+    """placed with each value aggregated (sum, min or max) over all rows up to its own, or from its own on. last: the last block, of rows that are dealt out by block already."""
+    if last is None:
+        placed, last = _dealt(placed)
     kinds = {name: kind for name, (kind, _) in values.items()}
     ready = placed.select("*", *[x.alias(name) for name, (_, x) in values.items()])
     totals = written(ready.groupBy("_block").agg(*[AGGREGATES[k](name).alias(name) for name, k in kinds.items()]), "totals", few_files=True)
     within = Window.partitionBy("_block").orderBy(F.desc("_n") if backward else F.asc("_n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = ready.join(_before(totals, kinds, backward), "_block", "left")
+    both = ready.join(_of_blocks(_before(totals, kinds, backward), last), "_block", "left")
     return both.select(*placed.columns, *[JOINED[k](AGGREGATES[k](name).over(within), F.col(f"_c_{name}")).alias(name) for name, k in kinds.items()])
 
 
-def _ends(placed: DataFrame) -> DataFrame:
-    """placed with `_new` and `_end`: whether a row is the first, and the last, of those that tie with it."""
+def _ends(placed: DataFrame) -> tuple[DataFrame, int]:
+    """placed with `_new` and `_end`: whether a row is the first, and the last, of those that tie with it; dealt out by block. And the last block."""
     edges = placed.groupBy("_block").agg(F.min_by("_o", "_n").alias("_head"), F.max_by("_o", "_n").alias("_tail"))
     edges = written(edges, "edges", few_files=True)
     before = edges.select((F.col("_block") + 1).alias("_block"), F.struct("_tail").alias("_p"))
     behind = edges.select((F.col("_block") - 1).alias("_block"), F.struct("_head").alias("_q"))
     one = Window.partitionBy("_block").orderBy("_n")
-    rows = placed.join(before, "_block", "left").join(behind, "_block", "left")
+    dealt, last = _dealt(placed)
+    rows = dealt.join(_of_blocks(before, last), "_block", "left").join(_of_blocks(behind, last), "_block", "left")
     # wrapped, so that a row that isn't there differs from one whose values are null
     previous = F.coalesce(F.lag(F.struct(F.col("_o").alias("_tail"))).over(one), F.col("_p"))
     following = F.coalesce(F.lead(F.struct(F.col("_o").alias("_head"))).over(one), F.col("_q"))
     new = previous.isNull() | ~previous["_tail"].eqNullSafe(F.col("_o"))
     end = following.isNull() | ~following["_head"].eqNullSafe(F.col("_o"))
-    return rows.select(*placed.columns, new.alias("_new"), end.alias("_end"))
+    return rows.select(*placed.columns, new.alias("_new"), end.alias("_end")), last
 
 
 def ranked(rows: DataFrame, order: Sequence[str], descending: Sequence[str] = (), tiles: int | None = None, block: int = BLOCK) -> DataFrame:
     """rows with row_number, rank, dense_rank (long), percent_rank, cume_dist (double), and ntile (long) if `tiles` are asked for."""
     placed = _placed(rows, order, descending, block, RANKS)
     total = placed.count()
-    found = written(_scan(_ends(placed), {"_first": ("max", F.when(F.col("_new"), F.col("_n"))), "dense_rank": ("sum", F.col("_new").cast("long"))}), "forward")
+    ends, last = _ends(placed)
+    found = written(_scan(ends, {"_first": ("max", F.when(F.col("_new"), F.col("_n"))), "dense_rank": ("sum", F.col("_new").cast("long"))}, last=last), "forward")
     found = _scan(found, {"_last": ("min", F.when(F.col("_end"), F.col("_n")))}, backward=True)
     n, all_rows = F.col("_n"), F.lit(total).cast("double")
     out = [
@@ -122,9 +144,10 @@ def running(rows: DataFrame, order: Sequence[str], values: dict[str, tuple[str,
     asked = {name: ("sum", column(x).isNotNull().cast("long")) if kind == "count" else (kind, column(x)) for name, (kind, x) in values.items()}
     if not peers:
         return _scan(placed, asked).select(*rows.columns, *asked)
-    found = written(_scan(_ends(placed), asked), "forward")
-    last = F.when(F.col("_end"), F.struct("_n", *asked))
-    return _scan(found.withColumn("_v", last).drop(*asked), {"_at": ("min", F.col("_v"))}, backward=True).select(*rows.columns, *[F.col(f"_at.{name}").alias(name) for name in asked])
+    ends, last = _ends(placed)
+    found = written(_scan(ends, asked, last=last), "forward")
+    ending = F.when(F.col("_end"), F.struct("_n", *asked))
+    return _scan(found.withColumn("_v", ending).drop(*asked), {"_at": ("min", F.col("_v"))}, backward=True).select(*rows.columns, *[F.col(f"_at.{name}").alias(name) for name in asked])
 
 
 def _with_neighbours(rows: DataFrame, order, descending, before: int, after: int, block: int, added: Sequence[str]) -> DataFrame:

@@ -95,3 +95,12 @@ def test_no_window_is_in_one_task(spark):
         assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
     placed = ranks._placed(df, ["a"], (), 100)
     assert placed.groupBy("_block").count().where("count <> 100").isEmpty() and placed.select("_block").distinct().count() == 40
+
+
+def test_tasks_have_a_bounded_number_of_rows(spark, monkeypatch):
+    from corpusloom.operators import ranks as R
+
+    monkeypatch.setattr(R, "TASK_ROWS", 50)
+    placed = R._placed(spark.range(1000).selectExpr("id % 7 AS v"), ["v"], (), 10)
+    dealt, last = R._dealt(placed)
+    assert (dealt.rdd.getNumPartitions(), last) == (20, 99)
