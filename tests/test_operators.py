@@ -341,3 +341,10 @@ def test_near_duplicates_broadcast_nothing(spark, tmp_path):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.links for r in neardup.links(rows).collect()} == {19}
     assert [r.ord.id for r in neardup.kept(rows).collect()] == [0]
+
+
+def test_pairs_of_question_and_chunk_are_not_shuffled(spark):
+    chunks = spark.createDataFrame([(i, f"the cat {i} sat") for i in range(20)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(0, "the cat 3"), (1, "sat 5 5")], "q long, question string")
+    plan = index.scores(asked, chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(q" not in plan

@@ -219,3 +219,12 @@ def test_answers_leave_by_slices(spark):
     assert made.pop(7)[1].startswith("TypeError")
     assert made == {i: (str(2 * i), None) for i in range(200) if i != 7}
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_not_sorted_to_be_chunked(spark, tmp_path, monkeypatch):
+    rows = [(f"u{i % 3}", "T", "word " * (500 + i)) for i in range(6)]
+    spark.createDataFrame(rows, "url string, title string, text string").write.json(str(tmp_path / "corpus"))
+    monkeypatch.setattr(P, "with_doc_ids", lambda docs: pytest.fail("texts are sorted and written"))
+    P.chunk_corpus(spark, str(tmp_path / "corpus"), str(tmp_path / "chunks"))
+    got = sorted((r.chunk_id, r.url, r.section) for r in spark.read.json(str(tmp_path / "chunks")).collect())
+    assert got == [(2 * i + p, f"u{i // 2}", f"part {p + 1}") for i in range(6) for p in range(2)]
