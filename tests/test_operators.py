@@ -343,6 +343,38 @@ def test_near_duplicates_broadcast_nothing(spark, tmp_path):
     assert [r.ord.id for r in neardup.kept(rows).collect()] == [0]
 
 
+def shuffled_records(spark) -> dict[int, int]:
+    """Rows that stages up to now wrote for shuffles, by the stage; the oldest stages may be gone."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none, jvm = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_candidates_that_share_little_are_not_shuffled(spark, tmp_path):
+    """Most of all pairs meet at a word here, and one pair is alike."""
+    draw = random.Random(7)
+    texts = [" ".join(draw.sample([f"w{i}" for i in range(60)], 12)) for _ in range(600)]
+    texts.append(" ".join([*texts[5].split()[:10], "other", "words"]))
+    spark.createDataFrame(list(enumerate(texts)), "ord long, question string").write.parquet(str(tmp_path / "rows"))
+    last = max(shuffled_records(spark), default=-1)
+    found = neardup.pairs(spark.read.parquet(str(tmp_path / "rows"))).collect()
+    assert [(p.ord_a, p.ord_b, round(p.ratio, 6)) for p in found] == [(5, 600, 0.833333)]
+    # each word of each text twice, a quarter of them as probes, and a few rows for each text
+    assert 0 < sum(n for stage, n in shuffled_records(spark).items() if stage > last) < 4 * len(texts) * 12
+
+
+def test_signatures_never_lose_words(spark):
+    """What is set in one set's signature and not in the other's never exceeds the words that the other lacks."""
+    sets = [[], ["a"], ["a", "b", "é"], [f"w{i}" for i in range(40)], [f"w{i}" for i in range(20, 900)]]
+    rows = spark.createDataFrame([(w,) for w in sets], "w array<string>").select("w", F.array(*neardup.signature(F.col("w"))).alias("s")).collect()
+    bits = lambda s: {64 * i + j for i, x in enumerate(s) for j in range(64) if x >> j & 1}
+    for a in rows:
+        assert len(bits(a.s)) <= len(a.w) and bool(bits(a.s)) == bool(a.w)
+        for b in rows:
+            assert len(bits(a.s) - bits(b.s)) <= len(set(a.w) - set(b.w))
+
+
 def test_pairs_of_question_and_chunk_are_not_shuffled(spark):
     chunks = spark.createDataFrame([(i, f"the cat {i} sat") for i in range(20)], "chunk_id long, text string")
     asked = spark.createDataFrame([(0, "the cat 3"), (1, "sat 5 5")], "q long, question string")
